@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.boilerplate import MONTHS
 from quillspark.llm.canonical import ACCENTS, FORMS, MAX_SPAN, PLAIN
 from quillspark.llm.split import SPACE
 
@@ -52,4 +53,35 @@ P6_FOUND = P6 + "SELECT intake_id, CAST(coalesce(entry_id, 0) AS INTEGER) AS reg
 P6_MAPPING = P6 + "SELECT intake_id, region, CAST(CASE WHEN trim(region) <> '' THEN coalesce(entry_id, 0) END AS INTEGER) AS region_id, name AS canonical, CAST(distance AS INTEGER) AS distance FROM intake LEFT JOIN best ON region = v LEFT JOIN region_ref ON region_id = entry_id"
 P6_UNMATCHED = P6 + "SELECT region, count(*) AS rows FROM intake WHERE trim(region) <> '' AND region NOT IN (SELECT v FROM best WHERE entry_id > 0) GROUP BY region"
 
-ORACLE = {"p1_found": P1_FOUND, "p6_found": P6_FOUND, "p6_mapping": P6_MAPPING, "p6_unmatched": P6_UNMATCHED}
+
+def _same(a: str, b: str) -> str:
+    end = f"CASE WHEN length({b}) >= 12 THEN 4 ELSE 2 END"
+    n = f"least(length({a}), length({b}))"
+    return f"""(abs(length({a}) - length({b})) <= 3 AND (left({a}, {end}) = left({b}, {end}) OR right({a}, {end}) = right({b}, {end}))
+      AND levenshtein({a}, {b}) <= CASE WHEN {n} >= 20 THEN 3 WHEN {n} >= 10 THEN 2 WHEN {n} >= 6 THEN 1 ELSE 0 END)"""
+
+
+P4 = rf"""
+WITH lines AS MATERIALIZED (
+  SELECT chunk_id, source, unnest(k) AS key, generate_subscripts(k, 1) AS line_no, content FROM (
+    SELECT chunk_id, source, content, string_split(regexp_replace(lower(content), '\b(?:{"|".join(MONTHS.split())})\b|[^\p{{L}}\n]+', '', 'g'), chr(10)) AS k FROM chunk_out WHERE content IS NOT NULL AND source IS NOT NULL)),
+sizes AS (SELECT source, count(*) AS n FROM chunk_out GROUP BY source),
+frequent AS MATERIALIZED (
+  SELECT source, key, count(DISTINCT chunk_id) AS c, n FROM lines JOIN sizes USING (source) WHERE key <> ''
+  GROUP BY source, key, n HAVING count(DISTINCT chunk_id) >= greatest(4, n * 0.05)),
+nodes AS MATERIALIZED (
+  SELECT * FROM frequent AS x WHERE NOT EXISTS (
+    SELECT 1 FROM frequent AS y WHERE y.source = x.source AND (y.c > x.c OR (y.c = x.c AND y.key < x.key)) AND {_same("x.key", "y.key")})),
+hits AS MATERIALIZED (
+  SELECT chunk_id, line_no, l.source, n, first(nodes.key ORDER BY l.key = nodes.key DESC, c DESC, nodes.key) AS node
+  FROM lines AS l JOIN nodes ON l.source = nodes.source AND (l.key = nodes.key OR {_same("l.key", "nodes.key")}) WHERE l.key <> '' GROUP BY ALL),
+kept AS (SELECT source, node, count(DISTINCT chunk_id) AS support FROM hits GROUP BY source, node, n HAVING count(DISTINCT chunk_id) >= greatest(8, n * 0.1)),
+gone AS (SELECT chunk_id, line_no FROM hits JOIN kept USING (source, node))
+"""
+P4_FOUND = P4 + "SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM gone"
+P4_CLEAN = P4 + r"""
+SELECT c.chunk_id, c.source, CASE WHEN d.lines IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(d.lines, i)), chr(10)) END AS content,
+  CAST(coalesce(len(d.lines), 0) AS INTEGER) AS n_removed
+FROM chunk_out AS c LEFT JOIN (SELECT chunk_id, list(line_no) AS lines FROM gone GROUP BY chunk_id) AS d USING (chunk_id)"""
+
+ORACLE = {"p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p1_found": P1_FOUND, "p6_found": P6_FOUND, "p6_mapping": P6_MAPPING, "p6_unmatched": P6_UNMATCHED}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, split
+from quillspark.llm import boilerplate, canonical, split
 from quillspark.sources.tables import read_table
 
 
@@ -18,6 +18,20 @@ def p1_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_pieces(chunks)
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return boilerplate.repeated_lines(read_table(spark, directory, "chunk_out").select("chunk_id", "source", "content")).select("chunk_id", "line_no")
+
+
+def p4_clean(spark: SparkSession, directory: str) -> DataFrame:
+    return boilerplate.remove_repeated(read_table(spark, directory, "chunk_out").select("chunk_id", "source", "content"))
+
+
+def p4_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    """The boilerplate blocks of each source: its repeated wordings, their support and the block they belong to."""
+    found = boilerplate.matches(read_table(spark, directory, "chunk_out"), "chunk_id", "source", "content", boilerplate.BoilerplateConfig())
+    return boilerplate.blocks(found, boilerplate.BoilerplateConfig())
+
+
 def _forms(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.written_forms(spark, read_table(spark, directory, "region_ref"))
 
@@ -40,4 +54,4 @@ def p6_unmatched(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.unmatched(read_table(spark, directory, "intake"), "region", _forms(spark, directory))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_mapping, p6_unmatched)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched)}
