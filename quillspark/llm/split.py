@@ -92,7 +92,7 @@ def split_pieces(df: DataFrame, cfg: SplitConfig = SplitConfig(), text: str = "c
     base = df.where(body.isNotNull()).select(*[F.col(f"`{c}`") for c in kept], body.alias("_text"), is_long.alias("_long"))
     short = F.array(F.struct(F.lit(0).alias("start_word"), F.lit(None).cast("int").alias("n_new"), F.lit(0).alias("overlap_words"), F.col("_text").alias("piece")))
     cuts = base.withColumn("_all", F.when(F.col("_long"), pieces_column(F.col("_text"), cfg)).otherwise(short))
-    out = cuts.select(*[F.col(f"`{c}`") for c in kept], F.size("_all").alias("n_pieces"), F.posexplode("_all").alias("_i", "_p"))
+    out = cuts.select(*[F.col(f"`{c}`") for c in kept], F.size("_all").alias("n_pieces"), F.posexplode_outer("_all").alias("_i", "_p"))
     count = F.coalesce(F.col("_p.n_new") + F.col("_p.overlap_words"), F.size(F.regexp_extract_all(F.col("_p.piece"), F.lit(rf"{WORD}++"), F.lit(0))))
     return out.select(*[F.col(f"`{c}`") for c in kept], (F.col("_i") + 1).alias("piece_no"), "n_pieces", F.col("_p.start_word").alias("start_word"), F.col("_p.overlap_words").alias("overlap_words"), count.alias("n_words"), F.col("_p.piece").alias("piece"))
 
