@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, canonical, split
+from quillspark.llm import boilerplate, canonical, mixing, packing, split
 from quillspark.sources.tables import read_table
 
 
@@ -54,4 +54,20 @@ def p6_unmatched(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.unmatched(read_table(spark, directory, "intake"), "region", _forms(spark, directory))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched)}
+def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(read_table(spark, directory, "documents"))
+
+
+def p7_report(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.report(packing.pack(read_table(spark, directory, "documents")))
+
+
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mix(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_target"))
+
+
+def p8_report(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.report(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_target"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report)}
