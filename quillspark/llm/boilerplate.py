@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.plans.lineage import materialize
+
 # Names of months, which stand in dates.
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sept sep oct nov dec"
 
@@ -21,13 +23,15 @@ MONTHS = "january february march april may june july august september october no
 class BoilerplateConfig:
     min_rows: int = 8  # a repeated line stands in at least so many rows of its source
     min_share: float = 0.1  # and in at least this share of them
+    broadcast_letters: int = 8_000_000  # candidate wordings are broadcast up to so many letters in all
     seed_share: float = 0.5  # the undamaged wording alone has at least this share of the support of all its misread forms
 
 
 def wordings(text: Column) -> Column:
     """The wording of every line: letters only, lower case, months removed. One pass over the whole text."""
-    months = "|".join(MONTHS.split())
-    return F.split(F.regexp_replace(F.lower(text), rf"\b(?:{months})\b|[^\p{{L}}\n]++", ""), "\n")
+    months = "|".join(sorted(MONTHS.split(), key=len, reverse=True))
+    other = r"[^a-z\n\p{L}]"  # neither letter nor line end; the plain range stands first because it is decided by a bit test
+    return F.split(F.regexp_replace(F.lower(text), rf"(?m)(?:^|{other}++)(?:(?:{months})(?!\p{{L}}){other}*+)*+", ""), "\n")
 
 
 def tolerance(n: Column) -> Column:
@@ -62,11 +66,14 @@ def matches(df: DataFrame, key: str, source: str, text: str, cfg: BoilerplateCon
     """(key, source, n, found): per row the array of (line_no, node) of its lines that match a candidate node."""
     lines = df.select(F.col(key).alias("id"), F.col(source).alias("source"), wordings(F.col(text)).alias("keys")).where(F.col("source").isNotNull())
     sizes = df.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
-    nodes = candidate_nodes(lines, sizes, cfg)
+    nodes = materialize(candidate_nodes(lines, sizes, cfg))
+    letters = nodes.agg(F.sum(F.length("source") + F.aggregate("nodes", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    if letters <= cfg.broadcast_letters:  # else a shuffle join by source, whose hot partitions adaptive execution splits
+        nodes = F.broadcast(nodes)
     joined = lines.where(F.col("keys").isNotNull()).join(nodes, "source")
     node = lambda k: F.when(F.array_contains("nodes", k), k).otherwise(F.get(F.filter("nodes", lambda t: same_wording(k, t)), F.lit(0)))
     found = F.filter(F.transform("keys", lambda k, i: F.struct((i + 1).alias("line_no"), F.when(k != "", node(k)).alias("node"))), lambda x: x.node.isNotNull())
-    return joined.select("id", "source", "n", found.alias("found")).where(F.size("found") > 0)
+    return materialize(joined.select("id", "source", "n", found.alias("found")).where(F.size("found") > 0))
 
 
 def _label(group: pd.DataFrame) -> pd.DataFrame:
