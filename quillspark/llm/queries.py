@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, canonical, mixing, packing, split
+from quillspark.llm import boilerplate, canonical, mixing, names, packing, split
 from quillspark.sources.tables import read_table
 
 
@@ -18,6 +18,24 @@ def p1_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_pieces(chunks)
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return names.pairs(names.resolve(read_table(spark, directory, "entity").select("entity_id", "name")))
+
+
+def p2_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    """Every entity with its cluster, and how many spellings the cluster has."""
+    resolved = names.resolve(read_table(spark, directory, "entity").select("entity_id", "name"))
+    return resolved.join(resolved.groupBy("cluster").agg(F.count("*").alias("spellings")), "cluster").select("entity_id", "cluster", "spellings")
+
+
+def p2_customers(spark: SparkSession, directory: str) -> DataFrame:
+    """Every intake row with the cluster of its customer as typed; null where no customer is named."""
+    typed = read_table(spark, directory, "intake").select("intake_id", "customer")
+    entities = read_table(spark, directory, "entity").select("entity_id", F.col("name").alias("customer"))
+    resolved = names.resolve(entities, "entity_id", "customer")
+    return typed.join(entities.join(resolved, "entity_id"), "customer", "left").select("intake_id", "customer", "cluster")
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return boilerplate.repeated_lines(read_table(spark, directory, "chunk_out").select("chunk_id", "source", "content")).select("chunk_id", "line_no")
 
@@ -70,4 +88,4 @@ def p8_report(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.report(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report)}
