@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, canonical, mixing, names, packing, split
+from quillspark.llm import boilerplate, canonical, mixing, names, packing, split, toxicity
 from quillspark.sources.tables import read_table
 
 
@@ -88,4 +88,16 @@ def p8_report(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.report(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report)}
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.score(read_table(spark, directory, "documents").select("doc_id", "text")).where("toxic").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.score(read_table(spark, directory, "documents").select("doc_id", "source", "text"))
+
+
+def p9_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.rates(toxicity.score(read_table(spark, directory, "documents").select("source", "text")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
