@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, canonical, mixing, names, packing, split, toxicity
+from quillspark.llm import boilerplate, canonical, mixing, names, packing, pii, split, toxicity
 from quillspark.sources.tables import read_table
 
 
@@ -36,6 +36,14 @@ def p2_customers(spark: SparkSession, directory: str) -> DataFrame:
     return typed.join(entities.join(resolved, "entity_id"), "customer", "left").select("intake_id", "customer", "cluster")
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.found(read_table(spark, directory, "page_in").select("row_id", "content")).select("row_id", "kind", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.redact(read_table(spark, directory, "page_in").select("row_id", "source", "page_number", "content"))
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return boilerplate.repeated_lines(read_table(spark, directory, "chunk_out").select("chunk_id", "source", "content")).select("chunk_id", "line_no")
 
@@ -100,4 +108,4 @@ def p9_rates(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.rates(toxicity.score(read_table(spark, directory, "documents").select("source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p3_found, p3_redacted, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,9 +74,17 @@ def _plain(text: str) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ł", "l").replace("Ł", "L"))).translate(LOOKALIKE)
 
 
-@lru_cache(100_000)
 def _lookup(token: str) -> tuple[list[str], bool]:
-    """Categories of a token, and whether it is a disguised word of the lexicon."""
+    """Categories of a token, and whether it is a disguised word of the lexicon; looked up once a worker."""
+    seen = cached("toxicity tokens", dict)
+    if token not in seen:
+        if len(seen) > 200_000:
+            seen.clear()
+        seen[token] = _look(token)
+    return seen[token]
+
+
+def _look(token: str) -> tuple[list[str], bool]:
     if token in _CATEGORY:
         return _CATEGORY[token], False
     stem = _ENDING.sub("", token)
