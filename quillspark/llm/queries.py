@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, canonical, mixing, names, packing, pii, split, toxicity
+from quillspark.llm import boilerplate, canonical, mixing, names, ocr, packing, pii, split, toxicity
 from quillspark.sources.tables import read_table
 
 
@@ -58,6 +58,14 @@ def p4_blocks(spark: SparkSession, directory: str) -> DataFrame:
     return boilerplate.blocks(found, boilerplate.BoilerplateConfig())
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return ocr.found(read_table(spark, directory, "page_in").select("row_id", "source", "page_number", "content", "ocr"))
+
+
+def p5_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return ocr.repair(read_table(spark, directory, "page_in").select("row_id", "source", "page_number", "content", "ocr"))
+
+
 def _forms(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.written_forms(spark, read_table(spark, directory, "region_ref"))
 
@@ -108,4 +116,4 @@ def p9_rates(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.rates(toxicity.score(read_table(spark, directory, "documents").select("source", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p3_found, p3_redacted, p4_found, p4_clean, p4_blocks, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clusters, p2_customers, p3_found, p3_redacted, p4_found, p4_clean, p4_blocks, p5_found, p5_repaired, p6_found, p6_mapping, p6_unmatched, p7_containers, p7_report, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
