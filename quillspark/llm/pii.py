@@ -45,10 +45,12 @@ _AT = re.compile(r"@|[\(\[{]\s?[aA][tT]\s?[\)\]}]")
 LOCAL = re.compile(rf"[A-Za-z0-9À-ÿ][\w.+'’\-]*{_W}$")
 DOMAIN = re.compile(rf"{_W}[\w\-]+(?:[ \t]?\.[\w\-]+|{_W}[\(\[{{]\s?[dD][oO][tT]\s?[\)\]}}]{_W}[\w\-]+){{1,4}}")
 _GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,5}\)?"
-PHONE = re.compile(rf"(?<![\w@/.,$€£%\-])(?!(?:19|20)\d\d-\d\d-\d\d\b|\d\d?/\d)(?:\+[\s]?\d|\(\+?[\dOo]|[\dOo])[\dOoIlSB()]*(?:{_GROUP}){{1,6}}(?!\w)|(?<![\w@/.,$€£%+\-])\+?\d{{9,13}}(?!\w)")
+# the first character stands first, before what must not precede it, so that the search skips to it
+PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+?[\dOo]|(?<=[\dOo])(?!(?<=[12])[09]\d\d-\d\d-\d\d\b|\d?/\d))[\dOoIlSB()]*(?:(?:{_GROUP}){{1,6}}(?!\w)|(?<=\d{{9}})(?!\w))")
 ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
 BOX = re.compile(rf"\b(?:G\.?{_W})?(?:P\.?\s?O\.?{_WS}Box|PO{_WS}BOX|P\.O\.{_WS}BOX|GPO{_WS}Box|Locked{_WS}Bag|Private{_WS}Bag|Post{_WS}Office{_WS}Box|Postfach|p\.?o\.?{_WS}box){_WS}[\dOIl]{{1,6}}\b")
 HOUSE = re.compile(rf"(?:(?<![\w])(?P<unit>(?:{_UNITS})\.?{_WS}[\dA-Z][\dA-Z]{{0,4}})(?:{_W},{_W}|{_WS}))?(?<![\w.,$/\-])(?P<no>(?:\d{{1,4}}[A-Za-z]?(?:{_W}[/\-–]{_W}\d{{1,5}}[A-Za-z]?)?{_WS}))?(?P<street>(?:[A-Z][\w'’]+{_WS}){{1,3}})(?P<type>{_STREETS})\b")
+_NUMBERED = re.compile(r"\d[A-Za-z]?[\s ]{1,4}[A-Z]")
 _STREET_HINT = re.compile(rf"(?:[a-z'’]|[A-Z'’]){_WS}(?:{_STREETS})\b")
 _T = r"(?:[A-ZÀ-ÖØ-Þ]\.(?:\s?[A-ZÀ-ÖØ-Þ]\.){0,2}(?![\w])|[A-ZÀ-ÖØ-Þ][\w'’]*(?:[\-‐][A-ZÀ-ÖØ-Þ]?[\w'’]+)*)"
 _PART = r"(?:(?:VON|VAN|DE|DER|von|van|de|der|den|da|dos|di|del|la|le|bin|al|ter)[ \n])"
@@ -144,12 +146,13 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
         out += [("id_number", m.start("v"), m.end("v"), 0) for m in ID.finditer(text)]
     if "box" in lower or "bag" in lower or "postfach" in lower:
         out += [("address", m.start(), m.end(), 1) for m in BOX.finditer(text)]
-    done = -1
-    for hint in _STREET_HINT.finditer(text):
-        for m in HOUSE.finditer(text, max(done, hint.end() - 90, 0), hint.end()):
-            if m["no"] or m["unit"]:
-                out.append(("address", m.start("unit") if m["unit"] else m.start("no"), m.end(), 2))
-                done = m.end()
+    done = 0
+    for number in _NUMBERED.finditer(text):
+        if number.start() >= done and (hint := _STREET_HINT.search(text, number.end() - 1, number.end() + 80)):
+            for m in HOUSE.finditer(text, max(done, number.start() - 45), hint.end() + 20):
+                if (m["no"] or m["unit"]) and m.start() <= hint.start():
+                    out.append(("address", m.start("unit") if m["unit"] else m.start("no"), m.end(), 2))
+                    done = m.end()
     taken = [(s, e) for k, s, e, _ in out if k in ("address", "email")]
     for s, e, titled in _persons(text, taken):
         out.append(("person", s, e, int(titled)))
