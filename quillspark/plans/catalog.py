@@ -1,6 +1,276 @@
-"""All named queries with their SQL counterparts."""
+"""All named queries of the retrieval engine: callables of (spark, directory) -> DataFrame."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.config import RetrievalConfig
+from quillspark.functions import answer as A
+from quillspark.functions import naming
+from quillspark.functions import text as T
+from quillspark.operators import answers, chunking, entities, graph, index, ranking, retrieval, trace
+from quillspark.plans import ask as asking
+from quillspark.plans.lineage import ensure_checkpoint_dir
+from quillspark.plans.oracle import ORACLE  # noqa: F401
+from quillspark.sources import pages as P
+from quillspark.sources.tables import read_table
+
+CFG = RetrievalConfig()
+
+
+def _pages(spark, d):
+    return read_table(spark, d, "page_in")
+
+
+def _chunks(spark, d):
+    return read_table(spark, d, "chunk_out")
+
+
+def _questions(spark, d):
+    return read_table(spark, d, "question")
+
+
+def _hits(spark, d):
+    return read_table(spark, d, "hit").select("query_id", "chunk_id", "retriever", "score", "rnk")
+
+
+def scan_page_profile(spark: SparkSession, d: str) -> DataFrame:
+    n = T.word_count(F.col("content"))
+    return _pages(spark, d).groupBy("source").agg(F.count("*").alias("pages"), F.coalesce(F.sum(n), F.lit(0)).alias("n_words"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n_chars"), F.count_if(F.col("content").isNull()).alias("n_null"))
+
+
+def document_plain_text(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", T.plain_html(F.col("text")).alias("plain"))
+
+
+def ocr_fallback_choice(spark, d):
+    direct, scanned = F.when(~F.col("ocr"), F.col("content")), F.when(F.col("ocr"), F.col("content"))
+    return _pages(spark, d).select("row_id", F.md5(P.choose_text(direct, scanned, CFG.ocr_trigger)).alias("text_md5"), F.length(P.choose_text(direct, scanned, CFG.ocr_trigger)).alias("n_chars"))
+
+
+def latest_page_deliveries(spark, d):
+    return P.latest_pages(_pages(spark, d)).select("row_id", "source", "page_number")
+
+
+def first_n_pages_concat(spark, d):
+    out = P.first_pages(_pages(spark, d), CFG.region_pages)
+    return out.select("source", "n_pages", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def known_entities(spark, d):
+    return P.known_names(read_table(spark, d, "intake"), "customer")
+
+
+def page_gate(spark, d):
+    return chunking.page_gate(_pages(spark, d), CFG).select("row_id", "n_words", "whole_page")
+
+
+def line_explode_spurious(spark, d):
+    lines = _pages(spark, d).select("row_id", F.posexplode(T.split_lines(F.col("content"))).alias("i", "line"))
+    return lines.select("row_id", (F.col("i") + 1).alias("line_no"), T.is_spurious(F.col("line")).alias("spurious"))
+
+
+def list_item_flag(spark, d):
+    lines = _pages(spark, d).select("row_id", F.posexplode(T.split_lines(F.col("content"))).alias("i", "line"))
+    return lines.where(T.is_list_item(F.col("line"))).select("row_id", (F.col("i") + 1).alias("line_no"))
+
+
+def header_parse(spark, d):
+    return chunking.header_lines(_pages(spark, d))
+
+
+def title_cleanup(spark, d):
+    title = F.col("clause_title")
+    return _chunks(spark, d).where(title.isNotNull()).select("chunk_id", T.strip_emphasis(T.truncate_title(T.clean_title_end(title), 4)).alias("short_title"), T.clean_title_end(title).alias("clean_title"))
+
+
+def title_extend(spark, d):
+    following = F.element_at(T.split_lines(F.col("content")), 2)
+    return _chunks(spark, d).where("clause_title IS NOT NULL AND content IS NOT NULL").where(F.size(T.split_lines(F.col("content"))) > 1).select("chunk_id", T.extend_title(F.col("clause_title"), following).alias("extended"))
+
+
+def hierarchy_stack(spark, d):
+    found = chunking.header_lines(_pages(spark, d)).where("valid")
+    ordered = found.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("clause_id").alias("id"), "level"))).alias("h"))  # the headers of one page
+    stacks = chunking.fold_hierarchy(F.transform("h", lambda x: F.struct(x.id.alias("id"), x.level.alias("level"))))
+    return ordered.select("row_id", F.explode(F.arrays_zip(F.col("h").line_no.alias("line_no"), stacks.alias("s"))).alias("z")).select("row_id", "z.line_no", F.array_join("z.s", ">").alias("stack"))
+
+
+def hierarchical_chunks(spark, d):
+    return chunking.chunk_pages(_pages(spark, d).select("row_id", "source", "page_number", "content", "customer", "region"), CFG)
+
+
+def name_normalize(spark, d):
+    return read_table(spark, d, "intake").select("intake_id", naming.clean_name(F.col("customer")).alias("cleaned"), naming.normalize_customer(F.col("customer")).alias("normalized"))
+
+
+def country_standardize(spark, d):
+    return read_table(spark, d, "intake").select("intake_id", naming.standardize_country(F.col("region")).alias("country"))
+
+
+def keyword_dictionary(spark, d):
+    return entities.keyword_dictionary(read_table(spark, d, "entity"))
+
+
+def entity_detect(spark, d):
+    return entities.detect_entities(_questions(spark, d), read_table(spark, d, "entity"))
+
+
+def sparse_encode(spark, d):
+    out = retrieval.postings(_chunks(spark, d), "chunk_id", "content")
+    return out.select("chunk_id", "token", F.round("weight", 6).alias("weight"))
+
+
+def sparse_topn(spark, d):
+    return retrieval.sparse_top(retrieval.postings(_questions(spark, d), "query_id", "text"), retrieval.postings(_chunks(spark, d), "chunk_id", "content"), CFG.top_sparse)
+
+
+def _vectors(spark, d):
+    v = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return v.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "embedding"), v
+
+
+def dense_topk(spark, d):
+    return retrieval.dense_top(*_vectors(spark, d), CFG.top_dense)
+
+
+def dense_threshold(spark, d):
+    return retrieval.dense_above(*_vectors(spark, d), CFG.min_similarity, CFG.top_dense).withColumn("similarity", F.round("similarity", 4))
+
+
+def rrf_fusion(spark, d):
+    return ranking.fuse(_hits(spark, d), CFG.rrf_k)
+
+
+def _blended(spark, d):
+    return asking.ranked_chunks(_questions(spark, d), asking.Corpus(_chunks(spark, d), read_table(spark, d, "entity")), _hits(spark, d), CFG)
+
+
+def rerank_blend(spark, d):
+    return _blended(spark, d).select("query_id", "chunk_id", "rrf", "rerank", F.round("combined", 6).alias("combined"), "rnk")
+
+
+def single_entity_filter(spark, d):
+    detected = entities.detect_entities(_questions(spark, d), read_table(spark, d, "entity"))
+    return ranking.filter_entity(_blended(spark, d), detected, _chunks(spark, d)).select("query_id", "chunk_id", "customer", "rnk")
+
+
+def dynamic_k_combined(spark, d):
+    return ranking.dynamic_k(_blended(spark, d), "combined", CFG.combined_threshold, CFG)
+
+
+def dynamic_k_rrf(spark, d):
+    return ranking.dynamic_k(ranking.fuse(_hits(spark, d), CFG.rrf_k), "rrf", CFG.rrf_threshold, CFG)
+
+
+def smart_select(spark, d):
+    """Targets of a query: the two customers with most candidates in it."""
+    owned = _blended(spark, d).join(_chunks(spark, d).select("chunk_id", "customer"), "chunk_id").where("customer IS NOT NULL AND customer <> 'Unknown Customer'")
+    counts = owned.groupBy("query_id", "customer").agg(F.count("*").alias("n"))
+    targets = counts.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n").desc(), "customer"))).where("r <= 2")
+    return ranking.select_balanced(owned, targets, ranking.dynamic_k(_blended(spark, d), "combined", CFG.combined_threshold, CFG), CFG.per_entity)
+
+
+def _selected(spark, d):
+    ranked = _blended(spark, d)
+    return ranking.take_k(ranked, ranking.dynamic_k(ranked, "combined", CFG.combined_threshold, CFG))
+
+
+def citations(spark, d):
+    return answers.citations(_selected(spark, d), _chunks(spark, d))
+
+
+def map_extract(spark, d):
+    return answers.map_extract(_selected(spark, d), _questions(spark, d), _chunks(spark, d))
+
+
+def reduce_concat(spark, d):
+    return answers.reduce_concat(map_extract(spark, d))
+
+
+def answer_error_class(spark, d):
+    answer = F.when(F.col("text").contains("?"), F.concat(F.lit("Error: "), F.col("text"))).otherwise(F.col("text"))
+    return _questions(spark, d).select("query_id", A.is_error(answer).alias("is_error"))
+
+
+def prompt_header_clean(spark, d):
+    return answers.prompt_documents(_chunks(spark, d)).select("chunk_id", F.md5("document").alias("document_md5"), F.length("document").alias("n_chars"))
+
+
+def debug_preview(spark, d):
+    joined = _hits(spark, d).join(_chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+    return joined.select("query_id", "retriever", "rnk", "chunk_id", A.preview(F.col("content"), CFG.preview_chars).alias("preview"))
+
+
+def reference_edges(spark, d):
+    return graph.reference_edges(_chunks(spark, d))
+
+
+def reference_closure(spark, d):
+    return graph.closure(graph.reference_edges(_chunks(spark, d)))
+
+
+def grid_tables(spark, d):
+    return graph.grid_tables(_chunks(spark, d))
+
+
+def formula_extract(spark, d):
+    return graph.formulas(_chunks(spark, d))
+
+
+def _runs(spark, d):
+    """A tree of runs: question, retriever, retrieved chunk; only the question knows who asks."""
+    hits = _hits(spark, d).select("query_id", "retriever", "rnk", "chunk_id").distinct()
+    q = F.concat(F.lit("q"), F.col("query_id"))
+    r = F.concat(q, F.lit("/"), F.col("retriever"))
+    none, tags = F.lit(None).cast("string"), F.array(F.col("retriever"))
+    roots = _questions(spark, d).select(q.alias("run_id"), none.alias("parent_run_id"), F.col("asked_by").alias("email"), F.array(F.lit("root")).alias("tags"))
+    lists = hits.select(r.alias("run_id"), q.alias("parent_run_id"), none.alias("email"), tags.alias("tags")).distinct()
+    leaves = hits.select(F.concat(r, F.lit("/"), F.col("rnk"), F.lit("/"), F.col("chunk_id")).alias("run_id"), r.alias("parent_run_id"), none.alias("email"), tags.alias("tags"))
+    return roots.unionByName(lists).unionByName(leaves)
+
+
+def trace_email_inherit(spark, d):
+    return trace.inherit_email(_runs(spark, d))
+
+
+def trace_tags(spark, d):
+    return trace.tag_runs(_runs(spark, d)).select("run_id", F.array_join("tags", ",").alias("tags"))
+
+
+def index_roundtrip(spark, d):
+    """Build the index in the shared folder, read it back and count what each artefact holds."""
+    where = f"{ensure_checkpoint_dir(spark)}/index-{abs(hash(d))}-{spark.sparkContext.applicationId}"
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index.build_index(_chunks(spark, d).select("chunk_id", "source", "page_number", "content", "customer", "clause", "hierarchy"), vectors, where, rebuild=True)
+    parts = [index.read_index(spark, where, name).agg(F.lit(name).alias("artefact"), F.count("*").alias("rows"), F.count_distinct("chunk_id").alias("chunk_ids")) for name in index.ARTEFACTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _dense(spark, d):
+    return read_table(spark, d, "hit").where("retriever = 'dense'").select("query_id", "chunk_id", "rnk")
+
+
+def hybrid_ask(spark, d):
+    """Flagship: sparse search, a dense list, fusion, rerank, blend, dynamic K and citations for every question."""
+    corpus = asking.Corpus(_chunks(spark, d), read_table(spark, d, "entity"))
+    return asking.ask(_questions(spark, d), corpus, _dense(spark, d), CFG, filter_entities=False).withColumn("score", F.round("score", 6))
+
+
+def hybrid_ask_by_customer(spark, d):
+    """The same with the customers that a question names: one filters, several are balanced."""
+    corpus = asking.Corpus(_chunks(spark, d), read_table(spark, d, "entity"))
+    return asking.ask(_questions(spark, d), corpus, _dense(spark, d), CFG)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_page_profile, document_plain_text, ocr_fallback_choice, latest_page_deliveries, first_n_pages_concat, known_entities, page_gate, line_explode_spurious, list_item_flag,
+        header_parse, title_cleanup, title_extend, hierarchy_stack, hierarchical_chunks, name_normalize, country_standardize, keyword_dictionary, entity_detect, sparse_encode,
+        sparse_topn, dense_topk, dense_threshold, rrf_fusion, rerank_blend, single_entity_filter, dynamic_k_combined, dynamic_k_rrf, smart_select, citations, map_extract,
+        reduce_concat, answer_error_class, prompt_header_clean, debug_preview, reference_edges, reference_closure, grid_tables, formula_extract, trace_email_inherit, trace_tags,
+        index_roundtrip, hybrid_ask, hybrid_ask_by_customer,
+    )
+}
