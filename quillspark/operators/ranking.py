@@ -31,7 +31,8 @@ def overlap_score(question: Column, content: Column) -> Column:
 
 def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), scorer=overlap_score) -> DataFrame:
     """fused, cut to the pool, with a rerank score of (question text, chunk content). Text joins only what is left."""
-    pool = fused.where(F.col("rnk") <= cfg.rerank_pool)
+    # few bytes but much work per row: spread over all cores, which adaptive coalescing by size would not do
+    pool = fused.where(F.col("rnk") <= cfg.rerank_pool).repartition(fused.sparkSession.sparkContext.defaultParallelism, "query_id", "chunk_id")
     joined = pool.join(questions.select("query_id", F.col("text").alias("_question")), "query_id").join(chunks.select("chunk_id", F.col("content").alias("_content")), "chunk_id")
     return joined.withColumn("rerank", F.round(scorer(F.col("_question"), F.col("_content")), 6)).drop("_question", "_content")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import RetrievalConfig
 from quillspark.operators import answers, entities, ranking, retrieval
+from quillspark.plans.lineage import materialize
 
 
 @dataclass
@@ -34,7 +35,8 @@ def ask(questions: DataFrame, corpus: Corpus, dense: DataFrame, cfg: RetrievalCo
     A question that names one customer gets that customer's chunks only; one that names several gets chunks of each in
     turn; others get the best chunks. Questions without a hit have no row.
     """
-    ranked = ranked_chunks(questions, corpus, hits_of(questions, corpus, dense, cfg), cfg)
+    # ids and scores of a bounded pool per question; everything after reads it several times
+    ranked = materialize(ranked_chunks(questions, corpus, hits_of(questions, corpus, dense, cfg), cfg))
     if filter_entities:
         detected = entities.detect_entities(questions, corpus.names)
         ranked = ranking.filter_entity(ranked, detected, corpus.chunks)
