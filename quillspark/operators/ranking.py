@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import RetrievalConfig
-from quillspark.functions.text import word_count  # noqa: F401  (re-exported for rerankers)
 
 LISTS = {"dense": 0, "sparse": 1}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import PAGE_BREAK, UNKNOWN_CUSTOMER
@@ -15,7 +15,7 @@ PAGE_SCHEMA = "source string, ok boolean, error string, page_number int, content
 
 
 def scan_pdfs(spark: SparkSession, directory: str) -> DataFrame:
-    """(path, content) of the PDF files of a folder, not of its subfolders, in any case of the suffix."""
+    """(path, content) of the PDF files of a folder, not of its subfolders, in any case of the suffix; empty files are not listed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(directory).select("path", "content")
 
 
@@ -81,7 +81,3 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 def write_names(names: DataFrame, path: str) -> None:
     """Overwrite a dictionary of names, sorted."""
     names.select("name").distinct().orderBy("name").coalesce(1).write.mode("overwrite").text(path)
-
-
-def page_order() -> Window:
-    return Window.partitionBy("source").orderBy("page_number", "row_id")
