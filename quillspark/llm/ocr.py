@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -43,6 +43,7 @@ _SPACES = re.compile(r"[ \t  　  ]+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _LEAD, _TAIL = "\"“‘([{", ".,;:?\"”’)]}"
 _CUT = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)[ ]?([-­¬‐])[ ]*$")
+_MARKS = ("-", "\u00ad", "\u00ac", "\u2010")
 _HEAD = re.compile(r"^\s*([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
 _NUMBER = re.compile(r"^\W*(?:\d{1,4}|[ivxlcIVXLC]{1,7})\W*$")
 _PAGE_OF = re.compile(r"^\W*(?:p[a@4][gq9][e3cf]?|seite|pagina|strona|sheet|blatt)\W*[\dOlI]{1,4}(?:\W*(?:[o0][ft]|von|van|z|/)\W*[\dOlI]{1,4})?\W*$", re.I)
@@ -145,6 +146,8 @@ def _same(a: str, b: str) -> bool:
     """Python twin of boilerplate.same_wording."""
     end = 4 if len(b) >= 12 else 2
     n = min(len(a), len(b))
+    if n > 400:  # no running header is as long: only the same wording is
+        return a == b
     return abs(len(a) - len(b)) <= 3 and (a[:end] == b[:end] or a[-end:] == b[-end:]) and _near(a, b) <= (3 if n >= 20 else 2 if n >= 10 else 1 if n >= 6 else 0)
 
 
@@ -183,6 +186,7 @@ class Perceptron:
         return {f: t / max(1, self._step) for f, t in self._total.items() if t}
 
 
+LONGEST_WORD = 48  # a longer run without a blank is no word, and has no repair
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KEEP: list[str] = []
 
@@ -356,6 +360,8 @@ class Editor:
         return stem in self.known or "-" in low and all(p in self.known or not p for p in low.split("-"))
 
     def _core(self, core: str) -> str | None:
+        if len(core) > LONGEST_WORD:
+            return None
         options = edits(core, self.known)
         if not options and not core.isalpha() and len(core) > 3:  # two slips: undo one look-alike, then try again
             for a, b in CONFUSIONS:
@@ -421,7 +427,7 @@ class Editor:
                     if fixed is not None:
                         words[j][-1] = fixed
                         glyphs.add(j)
-            cut = _CUT.search(line)
+            cut = _CUT.search(line[-4 * LONGEST_WORD :]) if line.rstrip(" ")[-1:] in _MARKS else None
             stop = len(tokens)
             if cut and at + 1 < len(body):
                 open_cut = (i, cut[1])
@@ -502,8 +508,8 @@ class Editor:
             if new or not out or _LIST.match(line) or heading or before.rstrip().endswith(":"):
                 if text:
                     out.append(text)
-            elif text:
-                out[-1] += " " + text
+            elif text:  # a compound that keeps its hyphen goes on without a blank
+                out[-1] += text if re.search(r"[^\W\d_]-$", out[-1]) else " " + text
             new = False
             before = line
         return "\n\n".join(out)
@@ -550,7 +556,9 @@ def found(df: DataFrame, key: str = "row_id", **names: str) -> DataFrame:
 
 
 def repair(df: DataFrame, text: str = "content", ocr: str = "ocr", **names: str) -> DataFrame:
-    """df with the text of scanned pages repaired into paragraphs; other rows stay as they are."""
+    """df with the text of scanned pages repaired into paragraphs; other rows stay as they are. The helper columns' names
+    (_found, _repaired, _source, _pages, _nodes) are left out of the result."""
     seen = inspect(df, text=text, ocr=ocr, **names)
-    fixed = seen.select(*[F.col("_repaired").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
-    return fixed.unionByName(df.where(~F.coalesce(F.col(ocr) & F.col(text).isNotNull(), F.lit(False))))
+    columns = [c for c in df.columns if c in seen.columns and c not in ("_found", "_repaired")]
+    fixed = seen.select(*[F.col("_repaired").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    return fixed.unionByName(df.where(~F.coalesce(F.col(ocr) & F.col(text).isNotNull(), F.lit(False))).select(*[F.col(f"`{c}`") for c in columns]))

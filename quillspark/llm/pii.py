@@ -46,7 +46,7 @@ LOCAL = re.compile(rf"[A-Za-z0-9À-ÿ][\w.+'’\-]*{_W}$")
 DOMAIN = re.compile(rf"{_W}[\w\-]+(?:[ \t]?\.[\w\-]+|{_W}[\(\[{{]\s?[dD][oO][tT]\s?[\)\]}}]{_W}[\w\-]+){{1,4}}")
 _GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,5}\)?"
 # the first character stands first, before what must not precede it, so that the search skips to it
-PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+?[\dOo]|(?<=[\dOo])(?!(?<=[12])[09]\d\d-\d\d-\d\d\b|\d?/\d))[\dOoIlSB()]*(?:(?:{_GROUP}){{1,6}}(?!\w)|(?<=\d{{9}})(?!\w))")
+PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+?[\dOo]|(?<=[\dOo])(?!(?<=[12])[09]\d\d-\d\d-\d\d\b|\d?/\d))[\dOoIlSB()]{{0,16}}(?:(?:{_GROUP}){{1,6}}(?!\w)|(?<=\d{{9}})(?!\w))")
 ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
 BOX = re.compile(rf"\b(?:G\.?{_W})?(?:P\.?\s?O\.?{_WS}Box|PO{_WS}BOX|P\.O\.{_WS}BOX|GPO{_WS}Box|Locked{_WS}Bag|Private{_WS}Bag|Post{_WS}Office{_WS}Box|Postfach|p\.?o\.?{_WS}box){_WS}[\dOIl]{{1,6}}\b")
 HOUSE = re.compile(rf"(?:(?<![\w])(?P<unit>(?:{_UNITS})\.?{_WS}[\dA-Z][\dA-Z]{{0,4}})(?:{_W},{_W}|{_WS}))?(?<![\w.,$/\-])(?P<no>(?:\d{{1,4}}[A-Za-z]?(?:{_W}[/\-–]{_W}\d{{1,5}}[A-Za-z]?)?{_WS}))?(?P<street>(?:[A-Z][\w'’]+{_WS}){{1,3}})(?P<type>{_STREETS})\b")
