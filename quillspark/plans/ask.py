@@ -50,3 +50,25 @@ def ask(questions: DataFrame, corpus: Corpus, dense: DataFrame, cfg: RetrievalCo
         chosen = ranking.take_k(ranked, ranking.dynamic_k(ranked, "combined", cfg.combined_threshold, cfg)).select("query_id", "chunk_id", "pos")
     about = corpus.chunks.select("chunk_id", "source", "page_number", answers.A.citation(F.col("source"), F.col("page_number"), F.col("customer"), F.col("clause"), F.col("hierarchy")).alias("citation"))
     return chosen.join(ranked.select("query_id", "chunk_id", F.col("combined").alias("score")), ["query_id", "chunk_id"]).join(about, "chunk_id").select("query_id", "pos", "chunk_id", "source", "page_number", "score", "citation")
+
+
+def explain_retrieval(hits: DataFrame, ranked: DataFrame, selected: DataFrame) -> DataFrame:
+    """Every candidate with its rank in each list, its scores, its final rank and the position it was selected at, if it was."""
+    lists = hits.groupBy("query_id", "chunk_id").agg(F.min(F.when(F.col("retriever") == "dense", F.col("rnk"))).alias("dense_rnk"), F.min(F.when(F.col("retriever") == "sparse", F.col("rnk"))).alias("sparse_rnk"))
+    chosen = selected.select("query_id", "chunk_id", "pos")
+    return ranked.join(lists, ["query_id", "chunk_id"]).join(chosen, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "dense_rnk", "sparse_rnk", "rrf", "rerank", "combined", "rnk", "pos")
+
+
+def answer_questions(questions: DataFrame, selected: DataFrame, chunks: DataFrame, detected: DataFrame | None = None, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, answer, sources, is_error): extracts joined in order, with citations; a fixed sentence where nothing was selected."""
+    texts = answers.reduce_concat(answers.map_extract(selected, questions, chunks))
+    cited = answers.citations(selected, chunks).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cite_no", "label"))).alias("c"))
+    out = questions.select("query_id").join(texts, "query_id", "left").join(cited, "query_id", "left")
+    if detected is not None:
+        out = out.join(detected.select("query_id", "filter_name"), "query_id", "left")
+        specific = F.concat(F.lit("Could not find relevant documents specifically for '"), F.col("filter_name"), F.lit("' matching your query."))
+    else:
+        specific = F.lit(None).cast("string")
+    general = F.lit(f"Could not find relevant documents for your query after selection (Limit: {cfg.min_chunks} chunks).")
+    out = out.withColumn("answer", F.coalesce("answer", specific, general))
+    return out.select("query_id", "answer", F.coalesce(F.transform("c", lambda x: x.label), F.array().cast("array<string>")).alias("sources"), answers.A.is_error(F.col("answer")).alias("is_error"))

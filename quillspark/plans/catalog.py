@@ -189,6 +189,16 @@ def reduce_concat(spark, d):
     return answers.reduce_concat(map_extract(spark, d))
 
 
+def answer_questions(spark, d):
+    out = asking.answer_questions(_questions(spark, d), _selected(spark, d), _chunks(spark, d), cfg=CFG)
+    return out.select("query_id", "answer", F.array_join("sources", "; ").alias("sources"), "is_error")
+
+
+def explain_retrieval(spark, d):
+    out = asking.explain_retrieval(_hits(spark, d), _blended(spark, d), _selected(spark, d))
+    return out.withColumn("combined", F.round("combined", 6))
+
+
 def answer_error_class(spark, d):
     answer = F.when(F.col("text").contains("?"), F.concat(F.lit("Error: "), F.col("text"))).otherwise(F.col("text"))
     return _questions(spark, d).select("query_id", A.is_error(answer).alias("is_error"))
@@ -270,7 +280,7 @@ QUERIES = {
         scan_page_profile, document_plain_text, ocr_fallback_choice, latest_page_deliveries, first_n_pages_concat, known_entities, page_gate, line_explode_spurious, list_item_flag,
         header_parse, title_cleanup, title_extend, hierarchy_stack, hierarchical_chunks, name_normalize, country_standardize, keyword_dictionary, entity_detect, sparse_encode,
         sparse_topn, dense_topk, dense_threshold, rrf_fusion, rerank_blend, single_entity_filter, dynamic_k_combined, dynamic_k_rrf, smart_select, citations, map_extract,
-        reduce_concat, answer_error_class, prompt_header_clean, debug_preview, reference_edges, reference_closure, grid_tables, formula_extract, trace_email_inherit, trace_tags,
+        reduce_concat, answer_questions, explain_retrieval, answer_error_class, prompt_header_clean, debug_preview, reference_edges, reference_closure, grid_tables, formula_extract, trace_email_inherit, trace_tags,
         index_roundtrip, hybrid_ask, hybrid_ask_by_customer,
     )
 }

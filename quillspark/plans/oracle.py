@@ -133,6 +133,13 @@ ORACLE: dict[str, str] = {
     "citations": f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS cite_no, {_CITATION} AS label FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, page_number ORDER BY pos) AS n FROM ({selected('hit')}) JOIN chunk_out USING (chunk_id)) WHERE n = 1",
     "map_extract": f"SELECT query_id, CAST(pos AS INTEGER) AS pos, extract FROM ({_EXTRACT})",
     "reduce_concat": f"SELECT query_id, string_agg(extract, chr(10) || chr(10) ORDER BY pos) AS answer FROM ({_EXTRACT}) GROUP BY query_id",
+    "answer_questions": f"""WITH texts AS (SELECT query_id, string_agg(extract, chr(10) || chr(10) ORDER BY pos) AS answer FROM ({_EXTRACT}) GROUP BY query_id),
+      cited AS (SELECT query_id, string_agg(label, '; ' ORDER BY pos) AS sources FROM (SELECT *, {_CITATION} AS label, row_number() OVER (PARTITION BY query_id, source, page_number ORDER BY pos) AS n FROM ({selected("hit")}) JOIN chunk_out USING (chunk_id)) WHERE n = 1 GROUP BY query_id),
+      answered AS (SELECT query_id, coalesce(answer, 'Could not find relevant documents for your query after selection (Limit: 1 chunks).') AS answer, coalesce(sources, '') AS sources FROM question LEFT JOIN texts USING (query_id) LEFT JOIN cited USING (query_id))
+      SELECT *, contains(answer, 'Error:') OR contains(answer, 'Could not find') OR contains(answer, 'System not ready') OR contains(answer, 'Found relevant documents, but none matched') AS is_error FROM answered""",
+    "explain_retrieval": f"""SELECT b.query_id, b.chunk_id, dense_rnk, sparse_rnk, rrf, rerank, round(combined, 6) AS combined, CAST(b.rnk AS INTEGER) AS rnk, CAST(pos AS INTEGER) AS pos FROM ({blended("hit")}) AS b
+      JOIN (SELECT query_id, chunk_id, min(rnk) FILTER (retriever = 'dense') AS dense_rnk, min(rnk) FILTER (retriever = 'sparse') AS sparse_rnk FROM hit GROUP BY query_id, chunk_id) AS l ON l.query_id = b.query_id AND l.chunk_id = b.chunk_id
+      LEFT JOIN (SELECT query_id, chunk_id, pos FROM ({selected("hit")})) AS s ON s.query_id = b.query_id AND s.chunk_id = b.chunk_id""",
     "answer_error_class": "SELECT query_id, contains(a, 'Error:') OR contains(a, 'Could not find') OR contains(a, 'System not ready') OR contains(a, 'Found relevant documents, but none matched') AS is_error FROM (SELECT query_id, CASE WHEN contains(text, '?') THEN 'Error: ' || text ELSE text END AS a FROM question)",
     "prompt_header_clean": f"""SELECT chunk_id, md5(t) AS document_md5, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT chunk_id, 'Source: ' || coalesce(source, 'Unknown') || ' | Page: ' || coalesce(CAST(page_number AS VARCHAR), 'N/A') || ' | Customer: ' || coalesce(customer, 'Unknown') || ' | Clause: ' || coalesce(clause, 'N/A') || chr(10) || '---' || chr(10)
       || {strip("regexp_replace(regexp_replace(coalesce(content, ''), '(?m)^```[a-zA-Z]*\\n', '', 'g'), '(?m)\\n```$', '', 'g')")} AS t FROM chunk_out)""",
