@@ -41,13 +41,15 @@ _STREETS = "|".join(sorted({v for w in STREET_TYPES.split() for v in (w, w.upper
 _UNITS = "|".join(v for w in UNIT_WORDS.split() for v in (w, w.upper(), w.lower()))
 _W = r"[ \t  　]*\n?[ \t  　]*"  # within an item, one line end at most
 _WS = r"[\s ]{1,4}"
+_LINE_NUMBERS = re.compile(r"\d{1,4}\n\d{1,4}")
+_NATIONAL = re.compile(r"n.{1,2}tion.{1,2}l\s+$")
 _AT = re.compile(r"@|[\(\[{]\s?[aA][tT]\s?[\)\]}]")
 LOCAL = re.compile(rf"[A-Za-z0-9À-ÿ][\w.+'’\-]*{_W}$")
 DOMAIN = re.compile(rf"{_W}[\w\-]+(?:[ \t]?\.[\w\-]+|{_W}[\(\[{{]\s?[dD][oO][tT]\s?[\)\]}}]{_W}[\w\-]+){{1,4}}")
-_GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,5}\)?"
+_GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,6}\)?"
 # the first character stands first, before what must not precede it, so that the search skips to it
 PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+?[\dOo]|(?<=[\dOo])(?!(?<=[12])[09]\d\d-\d\d-\d\d\b|\d?/\d))[\dOoIlSB()]{{0,16}}(?:(?:{_GROUP}){{1,6}}(?!\w)|(?<=\d{{9}})(?!\w))")
-ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
+ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-\n]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
 BOX = re.compile(rf"\b(?:G\.?{_W})?(?:P\.?\s?O\.?{_WS}Box|PO{_WS}BOX|P\.O\.{_WS}BOX|GPO{_WS}Box|Locked{_WS}Bag|Private{_WS}Bag|Post{_WS}Office{_WS}Box|Postfach|p\.?o\.?{_WS}box){_WS}[\dOIl]{{1,6}}\b")
 HOUSE = re.compile(rf"(?:(?<![\w])(?P<unit>(?:{_UNITS})\.?{_WS}[\dA-Z][\dA-Z]{{0,4}})(?:{_W},{_W}|{_WS}))?(?<![\w.,$/\-])(?P<no>(?:\d{{1,4}}[A-Za-z]?(?:{_W}[/\-–]{_W}\d{{1,5}}[A-Za-z]?)?{_WS}))?(?P<street>(?:[A-Z][\w'’]+{_WS}){{1,3}})(?P<type>{_STREETS})\b")
 _NUMBERED = re.compile(r"\d[A-Za-z]?[\s ]{1,4}[A-Z]")
@@ -57,8 +59,9 @@ _PART = r"(?:(?:VON|VAN|DE|DER|von|van|de|der|den|da|dos|di|del|la|le|bin|al|ter
 _NICK = r"(?:[“\"'‘(][A-ZÀ-Þ][\w]+[”\"'’)])"
 _GAP = r"[ \t  　]{0,3}\n?[ \t  　]{0,2}"
 _SEP = r"(?:[ \t  　]{1,3}\n?|\n)"
-_NEXT = rf"(?:{_SEP}|(?<=\.){_GAP})(?:{_PART}){{0,2}}(?:{_NICK}{_SEP})?{_T}"
-PERSON = re.compile(rf"(?<![\w@.’'\-°])(?:(?P<title>(?:{'|'.join(TITLES.split())})\.?{_SEP})(?P<t>(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{0,4}}))|(?P<n>(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{1,4}})))(?!\w)")
+_OPENING = r"(?!(?:Dear|According|Neither|Yours|Signed|Name|Keys|Witness|Attention|Contact|Email|Tel|Visitor|Notices|Please)\b)"
+_NEXT = rf"(?:{_SEP}|(?<=\.){_GAP}){_OPENING}(?:{_PART}){{0,2}}(?:{_NICK}{_SEP})?{_T}"
+PERSON = re.compile(rf"(?<![\w@.’'\-°])(?:(?P<title>(?:{'|'.join(TITLES.split())})\.?{_SEP})(?P<t>(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{0,4}}))|(?P<n>{_OPENING}(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{1,4}})))(?!\w)")
 
 _STOP = {w.lower() for w in NOT_NAMES}
 _GIVEN = {w.lower() for w in GIVEN}
@@ -77,6 +80,13 @@ def _stop(token: str) -> bool:
     return token.strip(".,;:'’“”\"()").lower() in _STOP
 
 
+def _is_name_may(text: str, start: int, end: int, run: list) -> bool:
+    """May is a given name after a surname and comma, or before another name, unless a day or a year stands beside it."""
+    if re.search(r"\d\W*$", text[max(0, start - 3) : start]):
+        return False
+    return bool(run) and text[:start].rstrip().endswith(",") or bool(re.match(r"\s+(?:[a-z]+\s|[“\"])?[A-Z]", text[end : end + 12]))
+
+
 def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
     """(start, end, after a title): runs of capitalised words, without the words that aren't parts of names at their ends."""
     for m in PERSON.finditer(text):
@@ -93,7 +103,7 @@ def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int,
                 if run:
                     runs.append((run, after))
                 run, after = [], True
-            elif word.lower() in _STOP and not (word == "May" and not text[max(0, p[0] - 2) : p[0]].strip().isdigit() and re.match(r"\s+(?:[a-z]+\s)?[A-Z]", text[p[1] : p[1] + 12])):
+            elif word.lower() in _STOP and not (word in ("May", "MAY") and _is_name_may(text, p[0], p[1], run)):
                 if run:
                     runs.append((run, after))
                 run, after = [], False
@@ -130,7 +140,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
         if before:
             out.append(("email", at.start() - len(before[0]), after.end(), 0))
     for m in PHONE.finditer(text):
-        if 7 <= sum(c in "0123456789OoIlSB" for c in m[0]) <= 15 and m[0].count("\n") < 2:
+        if 7 <= sum(c in "0123456789OoIlSB" for c in m[0]) <= 15 and m[0].count("\n") < 2 and not _LINE_NUMBERS.fullmatch(m[0]):
             around = m[0][0] == "(" and m[0].find(")") in (-1, len(m[0]) - 1)  # a bracket around the whole number isn't part of it
             out.append(("phone", m.start() + around, m.end() - (around and m[0][-1] == ")"), 0))
     lower = text.lower()
@@ -139,7 +149,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
             at = lower.find(word)
             while at >= 0:
                 m = ID.match(text, at) if at == 0 or not lower[at - 1].isalnum() else None
-                if m:
+                if m and m["v"].count("\n") < 2 and (word != "insurance" or _NATIONAL.search(lower, max(0, at - 12), at)):
                     out.append(("id_number", m.start("v"), m.end("v"), 0))
                 at = lower.find(word, at + len(word))
     else:  # a letter whose lower case is longer moves the positions
