@@ -20,20 +20,20 @@ MAX_SPAN = 6  # tokens of a span; the longest written form below has five
 # Other written forms of countries (ISO 3166-1 alpha-3 codes, usual short forms, official names, names in
 # the country's own language), by the English name they stand for; an empty name marks other places that contain a name.
 FORMS = {
-    "Australia": "AUS Oz Aust Straya Commonwealth_of_Australia New_South_Wales", "Austria": "AUT Oesterreich Osterreich", "Belgium": "BEL Belgie Belgique Belgien",
-    "Brazil": "BRA Brasil", "Bulgaria": "BGR BUL Bulgariya", "Canada": "CAN", "Chile": "CHL CHI", "China": "CHN PRC PR_China Peoples_Republic_of_China Peoples_Rep_of_China Zhongguo",
-    "Colombia": "COL", "Croatia": "HRV CRO Hrvatska", "Czechia": "CZE Cesko Czech_Republic Czech_Rep Ceska_republika", "Denmark": "DNK DEN Danmark", "Dominica": "DMA Commonwealth_of_Dominica",
+    "Australia": "AUS Oz Aust Commonwealth_of_Australia New_South_Wales", "Austria": "AUT Oesterreich Osterreich", "Belgium": "BEL Belgie Belgique Belgien",
+    "Brazil": "BRA Brasil", "Bulgaria": "BGR Bulgariya", "Canada": "CAN", "Chile": "CHL", "China": "CHN PRC PR_China Peoples_Republic_of_China Peoples_Rep_of_China",
+    "Colombia": "COL", "Croatia": "HRV Hrvatska", "Czechia": "CZE Cesko Czech_Republic Czech_Rep", "Denmark": "DNK Danmark", "Dominica": "DMA Commonwealth_of_Dominica",
     "Dominican Republic": "DOM Dominican_Rep Republica_Dominicana Dom_Rep", "Egypt": "EGY Arab_Republic_of_Egypt Misr", "Estonia": "EST Eesti", "Finland": "FIN Suomi Suomen_tasavalta", "France": "FRA French_Republic Republique_francaise",
-    "Germany": "DEU GER BRD FRG Deutschland Federal_Republic_of_Germany", "Greece": "GRC GRE Hellas Ellada Hellenic_Republic", "Guinea": "GIN Guinee", "Guinea-Bissau": "GNB Guine_Bissau",
-    "Hungary": "HUN Magyarorszag", "Iceland": "ISL Island", "India": "IND Bharat", "Indonesia": "IDN INA", "Iran": "IRN Persia", "Iraq": "IRQ Al_Iraq", "Ireland": "IRL Eire",
-    "Israel": "ISR Yisrael", "Italy": "ITA Italia Italian_Republic Repubblica_Italiana", "Japan": "JPN Nippon Nihon", "Kenya": "KEN", "Latvia": "LVA LAT Latvija", "Lithuania": "LTU Lietuva", "Luxembourg": "LUX Luxemburg Letzebuerg",
-    "Malaysia": "MYS MAS", "Mexico": "MEX United_Mexican_States Estados_Unidos_Mexicanos", "Morocco": "MAR Maroc Al_Maghrib", "Netherlands": "NLD NED Holland Nederland The_Netherlands Kingdom_of_the_Netherlands Niederlande Pays_Bas", "New Zealand": "NZL Aotearoa N_Zealand NZ",
-    "Niger": "NER", "Nigeria": "NGA", "Norway": "NOR Norge Noreg", "Peru": "PER", "Philippines": "PHL PHI Pilipinas Filipinas", "Poland": "POL Polska Rzeczpospolita_Polska",
-    "Portugal": "PRT POR Portuguese_Republic Republica_Portuguesa", "Romania": "ROU ROM Rumania", "Singapore": "SGP SIN Spore Singapura", "Slovakia": "SVK Slovensko Slovak_Republic Slovak_Rep", "Slovenia": "SVN SLO Slovenija",
+    "Germany": "DEU GER BRD FRG Deutschland Federal_Republic_of_Germany", "Greece": "GRC Hellas Hellenic_Republic", "Guinea": "GIN Guinee", "Guinea-Bissau": "GNB Guine_Bissau",
+    "Hungary": "HUN Magyarorszag", "Iceland": "ISL Island", "India": "IND Bharat", "Indonesia": "IDN", "Iran": "IRN Persia", "Iraq": "IRQ", "Ireland": "IRL Eire",
+    "Israel": "ISR", "Italy": "ITA Italia Italian_Republic Repubblica_Italiana", "Japan": "JPN Nippon Nihon", "Kenya": "KEN", "Latvia": "LVA Latvija", "Lithuania": "LTU Lietuva", "Luxembourg": "LUX Luxemburg Letzebuerg",
+    "Malaysia": "MYS", "Mexico": "MEX United_Mexican_States Estados_Unidos_Mexicanos", "Morocco": "MAR Maroc", "Netherlands": "NLD Holland Nederland The_Netherlands Kingdom_of_the_Netherlands Niederlande Pays_Bas", "New Zealand": "NZL Aotearoa N_Zealand NZ",
+    "Niger": "NER", "Nigeria": "NGA", "Norway": "NOR Norge", "Peru": "PER", "Philippines": "PHL Pilipinas Filipinas", "Poland": "POL Polska Rzeczpospolita_Polska",
+    "Portugal": "PRT Portuguese_Republic Republica_Portuguesa", "Romania": "ROU Rumania", "Singapore": "SGP Spore Singapura", "Slovakia": "SVK Slovensko Slovak_Republic Slovak_Rep", "Slovenia": "SVN Slovenija",
     "South Africa": "ZAF RSA S_Africa Suid_Afrika Sth_Africa", "South Korea": "KOR ROK S_Korea Republic_of_Korea Rep_of_Korea Korea Hanguk", "Spain": "ESP Espana", "Sweden": "SWE Sverige",
-    "Switzerland": "CHE SUI Schweiz Suisse Svizzera Swiss_Confederation Schweizerische_Eidgenossenschaft Helvetia", "Thailand": "THA", "Turkey": "TUR Turkiye", "Ukraine": "UKR Ukraina", "United Arab Emirates": "ARE UAE Emirates",
+    "Switzerland": "CHE Schweiz Suisse Svizzera Swiss_Confederation Schweizerische_Eidgenossenschaft Helvetia", "Thailand": "THA", "Turkey": "TUR Turkiye", "Ukraine": "UKR Ukraina", "United Arab Emirates": "ARE UAE Emirates",
     "United Kingdom": "GBR UK GB Britain Great_Britain Gt_Britain England Scotland Wales Northern_Ireland United_Kingdom_of_Great_Britain Utd_Kingdom Royaume_Uni Reino_Unido Vereinigtes_Konigreich", "United States": "USA US U_S_of_A US_of_A America United_States_of_America Utd_States Estados_Unidos Etats_Unis Vereinigte_Staaten",
-    "Uruguay": "URY URU", "Vietnam": "VNM VIE Viet_Nam", "": "Papua_New_Guinea Equatorial_Guinea North_Korea Latin_America South_America North_America Central_America South_Sudan New_Mexico New_England",
+    "Uruguay": "URY", "Vietnam": "VNM Viet_Nam", "": "Papua_New_Guinea Equatorial_Guinea North_Korea Latin_America South_America North_America Central_America South_Sudan New_Mexico New_England",
 }
 
 
@@ -42,9 +42,9 @@ def plain(value: Column) -> Column:
     return F.translate(F.translate(F.lower(value), ACCENTS, PLAIN), "ß'’`", "s")
 
 
-def written_forms(spark: SparkSession, reference: DataFrame, key: str = "region_id", name: str = "name", code: str | None = "code") -> DataFrame:
-    """(entry_id, form, n): every written form of the reference entries; forms of up to three characters match only exactly."""
-    rows = [(entry, form.replace("_", "")) for entry, forms in FORMS.items() for form in forms.split()]
+def written_forms(spark: SparkSession, reference: DataFrame, key: str = "region_id", name: str = "name", code: str | None = "code", others: dict[str, str] = FORMS) -> DataFrame:
+    """(entry_id, form, n): every written form of the reference entries, `others` by entry name included; forms of up to three characters match only exactly."""
+    rows = [(entry, form.replace("_", "")) for entry, forms in others.items() for form in forms.split()]
     extra = spark.createDataFrame(rows, "entry string, form string")
     base = reference.select(F.col(key).cast("int").alias("entry_id"), F.col(name).alias("name"), F.col(code).alias("code") if code else F.lit(None).cast("string").alias("code")).where(F.col("entry_id").isNotNull())
     squeeze = lambda c: F.regexp_replace(plain(c), "[^a-z0-9]+", "")
