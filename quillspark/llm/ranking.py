@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 64  # parts of a group at least; as many more as the session has shuffle partitions, four for each
 
 
-def with_rank(df: DataFrame, group: list[str], key: str, order: list[str] | None = None, salts: int = SALTS) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], key: str, order: list[str] | None = None, salts: int | None = None) -> DataFrame:
     """df with _rank, from 0 within `group`, by `order` first and else in a fixed but arbitrary order of the key.
 
     No task ever holds a whole group: rows are numbered within (group, order, salt), where the salt is a hash of the key,
     and the offsets of these parts come from their counts, of which a group has at most salts times the distinct values
     of `order`. Ties on everything are numbered anyhow.
     """
+    salts = salts or max(SALTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = [*group, *(order or []), "_salt"]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*part).agg(F.count("*").alias("_c"))
