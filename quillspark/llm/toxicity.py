@@ -47,6 +47,7 @@ HARD = ("insult", "profane", "sexual", "explicit", "violent", "dehuman", "contem
 FEATURES = [*CATEGORIES, *PHRASES, "weight", "density", "disguised", "disguised_hard", "near_second", "capitals", "exclaims", "words"]
 # Characters that look like Latin letters or stand for them.
 LOOKALIKE = str.maketrans("аеорсухіѕԁ", "aeopcyxisd")
+_LOOKALIKES = re.compile("[" + "".join(map(chr, LOOKALIKE)) + "]")
 LEET = str.maketrans("@4130$5!78", "aaieossitb")
 
 _CATEGORY: dict[str, list[str]] = {}
@@ -60,6 +61,7 @@ _SHAPES: dict[tuple[str, int], list[str]] = {}
 for _w in sorted(_HARD_WORDS):
     _SHAPES.setdefault((_w[0], len(_w)), []).append(_w)
 _PHRASE = {k: re.compile(r"\b(?:" + v + ")") for k, v in PHRASES.items()}
+_ANY_PHRASE = re.compile(r"\b(?:" + "|".join(PHRASES[k] for k in ("threat", "hate", "sex", "abuse")) + ")")
 _SPELLED = re.compile(r"(?<![\w.*])\w(?:[ .\-_]\w){2,}(?!\w)|(?<![\w.*])\w(?:[ .\-_]\w){2,}\w*")
 _INVISIBLE = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")  # accents and characters without width
 _TAG = re.compile(r"<[^<>]{1,40}>")
@@ -71,7 +73,8 @@ _ENDING = re.compile(r"(?:s|ed|es|er|ers)$")
 def _plain(text: str) -> str:
     if text.isascii():
         return text
-    return _INVISIBLE.sub("", unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ł", "l").replace("Ł", "L"))).translate(LOOKALIKE)
+    bare = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ł", "l").replace("Ł", "L")))
+    return bare.translate(LOOKALIKE) if _LOOKALIKES.search(bare) else bare
 
 
 def _lookup(token: str) -> tuple[list[str], bool]:
@@ -125,10 +128,26 @@ def _windows(sentence: str, marks: int) -> list[tuple[str, int]]:
     return [(" ".join(words[i : i + WINDOW]), marks if i + WINDOW >= len(words) else 0) for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
 
 
+def _prepared(text: str) -> str:
+    return _SPELLED.sub(_together, _TAG.sub(" ", _plain(text)))
+
+
+def _suspicious(text: str) -> bool:
+    """Whether any sentence can have features: a hard word, also a disguised one, or a phrase stands somewhere in the text."""
+    low = _prepared(text).lower()
+    clean = cached("toxicity clean", set)
+    if len(clean) > 300_000:
+        clean.clear()
+    for token in set(_TOKEN.findall(low.replace("!", " "))) - clean:
+        if any(c in HARD for c in _look(token)[0]):
+            return True
+        clean.add(token)
+    return bool(_ANY_PHRASE.search(re.sub(r"[^\w]+", " ", low)))
+
+
 def sentences(text: str) -> list[tuple[str, int]]:
     """Sentences with the number of exclamation marks that end them; letters spelled apart are put together first."""
-    text = _TAG.sub(" ", _plain(text))
-    text = _SPELLED.sub(_together, text)
+    text = _prepared(text)
     out, at = [], 0
     for m in _SENTENCE.finditer(text):
         if m.start() > at:
@@ -257,7 +276,7 @@ def score_texts(texts: list[str | None], model: boosting.Boosted) -> np.ndarray:
     """The worst sentence's probability; 0 for a text without a word of the lexicon, and for an empty or null one."""
     rows, owner = [], []
     for k, text in enumerate(texts):
-        if text:
+        if text and _suspicious(text):
             for s, marks in sentences(text):
                 row = features(s, marks)
                 if row is not None:
