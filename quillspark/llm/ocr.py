@@ -9,6 +9,7 @@ corpus' own clean pages, to which scanning noise is added.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,9 @@ from quillspark.plans.lineage import materialize
 
 @dataclass(frozen=True)
 class OcrConfig:
-    least_share: float = 5e-6  # a word is known if it makes up this share of all words of clean pages: at most 200,000 words
-    least_count: int = 3
+    least_count: int = 3  # a word is known if clean pages have it as often, whatever the size of the corpus
+    held_words: int = 200_000  # known words that every task holds; pages get the others that they ask for by a join
+    train_share: float = 5e-6  # training draws from known words that make up this share of all words of clean pages: at most 200,000
     edge_lines: int = 3  # lines with text, from the top and from the foot, that may be furniture
     least_pages: int = 3  # of a source that carry a running header
     least_page_share: float = 0.15
@@ -110,12 +112,57 @@ def statistics(df: DataFrame, source: str, text: str, ocr: str, cfg: OcrConfig)
     return columns.mapInPandas(count, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def lexicon(counted: DataFrame, cfg: OcrConfig) -> dict[str, int]:
-    """Known words with their counts over all clean pages; their least share bounds their number."""
-    words = counted.where("kind = 'w'")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(cfg.least_count, total * cfg.least_share)
-    return {r["a"]: r["n"] for r in words.where(F.col("n") >= least).collect()}
+def known_words(counted: DataFrame, least: float) -> DataFrame:
+    """(a, n): words of clean pages with their counts over all of them."""
+    return counted.where((F.col("kind") == "w") & (F.col("n") >= least)).select("a", "n")
+
+
+def _collected(words: DataFrame) -> dict[str, int]:
+    return {r["a"]: r["n"] for r in words.collect()}
+
+
+def most_frequent(words: DataFrame, count: int, most: int) -> dict[str, int]:
+    """All words if there are at most so many, else the most frequent, by steps of frequency, that are not more."""
+    if count <= most:
+        return _collected(words)
+    step = F.floor(F.log2("n") * 16)
+    kept, least = 0, None
+    for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.col("step").desc()).collect():
+        kept += r["words"]
+        if kept > most:
+            break
+        least = r["step"]
+    return {} if least is None else _collected(words.where(step >= least))
+
+
+def training_words(counted: DataFrame, cfg: OcrConfig) -> dict[str, int]:
+    """The words that training draws from; rarer ones are known too, but are no examples."""
+    total = counted.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+    return _collected(known_words(counted, max(cfg.least_count, total * cfg.train_share)))
+
+
+def _bits(key: str, size: int) -> tuple[int, int, int]:
+    """Places of a word in a filter of size bits, a power of two."""
+    h = zlib.crc32(key.encode("utf-8", "surrogatepass"))
+    return h * 0x9E3779B97F4A7C15 >> 20 & size - 1, h * 0xC2B2AE3D27D4EB4F >> 23 & size - 1, h * 0x165667B19E3779F9 >> 26 & size - 1
+
+
+def word_filter(words: DataFrame, count: int, most: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of words. It only spares the join keys that no word has; its bounded size doesn't change what the join finds."""
+    size = min(most, 1 << max(10, (12 * count).bit_length()))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, dtype=bool)
+        for batch in batches:
+            for word in batch["a"]:
+                for at in _bits(word, size):
+                    bits[at] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in words.select("a").coalesce(8).mapInPandas(build, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
 
 
 def edge_support(counted: DataFrame, cfg: OcrConfig) -> DataFrame:
@@ -191,15 +238,17 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KEEP: list[str] = []
 
 
-def edits(word: str, known: dict[str, int]) -> list[tuple[str, list[str]]]:
-    """Known words that one edit of the characters, or reading all look-alikes at once, makes of the word, with features."""
+def edits(word: str, known: dict[str, int], least: int = 0, first: bool = True) -> list[tuple[str, list[str]]]:
+    """Known words that one edit of the characters, or reading all look-alikes at once, makes of the word, with features.
+    Rarer words than any that training saw (least) are taken like the rarest of those. Without first, a first letter
+    changes only by a look-alike: names differ by it (Kravridge, Ravridge), and initials stand before names in addresses."""
     low = word.lower()
     out: dict[str, list[str]] = {}
 
     def propose(new: str, op: str, at: int) -> None:
         new = new.lower()
         if new != low and new in known:
-            count = known[new]
+            count = max(known[new], least)
             f = ["edit", op, f"{op.split(':')[0]}|len{min(len(low), 8)}", f"freq{min(6, len(str(count)))}", f"at{'start' if at == 0 else 'end' if at >= len(low) - 1 else 'in'}", f"odd{_odd(word)}", f"case{word[:1].isupper()}{word.isupper()}"]
             if new not in out or len(f) > len(out[new]):
                 out[new] = f
@@ -216,9 +265,9 @@ def edits(word: str, known: dict[str, int]) -> list[tuple[str, list[str]]]:
         for digits in ("olszbaigc", "oisebaigc", "olsgbaigc"):
             propose(word.translate(str.maketrans("0152" + "6@!9(", digits[:4] + digits[4:])), "replace:all", 1)
     if len(low) >= 4 and low.isalpha():
-        for i in range(len(low)):
+        for i in range(not first, len(low)):
             propose(low[:i] + low[i + 1 :], f"delete:{low[i]}", i)
-        for i in range(len(low) + 1):
+        for i in range(not first, len(low) + 1):
             for c in _LETTERS:
                 if i < len(low) and c != low[i]:
                     propose(low[:i] + c + low[i + 1 :], "replace:other", i)
@@ -309,8 +358,8 @@ def train(known: dict[str, int], cfg: OcrConfig, seed: int = 11) -> dict[str, fl
 
 # ---- the editor --------------------------------------------------------------------------------------------------
 class Editor:
-    def __init__(self, known: dict[str, int], weights: dict[str, float], cfg: OcrConfig) -> None:
-        self.known, self.weights, self.cfg = known, weights, cfg
+    def __init__(self, known: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int = 0) -> None:
+        self.known, self.weights, self.cfg, self.least = known, weights, cfg, least
         self.seen: dict[str, str | None] = {}  # word -> its repair, None if it stays
 
     def score(self, features: list[str]) -> float:
@@ -362,11 +411,11 @@ class Editor:
     def _core(self, core: str) -> str | None:
         if len(core) > LONGEST_WORD:
             return None
-        options = edits(core, self.known)
+        options = edits(core, self.known, self.least, False)
         if not options and not core.isalpha() and len(core) > 3:  # two slips: undo one look-alike, then try again
             for a, b in CONFUSIONS:
                 if not b.isalpha() and b in core:
-                    options += edits(core.replace(b, a, 1), self.known)
+                    options += edits(core.replace(b, a, 1), self.known, self.least, False)
         if not options:
             return None
         best, f = max(options, key=lambda o: (self.score(o[1]), self.known[o[0]], o[0]))
@@ -423,9 +472,11 @@ class Editor:
                         words[j][-1] = head + rest
                     tokens = tokens[1:]
                 elif words[j]:
-                    fixed = self.word(words[j][-1])
+                    last = words[j][-1]
+                    stem = last.rstrip(" -­¬‐")  # the mark at the line end is no misread letter
+                    fixed = self.word(stem)
                     if fixed is not None:
-                        words[j][-1] = fixed
+                        words[j][-1] = fixed + last[len(stem) :]
                         glyphs.add(j)
             cut = _CUT.search(line[-4 * LONGEST_WORD :]) if line.rstrip(" ")[-1:] in _MARKS else None
             stop = len(tokens)
@@ -475,8 +526,8 @@ class Editor:
         found = sorted((i + 1, k) for i, ks in kinds.items() for k in ks)
         return found, self._paragraphs(lines, words, joins, kinds)
 
-    def _broken(self, a: str, b: str | None) -> str | None:
-        """The word that a space cut in two, if a and b are one."""
+    def _halves(self, a: str, b: str | None) -> tuple[str, str] | None:
+        """a and b without punctuation around them, if they can be one word."""
         if not b or not a.isalpha():
             if not b or not a.lstrip(_LEAD).isalpha():
                 return None
@@ -486,6 +537,14 @@ class Editor:
         core, head = b[:end], a.lstrip(_LEAD)
         if not core.isalpha() or core[0].isupper() and not head.isupper():
             return None
+        return head, core
+
+    def _broken(self, a: str, b: str | None) -> str | None:
+        """The word that a space cut in two, if a and b are one."""
+        halves = self._halves(a, b)
+        if halves is None:
+            return None
+        head, core = halves
         known = self.known
         joined = (head + core).lower()
         if joined not in known or (head.lower() in known and core.lower() in known):
@@ -515,33 +574,155 @@ class Editor:
         return "\n\n".join(out)
 
 
+class _Asked:
+    """Stands for the known words and notes what is asked for beyond them."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        self.known, self.keys = known, set()
+
+    def __contains__(self, key: str) -> bool:
+        if key in self.known:
+            return True
+        self.keys.add(key)
+        return False
+
+    def __getitem__(self, key: str) -> int:
+        return self.known[key]
+
+    def get(self, key: str, default: int = 0) -> int:
+        return self.known[key] if key in self else default
+
+
+class Asker:
+    """Finds the words beyond the held ones that the editor can ask for on a page, whatever of them is known.
+
+    More known words never make the editor ask for others, except where it joins lines or goes through the parts of a
+    compound; these are asked for here in any case.
+    """
+
+    def __init__(self, held: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int, bits: np.ndarray) -> None:
+        self.asked = _Asked(held)
+        self.editor = Editor(self.asked, weights, cfg, least)
+        self.bits, self.most = bits, cfg.edge_lines + 1
+        self.seen: dict[str, frozenset[str]] = {}
+
+    def _drain(self) -> set[str]:
+        """What was asked for and may be a known word."""
+        size, bits = len(self.bits) * 8, self.bits
+        out = {k for k in self.asked.keys if all(bits[at >> 3] >> (7 - (at & 7)) & 1 for at in _bits(k, size))}
+        self.asked.keys.clear()
+        return out
+
+    def _word(self, token: str, whole: bool = False) -> frozenset[str]:
+        """whole: a word of two lines, whose punctuation isn't cut off."""
+        key = "\n" + token if whole else token
+        if key not in self.seen:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            self._drain()
+            parts = token.lower().split("-")
+            for part in [*parts, parts[0].lstrip(_LEAD), parts[-1].rstrip(_TAIL)]:
+                part in self.asked  # noqa: B015
+            if not whole:
+                token in self.asked  # noqa: B015
+                self.editor._word(token)
+            elif not self.editor._fine(token):
+                self.editor._core(token)
+            self.seen[key] = frozenset(self._drain())
+        return self.seen[key]
+
+    def page(self, text: str) -> set[str]:
+        out: set[str] = set()
+        lines = text.split("\n")
+        filled = [i for i, line in enumerate(lines) if line and not line.isspace()]
+        edge = set(edge_lines(lines, self.most))
+        for at, i in enumerate(filled):
+            line = lines[i]
+            tokens = _SPACES.split(line.strip(" \t  　"))
+            if len(tokens) > 1 and tokens[-1] in _MARKS:
+                tokens.append(tokens[-2] + tokens[-1])
+            for token in [*tokens, tokens[-1].rstrip(" -­¬‐")]:
+                out |= self._word(token)
+            for a, b in zip(tokens, tokens[1:]):
+                if a in self.asked.known and b in self.asked.known:
+                    continue
+                halves = self.editor._halves(a, b)
+                if halves is not None:
+                    self.asked.keys.update(x.lower() for x in (halves[0] + halves[1], *halves))
+            cut = _CUT.search(line[-4 * LONGEST_WORD :]) if line.rstrip(" ")[-1:] in _MARKS else None
+            for j in filled[at + 1 :] if cut else ():  # past lines that may be furniture
+                m = _HEAD.match(lines[j])
+                if m:
+                    line_join(cut[1], line.rstrip()[-1], m[1], self.asked)
+                    self.asked.keys.update(x.lower() for x in (cut[1] + m[1], cut[1].split("-")[-1] + m[1]))
+                    out |= self._drain()
+                    out |= self._word(cut[1].split("-")[-1] + m[1], True)
+                if j not in edge:
+                    break
+            out |= self._drain()
+        return {k for k in out if k not in self.asked.known}
+
+
 # ---- the operator ------------------------------------------------------------------------------------------------
+def further_words(pages: DataFrame, text: str, words: DataFrame, count: int, held: dict[str, int], weights: dict[str, float], least: int, cfg: OcrConfig) -> DataFrame:
+    """(_text, _more): per distinct text, by its hash, the known words beyond the held ones that the editor can ask for.
+
+    An equality join on the word; a Bloom filter spares keys that no word has.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast((held, weights, word_filter(words, count)))
+    token = f"{len(held)}-{sum(held.values())}-{count}-{least}-{cfg}"
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asker = cached(("ocr-ask", token), lambda: Asker(shared.value[0], shared.value[1], cfg, least, shared.value[2]))
+        for batch in batches:
+            rows = [(k, a) for k, t in zip(batch["_text"], batch["t"]) for a in asker.page(t)]
+            yield pd.DataFrame(rows, columns=["_text", "a"])
+
+    asked = pages.select(F.sha2(F.col(text), 256).alias("_text"), F.col(text).alias("t")).mapInPandas(ask, "_text string, a string").distinct()
+    return asked.join(words, "a").groupBy("_text").agg(F.collect_list(F.struct("a", "n")).alias("_more"))
+
+
 def inspect(df: DataFrame, source: str = "source", text: str = "content", ocr: str = "ocr", page: str = "page_number", cfg: OcrConfig = OcrConfig()) -> DataFrame:
     """The scanned pages of df with a text, and _found (array<struct<line_no, kind>>) and _repaired. Other rows are left out."""
-    columns = [c for c in df.columns if c not in ("_found", "_repaired", "_source", "_pages", "_nodes")]
+    columns = [c for c in df.columns if c not in ("_found", "_repaired", "_source", "_pages", "_nodes", "_more", "_text")]
     df = df.select(*[F.col(f"`{c}`") for c in columns])
     counted = materialize(statistics(df, source, text, ocr, cfg))
-    known = lexicon(counted, cfg)
-    if not known:  # nothing clean to learn from: the scanned pages themselves, in which right words outnumber wrong ones
-        known = lexicon(statistics(df.withColumn(ocr, F.lit(False)), source, text, ocr, cfg), OcrConfig(least_share=max(cfg.least_share, 2e-5), least_count=20))
-    weights = train(known, cfg)
+    words = known_words(counted, cfg.least_count)
+    count = words.count()
+    if count:
+        held = most_frequent(words, count, cfg.held_words)
+        examples = training_words(counted, cfg)
+    else:  # nothing clean to learn from: the scanned pages themselves, in which right words outnumber wrong ones; at most 50,000 words, as wrong ones too grow in number with the pages
+        scanned = statistics(df.withColumn(ocr, F.lit(False)), source, text, ocr, cfg)
+        total = scanned.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+        held = examples = _collected(known_words(scanned, max(20, total * 2e-5)))
+    weights, least = train(examples, cfg), min(examples.values(), default=0)
     nodes = materialize(edge_support(counted, cfg))
     letters = nodes.agg(F.sum(F.length("_source") + F.aggregate("_nodes", F.lit(0), lambda a, x: a + F.length(x.key)))).first()[0] or 0
     if letters <= cfg.broadcast_letters:  # else a shuffle join by source, whose hot partitions adaptive execution splits
         nodes = F.broadcast(nodes)
-    ready = df.where(F.col(ocr) & F.col(text).isNotNull()).join(nodes, F.col(source) == F.col("_source"), "left").select(*[F.col(f"`{c}`") for c in columns], "_pages", "_nodes")
-    shared = df.sparkSession.sparkContext.broadcast((known, weights))
-    token = f"{len(known)}-{sum(known.values())}"
+    pages = df.where(F.col(ocr) & F.col(text).isNotNull())
+    ready = pages.join(nodes, F.col(source) == F.col("_source"), "left").select(*[F.col(f"`{c}`") for c in columns], "_pages", "_nodes")
+    if count > len(held):
+        ready = ready.withColumn("_text", F.sha2(F.col(text), 256)).join(further_words(pages, text, words, count, held, weights, least, cfg), "_text", "left").drop("_text")
+    else:
+        ready = ready.withColumn("_more", F.lit(None).cast("array<struct<a: string, n: bigint>>"))
+    shared = df.sparkSession.sparkContext.broadcast((held, weights))
+    token = f"{len(held)}-{sum(held.values())}-{count}-{least}-{cfg}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = cached(("ocr", token), lambda: Editor(*shared.value, cfg))
+        editor = cached(("ocr", token), lambda: Editor(dict(shared.value[0]), shared.value[1], cfg, least))
         kinds = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             found, repaired = [], []
-            for text_, number, pages, nodes in zip(*[batch.column(c).to_pylist() for c in (text, page, "_pages", "_nodes")]):
+            for text_, number, pages, nodes, more in zip(*[batch.column(c).to_pylist() for c in (text, page, "_pages", "_nodes", "_more")]):
+                extra = {x["a"]: x["n"] for x in more or () if x["a"] not in editor.known}
+                editor.known.update(extra)
                 f, r = editor.page(text_, number, pages or 0, [(x["key"], -x["minus"]) for x in nodes or ()])
                 found.append([{"line_no": a, "kind": k} for a, k in f])
                 repaired.append(r)
+                for word in extra:
+                    del editor.known[word]
             arrays = [batch.column(c) for c in columns] + [pa.array(found, kinds), pa.array(repaired, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, "_found", "_repaired"])
 
@@ -557,7 +738,7 @@ def found(df: DataFrame, key: str = "row_id", **names: str) -> DataFrame:
 
 def repair(df: DataFrame, text: str = "content", ocr: str = "ocr", **names: str) -> DataFrame:
     """df with the text of scanned pages repaired into paragraphs; other rows stay as they are. The helper columns' names
-    (_found, _repaired, _source, _pages, _nodes) are left out of the result."""
+    (_found, _repaired, _source, _pages, _nodes, _more, _text) are left out of the result."""
     seen = inspect(df, text=text, ocr=ocr, **names)
     columns = [c for c in df.columns if c in seen.columns and c not in ("_found", "_repaired")]
     fixed = seen.select(*[F.col("_repaired").alias(c) if c == text else F.col(f"`{c}`") for c in columns])

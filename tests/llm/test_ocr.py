@@ -67,3 +67,43 @@ def test_held_out_noise():
     noisy = [(w, n) for w, n in noisy if n.lower() not in known]
     assert sum(editor.word(n) == w for w, n in noisy) / len(noisy) > 0.9
     assert not any(editor.word(n) for n in ("Quenridge", "Ostovic", "Zabmarrick", "Fenansah", "K549/25", "INV-2025-25395", "a@b.example"))
+
+
+def rare_pages(repeat):
+    """A file's own words, met three times each, beside clean pages that grow in number."""
+    body = ["Nadramivar keeps the kofogustel.", "The kofogustel of Nadramivar is in the quellbarrow.", "A quellbarrow holds the kofogustel, by Nadramivar.", "No quellbarrow is known to break a packing-quellbarrow."]
+    scan = ["Kof0gustel and NADRAM|VAR are here.", "The operator must keep the quell barrow and the kofo-", "gustel on request. A quellbarow is with the packing-quel1barrow."]
+    rows = [(k, "clean", k, "\n".join(SENTENCES * 10), False) for k in range(1, repeat + 1)]
+    return [*rows, (5000, "own", 1, "\n".join(body), False), (6000, "own", 2, "\n".join(scan), True), (6001, "own", 3, "\n".join(scan), True)]
+
+
+def test_known_words_do_not_depend_on_the_size_of_the_corpus(spark):
+    got = []
+    for repeat in (20, 2000):
+        df = spark.createDataFrame(rare_pages(repeat), SCHEMA)
+        got.append({(r.row_id, r.line_no, r.kind) for r in O.found(df).collect()})
+        assert "Kofogustel and NADRAMIVAR are here. The operator must keep the quellbarrow and the kofogustel on request. A quellbarrow is with the packing-quellbarrow." == {r.row_id: r.content for r in O.repair(df).collect()}[6000]
+    assert got[0] == got[1] == {(k, *f) for k in (6000, 6001) for f in ((1, "glyph"), (2, "glyph"), (2, "hyphen"), (3, "glyph"))}
+
+
+def test_words_that_are_not_held_come_by_a_join(spark):
+    for rows in (rare_pages(20), pages()):
+        df = spark.createDataFrame(rows, SCHEMA)
+        whole = sorted(O.inspect(df).collect())
+        for held in (0, 12):
+            assert sorted(O.inspect(df, cfg=O.OcrConfig(held_words=held)).collect()) == whole
+
+
+def test_bound_of_held_words(spark):
+    words = spark.createDataFrame([(f"w{k}", 3 + 10_000 // (k + 1)) for k in range(5000)], "a string, n bigint")
+    assert len(O.most_frequent(words, 5000, 5000)) == 5000
+    some = O.most_frequent(words, 5000, 100)
+    assert 0 < len(some) <= 100 and "w0" in some
+
+
+def test_hyphen_of_a_compound_at_a_line_end_is_no_letter():
+    known = {w.strip(".").lower(): 50 for s in SENTENCES for w in s.split()} | {"con": 3, "coat": 3}
+    editor = O.Editor(known, O.train(known, O.OcrConfig()), O.OcrConfig())
+    assert editor.page("The co-\noperation of the Depositor is needed.", 1)[1] == "The co-operation of the Depositor is needed."
+    editor.score = lambda features: 1.0 if "edit" in features else -1.0
+    assert editor.page("The co-\noperation of the Depositor.", 1)[1].startswith("The co-operation")
