@@ -33,8 +33,32 @@ def top_ranked(scored: DataFrame, score: str, n: int, descending: bool = True, k
     return scored.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(order, key))).where(F.col("rnk") <= n)
 
 
-def dense_pairs(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """(query_id, chunk_id, distance): of every partition of vectors the n nearest to each query, by exact L2 distance.
+def nearest_rows(squared: np.ndarray, x: np.ndarray, query: np.ndarray, keys: np.ndarray, n: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x that are the n nearest to the query, ties by key, and their distances, rounded to 6 places.
+
+    squared: the squared distances by the product form, which is a little inexact: it only leaves out what is certainly
+    farther than the n-th. With slack, rows whose half squared distance is up to so much larger than the n-th's come too,
+    at most n of each distance.
+    """
+    few = np.arange(len(x))
+    if n < len(x):
+        error = 1e-11 * (1 + (query**2).sum() + (x**2).sum(1))  # of the product form, amply
+        limit = np.sqrt(max(0.0, np.partition(squared + error, n - 1)[n - 1])) + 2e-6  # equal distances after rounding are ties
+        few = np.flatnonzero(~(squared - error > limit**2 + 2 * slack))  # keeps what is not a number, which comes last
+    exact = np.sqrt(((x[few] - query) ** 2).sum(1)).round(6)
+    order = np.lexsort((keys[few], exact))
+    if slack and n < len(order):
+        sorted_ = exact[order]
+        place = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)  # within its distance
+        order = order[~(sorted_**2 / 2 > sorted_[n - 1] ** 2 / 2 + slack) & (place < n)]
+    else:
+        order = order[:n]
+    return few[order], exact[order]
+
+
+def dense_pairs(queries: DataFrame, vectors: DataFrame, n: int, slack: float = 0.0) -> DataFrame:
+    """(query_id, chunk_id, distance): of every batch of vectors the n nearest to each query, by exact L2 distance, ties by
+    id; slack as in nearest_rows.
 
     The stated queries meet all vectors in blocks of QUERY_BLOCK; each block is one pass over the vectors.
     """
@@ -57,12 +81,8 @@ def dense_pairs(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
                     continue
                 keys = batch["chunk_id"].to_numpy()
                 squared = (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T
-                few = min(len(x), n + 32)  # the product form is a little inexact: take some more, then measure exactly
-                near = np.argpartition(squared, few - 1, axis=1)[:, :few] if few < len(x) else np.tile(np.arange(len(x)), (len(matrix), 1))
-                exact = np.stack([np.sqrt(((x[near[q]] - matrix[q]) ** 2).sum(1)) for q in range(len(matrix))]).round(6)
-                order = np.lexsort((keys[near], exact), axis=1)[:, :n]
-                chosen = np.take_along_axis(near, order, 1)
-                yield pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "chunk_id": keys[chosen].ravel(), "distance": np.take_along_axis(exact, order, 1).ravel()})
+                rows, distances = zip(*[nearest_rows(squared[q], x, matrix[q], keys, n, slack) for q in range(len(matrix))])
+                yield pd.DataFrame({"query_id": np.repeat(names, [len(r) for r in rows]), "chunk_id": keys[np.concatenate(rows)], "distance": np.concatenate(distances)})
 
         part = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL").mapInPandas(nearest, "query_id bigint, chunk_id bigint, distance double")
         out = part if out is None else out.unionByName(part)
@@ -75,6 +95,9 @@ def dense_top(queries: DataFrame, vectors: DataFrame, n: int = 100) -> DataFrame
 
 
 def dense_above(queries: DataFrame, vectors: DataFrame, threshold: float = 0.7, n: int = 100) -> DataFrame:
-    """(query_id, chunk_id, similarity, rnk): the nearest whose similarity 1 - distance^2 / 2 (the cosine of unit vectors) reaches the threshold."""
-    near = dense_pairs(queries, vectors, n).withColumn("similarity", F.round(1 - F.col("distance") * F.col("distance") / 2, 6))
+    """(query_id, chunk_id, similarity, rnk): the nearest whose similarity 1 - distance^2 / 2 (the cosine of unit vectors) reaches the threshold.
+
+    Different distances may round to the same similarity, in which the id decides; the slack covers that rounding.
+    """
+    near = dense_pairs(queries, vectors, n, slack=2e-6).withColumn("similarity", F.round(1 - F.col("distance") * F.col("distance") / 2, 6))
     return top_ranked(near.where(F.col("similarity") >= threshold), "similarity", n).drop("distance")

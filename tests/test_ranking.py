@@ -141,3 +141,27 @@ def test_index(spark, tmp_path):
     assert index.build_index(chunks, vectors, where) == list(index.ARTEFACTS)
     assert index.build_index(chunks, vectors, where) == []
     assert index.read_index(spark, where, "postings").count() == 3
+
+
+def test_dense_keeps_the_smallest_ids_of_many_copies(spark):
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=16)
+    ids = rng.permutation(3000)
+    rows = [(int(k), (near if i % 3 == 0 else near + 1 + rng.random(16)).tolist()) for i, k in enumerate(ids)]
+    copies = sorted(int(k) for i, k in enumerate(ids) if i % 3 == 0)
+    v = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, near.tolist()), (2, (near + 0.01).tolist())], "query_id bigint, embedding array<double>")
+    for batch in ("10000", "700"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        for got in (retrieval.dense_top(q, v.coalesce(1), 10), retrieval.dense_above(q, v.coalesce(1), 0.7, 10)):
+            for k in (1, 2):
+                assert [r.chunk_id for r in got.where(f"query_id = {k}").orderBy("rnk").collect()] == copies[:10]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similarities_that_round_to_the_same_are_ties(spark):
+    rows = [(100 - k, [0.01 + k * 2e-6, 0.0]) for k in range(60)]  # the farther, the smaller the id
+    v = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [0.0, 0.0])], "query_id bigint, embedding array<double>")
+    want = sorted((-round(1 - round(x[0], 6) ** 2 / 2, 6), k) for k, x in rows)[:5]
+    assert [(-r.similarity, r.chunk_id) for r in retrieval.dense_above(q, v, 0.7, 5).orderBy("rnk").collect()] == want
