@@ -48,6 +48,8 @@ _CUT = re.compile(r"([^\W\d_]+(?:[-'’][^\W\d_]+)*)[ ]?([-­¬‐])[ ]*$")
 _MARKS = ("-", "\u00ad", "\u00ac", "\u2010")
 _HEAD = re.compile(r"^\s*([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
 _NUMBER = re.compile(r"^\W*(?:\d{1,4}|[ivxlcIVXLC]{1,7})\W*$")
+_MISREAD_NUMBER = re.compile(r"^[^\w|]*([\dOoQlIi|SsBzZgqbGAT]{1,4})[^\w|]*$")
+_AS_DIGITS = str.maketrans("OoQlIi|SsBzZgqbGAT", "000111155822996647")
 _PAGE_OF = re.compile(r"^\W*(?:p[a@4][gq9][e3cf]?|seite|pagina|strona|sheet|blatt)\W*[\dOlI]{1,4}(?:\W*(?:[o0][ft]|von|van|z|/)\W*[\dOlI]{1,4})?\W*$", re.I)
 _LIST = re.compile(r"^\s*(?:\(?[a-zA-Z0-9]{1,4}[.)]\s|[-*•–|]\s|(?:Clause\s)?\d+(?:\.\d+)+\S*\s)")
 
@@ -198,6 +200,19 @@ def _same(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= 3 and (a[:end] == b[:end] or a[-end:] == b[-end:]) and _near(a, b) <= (3 if n >= 20 else 2 if n >= 10 else 1 if n >= 6 else 0)
 
 
+def page_number_line(line: str, page_number: int | None) -> bool:
+    """Whether a line is a bare page number: roman, or the given number, of which letters may be misread digits. Without a
+    given number it may be any, but needs a digit."""
+    if _NUMBER.match(line) and (page_number is None or re.sub(r"\D", "", line) in (str(page_number), "")):
+        return True
+    m = _MISREAD_NUMBER.match(line)
+    if not m:
+        return False
+    if page_number is None:
+        return bool(re.search(r"\d", m[1])) and not re.search(r"[^\dOlISB|]", m[1])
+    return m[1].translate(_AS_DIGITS) == str(page_number)
+
+
 # ---- averaged perceptron -----------------------------------------------------------------------------------------
 class Perceptron:
     """Scores a choice by the sum of its features' weights; weights are averaged over all training steps."""
@@ -436,7 +451,7 @@ class Editor:
             line = lines[i]
             if _PAGE_OF.match(line) and len(line) < 40:
                 kinds[i] = {"page_no"}
-            elif (top == 0 or foot == 0) and _NUMBER.match(line) and (page_number is None or re.sub(r"\D", "", line) in (str(page_number), "")):
+            elif (top == 0 or foot == 0) and page_number_line(line, page_number):
                 kinds[i] = {"page_no"}
             elif nodes:
                 key = wording(line)

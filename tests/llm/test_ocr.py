@@ -107,3 +107,12 @@ def test_hyphen_of_a_compound_at_a_line_end_is_no_letter():
     assert editor.page("The co-\noperation of the Depositor is needed.", 1)[1] == "The co-operation of the Depositor is needed."
     editor.score = lambda features: 1.0 if "edit" in features else -1.0
     assert editor.page("The co-\noperation of the Depositor.", 1)[1].startswith("The co-operation")
+
+
+def test_page_numbers_with_misread_digits():
+    editor = O.Editor({"text": 50}, {}, O.OcrConfig())
+    for line, number in (("l4", 14), ("[l7]", 17), ("- l9 -", 19), ("[lO]", 10), ("|5", 15), ("2S", 25), ("— B —", 8), ("I3", None)):
+        for page in (f"{line}\ntext", f"text\n{line}"):
+            assert [k for _, k in editor.page(page, number)[0]] == ["page_no"] and editor.page(page, number)[1] == "text", (line, number)
+    for line, number in (("l4", 15), ("SO", 7), ("BIG", None), ("SO", None), ("l4 text", 14), ("l4", 140)):
+        assert "page_no" not in {k for _, k in editor.page(f"text\n{line}", number)[0]}, (line, number)
