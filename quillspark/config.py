@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 
 # Defaults that results depend on.
@@ -28,6 +29,17 @@ class RetrievalConfig:
     region_pages: int = 5
     ocr_trigger: int = 50
     preview_chars: int = 250
+    rerank: bool = True  # off: the fused list alone decides
+    dynamic_k: bool = True  # off: always max_chunks
+    vector_size: int = 64  # of the default dense encoder
+
+    @classmethod
+    def from_env(cls, prefix: str = "QUILLSPARK_", env: dict[str, str] | None = None) -> RetrievalConfig:
+        """The defaults, with what the environment sets, QUILLSPARK_TOP_DENSE=50 for instance. A value that can't be read is an error."""
+        env = os.environ if env is None else env
+        given = {f.name: env[name] for f in fields(cls) if (name := prefix + f.name.upper()) in env}
+        read = lambda kind, x: x.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(x)
+        return cls(**{name: read(type(getattr(cls, name)), value) for name, value in given.items()})
 
 
 UNKNOWN_CUSTOMER = "Unknown Customer"

@@ -83,12 +83,12 @@ def extend_title(title: Column, following: Column, most: int = 10) -> Column:
 
 
 def strip_emphasis(title: Column) -> Column:
-    """Peel matching pairs of * or _ off both ends, as often as there are marks at the beginning."""
+    """Peel matching marks * or _ off both ends as often as they match; blanks go before the first and after the last peel."""
     bare = strip(title)
-    marks = F.length(F.regexp_extract(bare, r"^[*_\s]*", 0)) + 1
-    paired = lambda t: (F.length(t) >= 2) & (t.rlike(r"(?s)^\*.*\*$") | t.rlike("(?s)^_.*_$"))
-    peel = lambda t, _: F.when(paired(t), strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    return F.aggregate(F.sequence(F.lit(1), marks), bare, peel)
+    marks = F.length(F.regexp_extract(bare, "^[*_]*", 0))
+    paired = lambda t: (F.length(t) >= 2) & t.rlike("^[*_]") & (F.left(t, F.lit(1)) == F.right(t, F.lit(1)))
+    peel = lambda t, _: F.when(paired(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    return F.when(marks > 0, strip(F.aggregate(F.sequence(F.lit(1), marks), bare, peel))).otherwise(bare)
 
 
 def normalize_reference(ref: Column) -> Column:

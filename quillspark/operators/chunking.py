@@ -9,7 +9,7 @@ that no task holds the pages of one source.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +21,7 @@ from quillspark.plans.lineage import materialize
 
 BLOCK_PAGES = 256
 STACK = "array<struct<id: string, title: string, level: int>>"
-PARSED = f"row_id bigint, chunk_seq int, content string, floor int, stack {STACK}"
+PARSED = f"row_id bigint, chunk_seq int, content string, floor int, stack {STACK}, failed boolean"
 
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _HEADER = re.compile(rf"(?:Clause[{_SPACE}]+)?({T.CLAUSE_ID})[ \t]+([^{_SPACE}].*)")
@@ -49,9 +49,10 @@ def _title(lines: list[str], following: str | None, cfg: RetrievalConfig) -> str
     title = title.rstrip(" ,;:")
     if len(title.split()) > cfg.title_words:
         title = " ".join(title.split()[: cfg.title_words]) + "..."
+    title = title.strip()
     while len(title) >= 2 and title[0] == title[-1] and title[0] in "*_":
-        title = title[1:-1].strip()
-    return title
+        title = title[1:-1]
+    return title.strip()
 
 
 def _is_clause(clause: str, title: str) -> bool:
@@ -127,19 +128,24 @@ class PageParser:
         return None if end >= len(lines) else "" if blank_after[end - 1] else lines[end]
 
 
-def parse_pages(pages: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """(row_id, chunk_seq, content, floor, stack) of pages over the gate; chunk_seq 0 is the state at the page's end."""
+def parse_pages(pages: DataFrame, cfg: RetrievalConfig, parser_of: Callable[[RetrievalConfig], PageParser] = PageParser) -> DataFrame:
+    """(row_id, chunk_seq, content, floor, stack, failed) of pages over the gate; chunk_seq 0 is the state at the page's end.
+    A page that the parser fails on is one chunk and leaves the open clauses as they were."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = PageParser(cfg)
+        parser = parser_of(cfg)
         pack = lambda stack: [{"id": a, "title": b, "level": c} for a, b, c in stack]
         for batch in batches:
             rows = []
             for row_id, text in zip(batch["row_id"], batch["content"]):
-                chunks, floor, stack = parser.parse(text)
-                rows += [(row_id, k, c, f, pack(s)) for k, (c, f, s) in enumerate(chunks, 1)]
-                rows.append((row_id, 0, None, floor, pack(stack)))
-            yield pd.DataFrame(rows, columns=["row_id", "chunk_seq", "content", "floor", "stack"])
+                try:
+                    chunks, floor, stack = parser.parse(text)
+                    failed = False
+                except Exception:  # one bad page must not stop the others
+                    chunks, floor, stack, failed = [(text, _DEEP, [])], _DEEP, [], True
+                rows += [(row_id, k, c, f, pack(s), failed) for k, (c, f, s) in enumerate(chunks, 1)]
+                rows.append((row_id, 0, None, floor, pack(stack), failed))
+            yield pd.DataFrame(rows, columns=["row_id", "chunk_seq", "content", "floor", "stack", "failed"])
 
     return pages.select("row_id", "content").mapInPandas(run, PARSED)
 
@@ -165,22 +171,25 @@ def opening_stacks(order: DataFrame, ends: DataFrame, source: str = "source") ->
     return joined.select("row_id", F.filter(F.array(*entry), lambda x: x.isNotNull()).cast(STACK).alias("opening"))
 
 
-def chunk_pages(pages: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def chunk_pages(pages: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), parser_of: Callable[[RetrievalConfig], PageParser] = PageParser) -> DataFrame:
     """Chunks of pages: row_id, source, page_number, chunk_seq, content, customer, region, clause, clause_title, hierarchy,
-    whole_page. Pages are taken in the order of page_number, then row_id, within their source; a null or blank page gives
-    no chunk if it is cut, and an empty whole page none either."""
+    whole_page, then the pages' other columns, but for those with a name of these. Pages are taken in the order of
+    page_number, then row_id, within their source; a null or blank page gives no chunk if it is cut, and an empty whole page
+    none either. A page that the parser fails on is a whole page."""
     gated = page_gate(pages, cfg)
-    parsed = materialize(parse_pages(gated.where(~F.col("whole_page")), cfg))
+    parsed = materialize(parse_pages(gated.where(~F.col("whole_page")), cfg, parser_of))
     opening = opening_stacks(pages.select("row_id", "source", "page_number"), parsed.where("chunk_seq = 0"))
-    about = gated.select("row_id", "source", "page_number", "customer", "region")
+    named = ("row_id", "source", "page_number", "chunk_seq", "content", "customer", "region", "clause", "clause_title", "hierarchy", "whole_page", "stack", "n_words")
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in named]
+    about = gated.select("row_id", "source", "page_number", "customer", "region", *others)
     cut = parsed.where("chunk_seq > 0").join(opening, "row_id")
     full = F.concat(F.filter("opening", lambda x: x.level < F.col("floor")), F.col("stack"))
-    cut = cut.select("row_id", "chunk_seq", "content", full.alias("stack"), F.lit(False).alias("whole_page"))
+    cut = cut.select("row_id", "chunk_seq", "content", full.alias("stack"), F.col("failed").alias("whole_page"))
     whole = gated.where(F.col("whole_page") & (T.strip(F.col("content")) != "")).select("row_id", F.lit(1).alias("chunk_seq"), "content").join(opening, "row_id")
     whole = whole.select("row_id", "chunk_seq", "content", F.col("opening").alias("stack"), F.lit(True).alias("whole_page"))
     top = F.try_element_at("stack", F.lit(-1))
     clause = F.coalesce(top.id, F.when(F.col("whole_page"), F.lit("N/A")))
-    return cut.unionByName(whole).join(about, "row_id").select("row_id", "source", "page_number", "chunk_seq", "content", "customer", "region", clause.alias("clause"), F.when(~F.col("whole_page"), top.title).alias("clause_title"), F.transform("stack", lambda x: x.id).alias("hierarchy"), "whole_page")
+    return cut.unionByName(whole).join(about, "row_id").select("row_id", "source", "page_number", "chunk_seq", "content", "customer", "region", clause.alias("clause"), F.when(~F.col("whole_page"), top.title).alias("clause_title"), F.transform("stack", lambda x: x.id).alias("hierarchy"), "whole_page", *others)
 
 
 def header_lines(pages: DataFrame) -> DataFrame:

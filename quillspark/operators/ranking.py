@@ -10,15 +10,34 @@ from quillspark.config import RetrievalConfig
 LISTS = {"dense": 0, "sparse": 1}
 
 
+def content_key() -> Column:
+    """What a chunk is the same by in fusion and selection: source, page and content, whatever id a delivery has."""
+    part = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default))
+    return F.sha2(F.concat_ws("\u0001", part("source", "UnknownSource"), part("page_number", "UnknownPage"), part("content", "")), 256)
+
+
+def keyed_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with doc_key; a chunk that the table lacks is only the same as itself. chunks has doc_key or what it is made of."""
+    keys = chunks.select("chunk_id", "doc_key" if "doc_key" in chunks.columns else content_key().alias("doc_key"))
+    return hits.join(keys, "chunk_id", "left").withColumn("doc_key", F.coalesce("doc_key", F.col("chunk_id").cast("string")))
+
+
 def fuse(hits: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, chunk_id, rrf, first_seen, rnk): reciprocal rank fusion of a bag of hits (query_id, chunk_id, retriever, rnk).
+    """(query_id, chunk_id, doc_key, rrf, first_seen, rnk): reciprocal rank fusion of a bag of hits (query_id, chunk_id, doc_key, retriever, rnk).
 
-    Ranks count from 0 in the sum; a chunk that stands twice in a list counts twice. Ties keep the order of first sight,
-    dense list before sparse list.
+    Chunks of one doc_key are one candidate, which stands under the id seen first. Ranks count from 0 in the sum; a chunk
+    that stands twice in a list counts twice. Ties keep the order of first sight, dense list before sparse list.
     """
-    place = F.when(F.col("retriever") == "dense", F.lit(0)).otherwise(F.lit(1)) * 1_000_000 + F.col("rnk")
-    fused = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.col("rnk") - 1 + k)), 12).alias("rrf"), F.min(place).cast("bigint").alias("first_seen"))
-    return fused.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "first_seen", "chunk_id")))
+    place = (F.when(F.col("retriever") == "dense", F.lit(0)).otherwise(F.lit(1)) * 1_000_000 + F.col("rnk")).cast("bigint")
+    first = F.min(F.struct(place.alias("place"), "chunk_id"))
+    fused = hits.groupBy("query_id", "doc_key").agg(F.round(F.sum(1.0 / (F.col("rnk") - 1 + k)), 12).alias("rrf"), first.alias("_first"))
+    named = fused.select("query_id", F.col("_first.chunk_id").alias("chunk_id"), "doc_key", "rrf", F.col("_first.place").alias("first_seen"))
+    return named.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "first_seen", "chunk_id")))
+
+
+def fused_only(fused: DataFrame, most: int) -> DataFrame:
+    """The pool without a reranker: the first `most` candidates by their fused score, which stands as combined too."""
+    return fused.where(F.col("rnk") <= most).withColumn("rerank", F.lit(None).cast("double")).withColumn("combined", F.col("rrf"))
 
 
 def overlap_score(question: Column, content: Column) -> Column:
@@ -53,21 +72,27 @@ def filter_entity(ranked: DataFrame, detected: DataFrame, chunks: DataFrame) ->
 
 
 def dynamic_k(ranked: DataFrame, score: str, threshold: float, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, k): how many chunks go on, those at or over the threshold, within bounds."""
+    """(query_id, k): how many chunks go on, those at or over the threshold, within bounds; with dynamic_k off, max_chunks."""
+    if not cfg.dynamic_k:
+        return ranked.select("query_id").distinct().withColumn("k", F.lit(cfg.max_chunks).cast("int"))
     good = F.count_if(F.col(score) >= threshold)
     return ranked.groupBy("query_id").agg(F.least(F.greatest(good, F.lit(cfg.min_chunks)), F.lit(cfg.max_chunks)).cast("int").alias("k"))
 
 
 def take_k(ranked: DataFrame, ks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("rnk")
-    placed = ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= RetrievalConfig().max_chunks)
+    """The first k of every question by rnk, with pos from 1."""
+    placed = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("rnk")))
     return placed.join(ks, "query_id").where("pos <= k").drop("k")
 
 
 def select_balanced(ranked: DataFrame, targets: DataFrame, ks: DataFrame, per_entity: int = 2) -> DataFrame:
     """(query_id, chunk_id, customer, pos): of the target customers' chunks first up to per_entity each in rank order, then
-    round by round one of each customer in order of name, k in all. ranked has query_id, chunk_id, customer, rnk."""
+    round by round one of each customer in order of name, k in all. ranked has query_id, chunk_id, customer, rnk; where it
+    has doc_key, of chunks with one key only the first by rnk takes part."""
     kept = ranked.join(targets.select("query_id", "customer"), ["query_id", "customer"], "left_semi")
+    if "doc_key" in ranked.columns:
+        copy = Window.partitionBy("query_id", "doc_key").orderBy("rnk")
+        kept = kept.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")
     turn = kept.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "customer").orderBy("rnk")))
     late = F.col("rn") > per_entity
     w = Window.partitionBy("query_id").orderBy(late, F.when(~late, F.col("rnk")), "rn", "customer")

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048  # queries that meet the vectors at a time; bounds what is broadcast
+from quillspark.functions.encode import token_weights
 
+GROUP_VALUES = 1 << 22  # numbers of the vectors that one task holds at a time, and of the queries that meet them
+BROADCAST_ROWS = 200_000  # token rows of questions that are broadcast at most; more go through a shuffle join
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, weight): tokens with log-saturated frequencies, the default sparse encoder."""
-    tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
-    return tokens.groupBy(key, "token").agg(F.log1p(F.count("*").cast("double")).alias("weight"))
+postings = token_weights
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, n: int = 100) -> DataFrame:
     """(query_id, chunk_id, score, rnk) by the dot product of token weights; queries and docs are postings.
 
-    An inverted-index join: partial sums before the shuffle on (query, chunk), then a group limit before the sort.
+    An inverted-index join. Where docs are bucketed by chunk_id and the questions' tokens are few enough to be broadcast,
+    sums and the first cut to n stay within the task, and only n rows of every question leave it. Otherwise the sums are
+    partial before the shuffle on (query, chunk).
     """
-    pairs = docs.join(queries.withColumnRenamed("weight", "query_weight"), "token")
+    asked = queries.withColumnRenamed("weight", "query_weight")
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    pairs = docs.join(asked, "token")
     scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score")).where("score > 0")
     return top_ranked(scored, "score", n)
 
@@ -57,36 +59,50 @@ def nearest_rows(squared: np.ndarray, x: np.ndarray, query: np.ndarray, keys: np
 
 
 def dense_pairs(queries: DataFrame, vectors: DataFrame, n: int, slack: float = 0.0) -> DataFrame:
-    """(query_id, chunk_id, distance): of every batch of vectors the n nearest to each query, by exact L2 distance, ties by
-    id; slack as in nearest_rows.
+    """(query_id, chunk_id, distance): of every group of vectors the n nearest to each query, by exact L2 distance, ties by
+    id; slack as in nearest_rows. Null vectors, and those of another length than the longest query's, are near to nothing.
 
-    The stated queries meet all vectors in blocks of QUERY_BLOCK; each block is one pass over the vectors.
+    The stated queries meet all vectors in blocks: vectors fall into groups, queries into blocks of a size that one task
+    holds, by hash of their ids; every block is sent once to every group. Nothing goes through the driver but counts.
     """
-    ids = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
-    count = ids.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    spread = ids.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        rows = spread.where(F.col("b") == block).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        names = np.array([r["query_id"] for r in rows])
-
-        def nearest(batches: Iterator[pd.DataFrame], matrix=matrix, names=names) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = np.array(batch["embedding"].tolist(), dtype=np.float64)
-                if not len(x):
-                    continue
-                keys = batch["chunk_id"].to_numpy()
-                squared = (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T
-                rows, distances = zip(*[nearest_rows(squared[q], x, matrix[q], keys, n, slack) for q in range(len(matrix))])
-                yield pd.DataFrame({"query_id": np.repeat(names, [len(r) for r in rows]), "chunk_id": keys[np.concatenate(rows)], "distance": np.concatenate(distances)})
-
-        part = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL").mapInPandas(nearest, "query_id bigint, chunk_id bigint, distance double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else queries.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, distance double")
+    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    n_asked, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    empty = queries.sparkSession.createDataFrame([], "query_id bigint, chunk_id bigint, distance double")
+    if not n_asked or not width:
+        return empty
+    stored = vectors.select("chunk_id", "embedding").where(F.size("embedding") == width)
+    n_stored = stored.count()
+    if not n_stored:
+        return empty
+    rows = max(256, GROUP_VALUES // width)  # more rows than that share a group only by chance
+    groups = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n_stored // rows))
+    blocks = -(-n_asked // rows)
+    spread = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    left = stored.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), spread("chunk_id", groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = asked.where(F.size("embedding") == width).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), spread("query_id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    def nearest(near: pa.Table, ask: pa.Table) -> pa.Table:
+        names, keys, found = [], [], []
+        if near.num_rows and ask.num_rows:
+            x, ids = matrix(near), near["chunk_id"].to_numpy()
+            norms = (x**2).sum(1)
+            who, q = ask["query_id"].to_numpy(), matrix(ask)
+            step = max(1, GROUP_VALUES // len(x))
+            for at in range(0, len(q), step):  # bounds the matrix of distances
+                part = q[at : at + step]
+                squared = (part**2).sum(1)[:, None] + norms[None, :] - 2 * part @ x.T
+                for k, one in enumerate(part):
+                    chosen, distance = nearest_rows(squared[k], x, one, ids, n, slack)
+                    names.append(np.full(len(chosen), who[at + k]))
+                    keys.append(ids[chosen])
+                    found.append(distance)
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], dtype=kind)
+        return pa.table({"query_id": whole(names, "int64"), "chunk_id": whole(keys, "int64"), "distance": whole(found, "float64")})
+
+    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(nearest, "query_id bigint, chunk_id bigint, distance double")
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, n: int = 100) -> DataFrame:

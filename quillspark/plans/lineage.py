@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one is set only where none is configured (tests, local mode)."""
+    """The session's shared checkpoint folder. Where none is configured, local mode gets one on this machine; a cluster, whose
+    executors would each write to their own disk, gets an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not configured and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -1,5 +1,10 @@
 """Final answers and the explanation of a retrieval."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.config import RetrievalConfig
+from quillspark.operators import answers, index
 from quillspark.plans import ask
 
 CHUNKS = "chunk_id bigint, source string, page_number int, content string, customer string, clause string, hierarchy array<string>"
@@ -16,16 +21,68 @@ def test_answers(spark):
     questions, selected, chunks = tables(spark)
     detected = spark.createDataFrame([(1, None), (2, "Acme"), (3, None)], "query_id bigint, filter_name string")
     got = {r.query_id: r for r in ask.answer_questions(questions, selected, chunks, detected).collect()}
-    assert got[1].answer.startswith("Storage fees rise") and "Doors" not in got[1].answer and not got[1].is_error
+    assert got[1].answer == "Source: f | Page: 1 | Customer: c | Clause: 5.1 --- Storage fees rise" and not got[1].is_error
     assert got[1].sources == ["f (Customer: c) - Page 1 (Clause: 5.1)", "f (Customer: Unknown Customer) - Page 2", "g (Customer: c) - Page 1 (Section: 2.1)"]
     assert got[2].answer == "Could not find relevant documents specifically for 'Acme' matching your query." and got[2].sources == [] and got[2].is_error
-    assert got[3].answer.startswith("Could not find relevant documents for your query")
+    assert got[3].answer == ask.EMPTY_QUESTION
     assert ask.answer_questions(questions.limit(0), selected, chunks).count() == 0
 
 
 def test_explanation(spark):
     _, selected, _ = tables(spark)
-    hits = spark.createDataFrame([(1, 1, "dense", 1), (1, 1, "sparse", 2), (1, 9, "sparse", 1)], "query_id bigint, chunk_id bigint, retriever string, rnk int")
-    ranked = spark.createDataFrame([(1, 1, 0.03, 0.5, 0.9, 1), (1, 9, 0.01, 0.1, 0.2, 2)], "query_id bigint, chunk_id bigint, rrf double, rerank double, combined double, rnk int")
+    hits = spark.createDataFrame([(1, 1, "a", "dense", 1), (1, 1, "a", "sparse", 2), (1, 9, "b", "sparse", 1)], "query_id bigint, chunk_id bigint, doc_key string, retriever string, rnk int")
+    ranked = spark.createDataFrame([(1, 1, "a", 0.03, 0.5, 0.9, 1), (1, 9, "b", 0.01, 0.1, 0.2, 2)], "query_id bigint, chunk_id bigint, doc_key string, rrf double, rerank double, combined double, rnk int")
     got = {r.chunk_id: (r.dense_rnk, r.sparse_rnk, r.rnk, r.pos) for r in ask.explain_retrieval(hits, ranked, selected).collect()}
     assert got == {1: (1, 2, 1, 1), 9: (None, 1, 2, None)}
+
+
+def opened(spark, tmp_path, **options):
+    where = str(tmp_path / "idx")
+    _, _, chunks = tables(spark)
+    index.build_index(chunks, where, buckets=2, **options)
+    return index.open_index(spark, where, spark.createDataFrame([("c",), ("Gone Foods",)], "name string"))
+
+
+def test_pipeline_on_an_index(spark, tmp_path):
+    idx, seen = opened(spark, tmp_path), ask.Timings()
+    questions = spark.createDataFrame([(1, "which fees"), (2, "  "), (3, "doors at gone foods"), (4, "zzz")], "query_id bigint, text string")
+    got = {r.query_id: r for r in ask.ask_and_answer(questions, idx, timings=seen).collect()}
+    assert list(seen) == ["retrieval", "fusion and rerank", "selection", "answer"] and all(t > 0 for t in seen.values())
+    assert "Storage fees rise" in got[1].answer and got[1].sources[0].startswith("f (Customer: c) - Page 1")
+    assert got[2].answer == ask.EMPTY_QUESTION and got[2].sources == []
+    assert got[3].answer == "Could not find relevant documents specifically for 'Gone Foods' matching your query." and got[3].is_error
+    with pytest.raises(index.NotReady):
+        ask.ask_and_answer(questions, None)
+    with pytest.raises(index.NotReady, match="reranker"):
+        ask.ask_and_answer(questions, idx, scorer=None)
+
+
+def test_models_are_parameters(spark, tmp_path):
+    idx = opened(spark, tmp_path)
+    questions = spark.createDataFrame([(1, "which fees")], "query_id bigint, text string")
+    shout = answers.model_provider(lambda asked, texts: [f"{q}: {len(t)}" for q, t in zip(asked, texts)])
+    got = ask.ask_and_answer(questions, idx, scorer=lambda q, c: F.length(c) / 100.0, extract=shout, synthesiser=lambda q, s: F.upper(s)).first()
+    assert "WHICH FEES: " in got.answer
+
+    def broken(question, content):
+        def fail(texts):
+            raise ValueError("no model")
+            yield
+
+        from collections.abc import Iterator
+
+        import pandas as pd
+
+        fail.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(fail, "double")(content)
+
+    with pytest.warns(UserWarning, match="fused order"):
+        rows = ask.ask(questions, idx, scorer=broken, filter_entities=False).orderBy("pos").collect()
+    assert rows and rows[0].score <= 2 / 60  # fused scores
+
+
+def test_dense_only(spark, tmp_path):
+    idx = opened(spark, tmp_path, sparse=None)
+    questions = spark.createDataFrame([(1, "which fees")], "query_id bigint, text string")
+    assert ask.sparse_hits(questions, idx, idx.cfg).count() == 0
+    assert [r.chunk_id for r in ask.ask(questions, idx, RetrievalConfig(rerank=False), filter_entities=False).orderBy("pos").collect()] == [1, 2]

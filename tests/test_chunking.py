@@ -90,3 +90,27 @@ def test_gate_and_headers(spark):
     df = spark.createDataFrame([(1, "a", 1, "w " * 350, None, None), (2, "a", 2, "w " * 351, None, None), (3, "a", 3, None, None, None)], SCHEMA)
     assert [(r.n_words, r.whole_page) for r in C.page_gate(df).orderBy("row_id").collect()] == [(350, True), (351, False), (0, True)]
     assert C.header_lines(df).count() == 0
+
+
+def test_a_page_that_cannot_be_parsed_stays_whole(spark):
+    class Broken(C.PageParser):
+        def parse(self, text):
+            if "boom" in text:
+                raise ValueError(text[:10])
+            return super().parse(text)
+
+    cfg = RetrievalConfig(page_gate_words=5)
+    rows = [(1, "a", 1, "4.1 Heading of the clause\nsome words that follow it here", "Acme", None, "x"), (2, "a", 2, "boom " * 9, "Acme", None, "y"), (3, "a", 3, "short page", "Acme", None, None)]
+    pages = spark.createDataFrame(rows, SCHEMA + ", note string")
+    got = C.chunk_pages(pages, cfg, Broken).orderBy("row_id").collect()
+    assert [(r.row_id, r.clause, r.hierarchy, r.whole_page, r.note) for r in got] == [(1, "4.1", ["4.1"], False, "x"), (2, "4.1", ["4.1"], True, "y"), (3, "4.1", ["4.1"], True, None)]
+
+
+def test_emphasis(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as T
+
+    cases = {"**bold**": "bold", "* *x* *": "*x*", "_a*": "_a*", " **_x_** ": "x", "**": "", "*": "*", "": "", "plain": "plain"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.strip_emphasis(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == cases and all(C._title([k], None, CFG) == v for k, v in cases.items())

@@ -3,19 +3,43 @@
 import random
 
 import numpy as np
+import pytest
+
+from quillspark.config import RetrievalConfig
+from quillspark.functions import encode
 from quillspark.operators import answers, entities, graph, index, ranking, retrieval, trace
 
-HITS = "query_id bigint, chunk_id bigint, retriever string, rnk int"
+HITS = "query_id bigint, chunk_id bigint, doc_key string, retriever string, rnk int"
 
 
 def test_fusion(spark):
-    hits = spark.createDataFrame([(1, 10, "dense", 1), (1, 20, "dense", 2), (1, 20, "sparse", 1), (1, 30, "sparse", 2)], HITS)
+    hits = spark.createDataFrame([(1, 10, "a", "dense", 1), (1, 20, "b", "dense", 2), (1, 20, "b", "sparse", 1), (1, 30, "c", "sparse", 2)], HITS)
     got = [(r.chunk_id, r.rrf) for r in ranking.fuse(hits).orderBy("rnk").collect()]
     assert [c for c, _ in got] == [20, 10, 30]
     assert np.allclose([s for _, s in got], [1 / 61 + 1 / 60, 1 / 60, 1 / 61])
     assert ranking.fuse(spark.createDataFrame([], HITS)).count() == 0
 
 
+def test_deliveries_of_one_text_are_one_candidate(spark):
+    chunks = spark.createDataFrame([(1, "f", 1, "same"), (2, "f", 1, "same"), (3, "f", 2, "same"), (4, None, None, None), (5, None, None, None)], "chunk_id bigint, source string, page_number int, content string")
+    bag = spark.createDataFrame([(1, 2, "dense", 1), (1, 1, "dense", 2), (1, 1, "sparse", 1), (1, 3, "sparse", 2), (1, 4, "sparse", 3), (1, 5, "sparse", 4), (1, 99, "sparse", 5)], "query_id bigint, chunk_id bigint, retriever string, rnk int")
+    got = {r.chunk_id: r.rrf for r in ranking.fuse(ranking.keyed_hits(bag, chunks)).collect()}
+    assert set(got) == {2, 3, 4, 99}  # the id seen first stands for its text; a chunk that is not there only for itself
+    assert np.isclose(got[2], 1 / 60 + 1 / 61 + 1 / 60) and np.isclose(got[4], 1 / 62 + 1 / 63)
+    ranked = spark.createDataFrame([(1, 1, "k", "A", 1), (1, 2, "k", "A", 2), (1, 3, "m", "A", 3), (1, 4, "n", "B", 4)], "query_id bigint, chunk_id bigint, doc_key string, customer string, rnk int")
+    targets, ks = spark.createDataFrame([(1, "A"), (1, "B")], "query_id bigint, customer string"), spark.createDataFrame([(1, 5)], "query_id bigint, k int")
+    assert [r.chunk_id for r in ranking.select_balanced(ranked, targets, ks).orderBy("pos").collect()] == [1, 3, 4]
+
+
+def test_pool_without_rerank_and_fixed_k(spark):
+    cfg = RetrievalConfig(max_chunks=20, dynamic_k=False)
+    fused = spark.createDataFrame([(1, i, str(i), 1.0 / i, i, i) for i in range(1, 31)], "query_id bigint, chunk_id bigint, doc_key string, rrf double, first_seen bigint, rnk int")
+    pool = ranking.fused_only(fused, 30)
+    assert ranking.dynamic_k(pool, "combined", 0.5, cfg).first().k == 20
+    assert ranking.take_k(pool, ranking.dynamic_k(pool, "combined", 0.0, RetrievalConfig(max_chunks=25))).count() == 25
+    assert ranking.fused_only(fused, 12).count() == 12
+
+
 def test_blend_and_k(spark):
     rows = spark.createDataFrame([(1, 1, 0.03, 1.0, 1), (1, 2, 0.02, 3.0, 2), (1, 3, 0.01, 2.0, 3), (2, 9, 0.5, 0.2, 1)], "query_id bigint, chunk_id bigint, rrf double, rerank double, rnk int")
     got = {(r.query_id, r.chunk_id): (r.combined, r.rnk) for r in ranking.blend(rows).collect()}
@@ -133,17 +157,65 @@ def test_graph_and_citations(spark):
     assert labels == ["f (Customer: Unknown Customer) - Page 1 (Clause: 5.2)", "f (Customer: c) - Page 2 (Clause: 5.3)", "g (Customer: c) - Page 1 (Section: 2)"]
 
 
-def test_index(spark, tmp_path):
-    chunks = spark.createDataFrame([(1, "cold store"), (2, "fees")], "chunk_id bigint, content string")
-    vectors = spark.createDataFrame([(1, [0.5])], "chunk_id bigint, embedding array<float>")
+CHUNKS = "chunk_id bigint, source string, page_number int, content string, customer string, clause string, hierarchy array<string>"
+
+
+def small_index(spark, tmp_path, **options):
+    rows = [(1, "f", 1, "cold store fees", "Acme", "1", ["1"]), (2, "f", 2, "fees and more fees", "Beta", None, []), (3, "g", 1, None, None, "N/A", None), (4, "f", 1, "cold store fees", "Acme", "1", ["1"])]
     where = str(tmp_path / "idx")
-    assert index.missing(spark, where) == list(index.ARTEFACTS)
-    assert index.build_index(chunks, vectors, where) == list(index.ARTEFACTS)
-    assert index.build_index(chunks, vectors, where) == []
-    assert index.read_index(spark, where, "postings").count() == 3
+    index.build_index(spark.createDataFrame(rows, CHUNKS), where, buckets=2, **options)
+    return where
 
 
-def test_dense_keeps_the_smallest_ids_of_many_copies(spark):
+def test_index(spark, tmp_path):
+    where = str(tmp_path / "idx")
+    assert index.missing(spark, where) == list(index.ARTEFACTS)
+    with pytest.raises(index.NotReady, match="chunks missing"):
+        index.open_index(spark, where)
+    assert small_index(spark, tmp_path) == where and index.missing(spark, where) == []
+    assert index.build_index(spark.createDataFrame([], CHUNKS), where) == []
+    idx = index.open_index(spark, where)
+    assert idx.postings.count() == 9 and idx.postings_of(["cold"]).count() == 2 and idx.vectors.count() == 3
+    spark.sql(f"DROP TABLE {index._table(where + '/postings')}")  # as in a session that did not write it
+    assert index.open_index(spark, where).postings.count() == 9
+
+
+def test_sums_over_buckets_need_no_shuffle(spark, tmp_path):
+    idx = index.open_index(spark, small_index(spark, tmp_path))
+    asked = spark.createDataFrame([(1, "fees"), (2, "cold fees")], "query_id bigint, text string")
+    found = retrieval.sparse_top(encode.token_weights(asked, "query_id", "text"), idx.postings)
+    rows = [(r.query_id, r.chunk_id) for r in found.orderBy("query_id", "rnk").collect()]
+    assert rows == [(1, 2), (1, 1), (1, 4), (2, 1), (2, 4), (2, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "chunk_id" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
+
+
+def test_encoders(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, None), (3, "")], "k bigint, t string")
+    weights = lambda df: {(r.k, r.token): round(r.weight, 6) for r in df.collect()}
+    assert weights(encode.token_weights(docs, "k", "t")) == {(1, "a"): 1.098612, (1, "b"): 0.693147}
+    model = encode.model_weights(lambda texts: [{"x": float(len(t)), "minus": -1.0} for t in texts])
+    assert weights(model(docs, "k", "t")) == {(1, "x"): round(float(np.log1p(5)), 6)}
+    places = spark.createDataFrame([(1, "a", 2.0), (1, "a", 5.0), (1, "b", -1.0)], "k bigint, token string, activation double")
+    assert weights(encode.pooled(places, "k")) == {(1, "a"): round(float(np.log1p(5)), 6)}
+    vector = encode.hashed_vectors(docs, "k", "t", 16).collect()
+    assert [r.k for r in vector] == [1] and np.isclose(np.linalg.norm(vector[0].embedding), 1, atol=1e-5)
+    assert encode.model_vectors(lambda texts: [[len(t), 1] for t in texts])(docs, "k", "t").orderBy("k").first().embedding == [5.0, 1.0]
+
+
+def test_settings_from_the_environment():
+    cfg = RetrievalConfig.from_env(env={"QUILLSPARK_TOP_DENSE": "7", "QUILLSPARK_RERANK": "off", "QUILLSPARK_MIN_SIMILARITY": "0.5"})
+    assert (cfg.top_dense, cfg.rerank, cfg.min_similarity, cfg.top_sparse) == (7, False, 0.5, 100)
+
+
+def test_dense_leaves_out_vectors_of_another_length(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 1.0])], "chunk_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, embedding array<double>")
+    assert [(r.query_id, r.chunk_id) for r in retrieval.dense_top(q, v, 5).orderBy("rnk").collect()] == [(1, 1), (1, 4)]
+    assert retrieval.dense_top(q, v.limit(0), 5).count() == 0
+
+
+def test_dense_keeps_the_smallest_ids_of_many_copies(spark, monkeypatch):
     rng = np.random.default_rng(3)
     near = rng.normal(size=16)
     ids = rng.permutation(3000)
@@ -151,12 +223,11 @@ def test_dense_keeps_the_smallest_ids_of_many_copies(spark):
     copies = sorted(int(k) for i, k in enumerate(ids) if i % 3 == 0)
     v = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>")
     q = spark.createDataFrame([(1, near.tolist()), (2, (near + 0.01).tolist())], "query_id bigint, embedding array<double>")
-    for batch in ("10000", "700"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    for values in (retrieval.GROUP_VALUES, 8192):
+        monkeypatch.setattr(retrieval, "GROUP_VALUES", values)  # small groups and blocks
         for got in (retrieval.dense_top(q, v.coalesce(1), 10), retrieval.dense_above(q, v.coalesce(1), 0.7, 10)):
             for k in (1, 2):
                 assert [r.chunk_id for r in got.where(f"query_id = {k}").orderBy("rnk").collect()] == copies[:10]
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_similarities_that_round_to_the_same_are_ties(spark):
