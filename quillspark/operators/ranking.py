@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import RetrievalConfig
+from quillspark.functions.encode import tokens
 
 LISTS = {"dense": 0, "sparse": 1}
 
@@ -40,19 +44,38 @@ def fused_only(fused: DataFrame, most: int) -> DataFrame:
     return fused.where(F.col("rnk") <= most).withColumn("rerank", F.lit(None).cast("double")).withColumn("combined", F.col("rrf"))
 
 
-def overlap_score(question: Column, content: Column) -> Column:
-    """Default reranker: share of the question's distinct tokens that the text has."""
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
-    asked = tokens(question)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, tokens(content))), F.size(asked)), F.lit(0.0))
+@dataclass(frozen=True)
+class TwoSided:
+    """A scorer whose work on each text is done once a text, before questions and chunks meet."""
+
+    question: Callable[[Column], Column]
+    content: Callable[[Column], Column]
+    pair: Callable[[Column, Column], Column]
+
+    def __call__(self, question: Column, content: Column) -> Column:
+        return self.pair(self.question(question), self.content(content))
+
+
+def _distinct_tokens(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+#: Default reranker: share of the question's distinct tokens that the text has.
+overlap_score = TwoSided(_distinct_tokens, _distinct_tokens, lambda asked, has: F.coalesce(F.try_divide(F.size(F.array_intersect(asked, has)), F.size(asked)), F.lit(0.0)))
 
 
 def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), scorer=overlap_score) -> DataFrame:
-    """fused, cut to the pool, with a rerank score of (question text, chunk content). Text joins only what is left."""
-    # few bytes but much work per row: spread over all cores, which adaptive coalescing by size would not do
-    pool = fused.where(F.col("rnk") <= cfg.rerank_pool).repartition(fused.sparkSession.sparkContext.defaultParallelism, "query_id", "chunk_id")
-    joined = pool.join(questions.select("query_id", F.col("text").alias("_question")), "query_id").join(chunks.select("chunk_id", F.col("content").alias("_content")), "chunk_id")
-    return joined.withColumn("rerank", F.round(scorer(F.col("_question"), F.col("_content")), 6)).drop("_question", "_content")
+    """fused, cut to the pool, with a rerank score of (question text, chunk content). Only texts of the pool are joined."""
+    pool = fused.where(F.col("rnk") <= cfg.rerank_pool)
+    asked, stored = questions.select("query_id", F.col("text").alias("_question")), chunks.select("chunk_id", F.col("content").alias("_content"))
+    if isinstance(scorer, TwoSided):
+        asked = asked.withColumn("_question", scorer.question(F.col("_question")))
+        stored = stored.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("_content", scorer.content(F.col("_content")))
+        score = scorer.pair
+    else:  # few bytes but much work per row: spread over all cores, which adaptive coalescing by size would not do
+        pool, score = pool.repartition(fused.sparkSession.sparkContext.defaultParallelism, "query_id", "chunk_id"), scorer
+    joined = pool.join(asked, "query_id").join(stored, "chunk_id")
+    return joined.withColumn("rerank", F.round(score(F.col("_question"), F.col("_content")), 6)).drop("_question", "_content")
 
 
 def blend(reranked: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:

@@ -71,6 +71,7 @@ def ranked_chunks(questions: DataFrame, chunks: DataFrame, hits: DataFrame, cfg:
     fused = ranking.fuse(ranking.keyed_hits(hits, chunks), cfg.rrf_k)
     if scorer is None or not cfg.rerank:
         return ranking.fused_only(fused, cfg.max_chunks)
+    fused = materialize(fused.where(F.col("rnk") <= cfg.rerank_pool))  # ids and scores, read for the pool and for its texts
     return ranking.blend(ranking.rerank(fused, questions, chunks, cfg, scorer), cfg)
 
 
