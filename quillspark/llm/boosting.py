@@ -48,11 +48,11 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
 
 
-def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 2.0, seed: int = 1, held_out: float = 0.25) -> Boosted:
-    """Fit on a share of the rows and calibrate on the held-out rest."""
+def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 2.0, seed: int = 1, held_out: float = 0.25, hold: np.ndarray | None = None) -> Boosted:
+    """Fit on a share of the rows and calibrate on the held-out rest: those of hold, else a random share."""
     x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
-    rng = np.random.default_rng(seed)
-    hold = rng.random(len(x)) < held_out
+    if hold is None:
+        hold = np.random.default_rng(seed).random(len(x)) < held_out
     xt, yt = x[~hold], y[~hold]
     n, width = xt.shape
     edges = []
