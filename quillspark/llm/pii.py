@@ -34,6 +34,8 @@ Tel Email Fax Phone Mobile Address Occupation Witness Name Keys Signed Visitor L
 PERSON_LEFT = "by with see attention attn dear for as names and to of spoke from cc faithfully sincerely contact ask driver log check keys witness name neither nor via is regards".split()
 PERSON_RIGHT = "ok pending may must shall of will tel no on in about expired showed arrived before confirmed gives and as occupation has was said email phone tfn ssn passport marked with for from or is at".split()
 ID_LABELS = r"passport(?:\s+(?:no|number|nr)\b\.?)?|(?:id|identity)\s+card(?:\s+(?:no|number)\b\.?)?|licen[cs]e(?:\s+(?:no|number)\b\.?)?|tfn|tax\s+(?:file\s+number|id)|ssn|social\s+security\s+(?:number|no\b\.?)|insurance(?:\s+(?:number|no\b\.?))?|ni\s+(?:number|no\b\.?)|medicare(?:\s+(?:no|number|card)\b\.?)?|pesel|nhs\s+(?:number|no\b\.?)"
+#: words that stand near a person's number, in more languages; they are features, not conditions
+ID_WORDS = r"passport|reisepass|paszport|passeport|id|identity|licen[cs]e|permis|rijbewijs|f[üu]hrerschein|tfn|tax|steuer|social|insurance|ssn|ni|nino|medicare|pesel|nhs|dni|nie|bsn|nip|cpf|fiscale|ausweis|personalausweis|aadhaar|sin|curp|holder|birth|born"
 ID_KEYWORDS = ("passport", "id card", "id\ncard", "identity", "licence", "license", "tfn", "tax file", "tax\nfile", "tax id", "ssn", "social", "insurance", "ni n", "ni\nn", "medicare", "pesel", "nhs")
 DECOYS = r"(?:po|sku|sscc|inv|container|meter|company number|permit|lot|rate code|order|invoice|abn|acn|vat|serial|batch|ref|reference|pallet|form|ticket|draft|revision|schedule|clause|chamber|bay|gate|sheet|page|no\.|abn)[\s#:]*$"
 
@@ -44,16 +46,27 @@ _WS = r"[\s ]{1,4}"
 _LINE_NUMBERS = re.compile(r"\d{1,4}\n\d{1,4}")
 _NATIONAL = re.compile(r"n.{1,2}tion.{1,2}l\s+$")
 _AT = re.compile(r"@|[\(\[{]\s?[aA][tT]\s?[\)\]}]")
-LOCAL = re.compile(rf"[A-Za-z0-9À-ÿ][\w.+'’\-]*{_W}$")
 DOMAIN = re.compile(rf"{_W}[\w\-]+(?:[ \t]?\.[\w\-]+|{_W}[\(\[{{]\s?[dD][oO][tT]\s?[\)\]}}]{_W}[\w\-]+){{1,4}}")
 _GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,6}\)?"
 # the first character stands first, before what must not precede it, so that the search skips to it
 PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+?[\dOo]|(?<=[\dOo])(?!(?<=[12])[09]\d\d-\d\d-\d\d\b|\d?/\d))[\dOoIlSB()]{{0,16}}(?:(?:{_GROUP}){{1,6}}(?!\w)|(?<=\d{{9}})(?!\w))")
 ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-\n]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
+#: any number that could be of a document, without regard to what stands before it
+NUMBER = re.compile(r"(?<![\w@/.,$€£%#+\-])(?:[A-Z]{1,4}[\-]?|[A-Z]{2}[ ](?<!NI[ ])(?<!ID[ ])|)\d(?:[ \-]?\d){5,12}(?:[ \-]?[A-Z])?(?![\w/]|[.,]\d)")
 BOX = re.compile(rf"\b(?:G\.?{_W})?(?:P\.?\s?O\.?{_WS}Box|PO{_WS}BOX|P\.O\.{_WS}BOX|GPO{_WS}Box|Locked{_WS}Bag|Private{_WS}Bag|Post{_WS}Office{_WS}Box|Postfach|p\.?o\.?{_WS}box){_WS}[\dOIl]{{1,6}}\b")
 HOUSE = re.compile(rf"(?:(?<![\w])(?P<unit>(?:{_UNITS})\.?{_WS}[\dA-Z][\dA-Z]{{0,4}})(?:{_W},{_W}|{_WS}))?(?<![\w.,$/\-])(?P<no>(?:\d{{1,4}}[A-Za-z]?(?:{_W}[/\-–]{_W}\d{{1,5}}[A-Za-z]?)?{_WS}))?(?P<street>(?:[A-Z][\w'’]+{_WS}){{1,3}})(?P<type>{_STREETS})\b")
 _NUMBERED = re.compile(r"\d[A-Za-z]?[\s ]{1,4}[A-Z]")
-_STREET_HINT = re.compile(rf"(?:[a-z'’]|[A-Z'’]){_WS}(?:{_STREETS})\b")
+_STREET_AFTER = re.compile(rf"(?:[A-Z][\w'’]+{_WS}){{1,3}}(?:{_STREETS})\b")
+# Kinds of streets that stand before the name, and endings of names, in other languages.
+_TYPE_FIRST = r"rue|allée|chemin|quai|impasse|via|viale|piazza|corso|calle|avenida|plaza|paseo|rua|praça|travessa|ul\.|ulica|al\.|aleja|os\."
+_TYPE_LAST = r"stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|ufer|damm|straat|laan|plein|gracht|kade|singel|gatan|vägen|gade|vej"
+_NAME = r"(?:(?:de|du|des|la|le|les|del|della|dei|das|dos|da|do|von|den|der|van|św\.)[ ]){0,3}[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][\w'’.\-]+(?:[ ][A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][\w'’\-]+)?"
+FOREIGN = re.compile(rf"(?:(?<![\w/.,\-])\d{{1,4}}(?:[ ]?(?:bis|ter|[a-zA-Z]))?,?[ ])(?i:{_TYPE_FIRST})[ ]{_NAME}|\b(?i:{_TYPE_FIRST})[ ]{_NAME},?[ ]\d{{1,4}}[a-zA-Z]?\b|\b[A-ZÄÖÜ][\wäöüß\-]*(?i:{_TYPE_LAST})[ ]\d{{1,4}}[ ]?[a-zA-Z]?\b|\b[A-ZÄÖÜ][\wäöüß\-]+[ ](?i:{_TYPE_LAST})[ ]\d{{1,4}}[a-zA-Z]?\b")
+#: words, and ends of words, that a text has in lower case where FOREIGN or CUE can match: looking for these is cheaper than the patterns
+_FOREIGN_WORDS = frozenset(_TYPE_FIRST.replace("\\", "").split("|"))
+_FOREIGN_ENDS = frozenset(w[-4:] for w in ("straße", "strasse", *_TYPE_LAST.replace("\\", "").split("|")[1:]))
+_CUE_WORDS = frozenset("name am i'm this hi hello regards regards, thanks thanks, cheers cheers,".split())
+CUE = re.compile(r"\b(?:[Mm]y name is|I am|I'm|[Tt]his is|[Hh]i|[Hh]ello|[Rr]egards,?|[Tt]hanks,?|[Cc]heers,?)[ \n]([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’\-]+)(?![\w'’\-]|[ ][A-Z])")
 _T = r"(?:[A-ZÀ-ÖØ-Þ]\.(?:\s?[A-ZÀ-ÖØ-Þ]\.){0,2}(?![\w])|[A-ZÀ-ÖØ-Þ][\w'’]*(?:[\-‐][A-ZÀ-ÖØ-Þ]?[\w'’]+)*)"
 _PART = r"(?:(?:VON|VAN|DE|DER|von|van|de|der|den|da|dos|di|del|la|le|bin|al|ter)[ \n])"
 _NICK = r"(?:[“\"'‘(][A-ZÀ-Þ][\w]+[”\"'’)])"
@@ -113,6 +126,10 @@ def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int,
                 run.append(p)
         if run:
             runs.append((run, after))
+        # a name may have a word of contracts in it (Helen Page, Jan Bell): the uncut run is proposed too
+        plain_words = [p[2].strip(".,;:'’“”\"()").lower() for p in parts]
+        if 2 <= len(parts) <= 3 and sum(w in _STOP for w in plain_words) == 1 and any(_near_given(w) for w in plain_words) and not any(w in _TITLE_SET for w in plain_words):
+            runs.append((parts, titled))
         for words, title in runs:
             plain = [w for w in words if len(w[2].strip(".,'’")) > 1 and not re.fullmatch(r"(?:[A-Z]\.)+", w[2])]
             if not plain:
@@ -131,14 +148,28 @@ def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int,
                 yield later[0], e, title
 
 
+def _local_start(text: str, at: int) -> int | None:
+    """Where the part before an @ begins; None if there is none. A blank or one line end may stand between."""
+    end, line = at, False
+    while end and (text[end - 1] in " \t\u00a0\u2003\u3000" or text[end - 1] == "\n" and not line):
+        line |= text[end - 1] == "\n"
+        end -= 1
+    begin = end
+    while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+'’-"):
+        begin -= 1
+    while begin < end and not (text[begin].isascii() and text[begin].isalnum() or "À" <= text[begin] <= "ÿ"):
+        begin += 1
+    return begin if begin < end else None
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, hint) of every proposed span; spans of different kinds may overlap."""
     out: list[tuple[str, int, int, int]] = []
     for at in _AT.finditer(text):
         after = DOMAIN.match(text, at.end())
-        before = LOCAL.search(text[max(0, at.start() - 80) : at.start()]) if after else None
-        if before:
-            out.append(("email", at.start() - len(before[0]), after.end(), 0))
+        begin = _local_start(text, at.start()) if after else None
+        if begin is not None:
+            out.append(("email", begin, after.end(), 0))
     for m in PHONE.finditer(text):
         if 7 <= sum(c in "0123456789OoIlSB" for c in m[0]) <= 15 and m[0].count("\n") < 2 and not _LINE_NUMBERS.fullmatch(m[0]):
             around = m[0][0] == "(" and m[0].find(")") in (-1, len(m[0]) - 1)  # a bracket around the whole number isn't part of it
@@ -154,31 +185,39 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
                 at = lower.find(word, at + len(word))
     else:  # a letter whose lower case is longer moves the positions
         out += [("id_number", m.start("v"), m.end("v"), 0) for m in ID.finditer(text)]
+    labelled_at = [(a, b) for k, a, b, _ in out if k == "id_number"]
+    out += [("id_number", m.start(), m.end(), 1) for m in NUMBER.finditer(text) if not any(a < m.end() and m.start() < b for a, b in labelled_at)]
     if "box" in lower or "bag" in lower or "postfach" in lower:
         out += [("address", m.start(), m.end(), 1) for m in BOX.finditer(text)]
     done = 0
     for number in _NUMBERED.finditer(text):
-        if number.start() >= done and (hint := _STREET_HINT.search(text, number.end() - 1, number.end() + 80)):
-            for m in HOUSE.finditer(text, max(done, number.start() - 45), hint.end() + 20):
-                if (m["no"] or m["unit"]) and m.start() <= hint.start():
+        if number.start() >= done and (street := _STREET_AFTER.match(text, number.end() - 1)):
+            for m in HOUSE.finditer(text, max(done, number.start() - 45), street.end()):  # a unit and its number are at most so long
+                if (m["no"] or m["unit"]) and m.start() <= street.start():
                     out.append(("address", m.start("unit") if m["unit"] else m.start("no"), m.end(), 2))
                     done = m.end()
+    words = set(lower.split())
+    if not words.isdisjoint(_FOREIGN_WORDS) or not {w[-4:] for w in words}.isdisjoint(_FOREIGN_ENDS) or any(w.endswith(("weg", "vej")) for w in words):
+        out += [("address", m.start(), m.end(), 3) for m in FOREIGN.finditer(text)]
     taken = [(s, e) for k, s, e, _ in out if k in ("address", "email")]
     for s, e, titled in _persons(text, taken):
         out.append(("person", s, e, int(titled)))
+    out += [("person", m.start(1), m.end(1), 2) for m in (() if words.isdisjoint(_CUE_WORDS) else CUE.finditer(text)) if not _stop(m[1])]
     return out
 
 
 # ---- features ----------------------------------------------------------------------------------------------------
 FEATURES = """email phone id address person length tokens digits letters upper groups group_first group_last group_most plus paren zero dots dashes spaces lines at_sign at_word tld
 label_phone label_id label_decoy money date_like left_person left_address right_person right_address titled given given_first given_fuzzy initials stops streets comma caps particles hyphen quote
-sentence_start next_open next_comma next_digit prev_digit prev_slash next_slash street_after line_alone unit box house_no ocr_digits""".split()
+sentence_start next_open next_comma next_digit prev_digit prev_slash next_slash street_after line_alone unit box house_no ocr_digits foreign id_word decoy_word bare single""".split()
 _PHONE_LABEL = re.compile(r"(?:tel|phone|call|ring|fax|mobile|mob|cell|number is|telephone from|contact|on|dial|sms|left|at|hours access call|\(|/|email|and|:|,)[\s:.]*$", re.I)
 _PHONE_WORD = re.compile(r"\b(?:tel|phone|call|ring|fax|mobile|mob|telephone|callback|dial|keys|contact|ext)\b", re.I)
 _ID_LABEL = re.compile(rf"\b(?:{ID_LABELS})[\s:#]*$", re.I)
 _DECOY = re.compile(DECOYS, re.I)
+_ID_WORD = re.compile(rf"\b(?:{ID_WORDS})\b", re.I)
+_DECOY_WORD = re.compile(r"\b(?:po|sku|sscc|inv|invoice|container|meter|company|permit|lot|rate|order|vat|abn|acn|serial|batch|pallet|ticket|under|form|account|iban|total|cartons?|kg|eur|gbp|usd|aud|pln)\b", re.I)
 _MONEY = re.compile(r"(?:EUR|USD|GBP|PLN|AUD|\$|€|£)\s*$")
-_ADDRESS_LEFT = re.compile(r"(?:\bat|\bto|\bof|\bfrom|lives at|sent to|samples to|back to|address:?|,|\bnear|\bin)\s*$", re.I)
+_ADDRESS_LEFT = re.compile(r"(?:\bat|\bto|\bof|\bfrom|lives at|sent to|samples to|back to|address:?|,|\bnear|\bin|\bis)\s*$", re.I)
 _ADDRESS_RIGHT = re.compile(r"^\s*,?\s*(?:[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)?,?\s)?(?:[A-Z]{2,3}\s)?\d{4,5}\b|^\s*,\s*[A-Z]|^\s*(?:were|gives|marked|-|for)\b")
 _AFTER_STREET = re.compile(rf"(?:\b(?:{_STREETS})\.?|\bBox\s\d+)\s?[,;]\s*$", re.I)
 _DATE = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})$")
@@ -193,30 +232,37 @@ def features(text: str, kind: str, start: int, end: int, hint: int) -> list[floa
     span = text[start:end]
     left, right = text[max(0, start - 40) : start], text[end : end + 40]
     groups = re.findall(r"\d+", span)
-    tokens = _TOKENS.findall(span)
-    letters = sum(c.isalpha() for c in span)
-    left_word = (m[1].lower() if (m := _LEFT_WORDS.search(left)) else "")
-    right_word = (m[1].lower() if (m := _RIGHT_WORD.search(right)) else "")
-    bare = [t.strip(".,;:'’“”\"()").lower() for t in tokens]
+    letters = sum(map(str.isalpha, span))
     f = dict.fromkeys(FEATURES, 0.0)
     f[{"id_number": "id"}.get(kind, kind)] = 1
     f |= {
-        "length": len(span), "tokens": len(tokens), "digits": sum(map(len, groups)), "letters": letters, "upper": sum(c.isupper() for c in span) / max(1, letters),
+        "length": len(span), "tokens": len(span.split()), "digits": sum(map(len, groups)), "letters": letters, "upper": sum(map(str.isupper, span)) / max(1, letters),
         "groups": len(groups), "group_first": len(groups[0]) if groups else 0, "group_last": len(groups[-1]) if groups else 0, "group_most": max(map(len, groups), default=0),
-        "plus": span[:1] == "+", "paren": span[:1] == "(", "zero": span[:1] in "0O", "dots": span.count("."), "dashes": span.count("-"), "spaces": span.count(" "), "lines": span.count("\n"),
-        "next_open": right[:3].lstrip()[:1] == "(", "next_comma": right[:1] == ",", "next_digit": right[:2].strip()[:1].isdigit(), "prev_digit": left[-2:].strip()[-1:].isdigit(),
-        "prev_slash": left[-2:].strip()[-1:] == "/", "next_slash": right[:2].strip()[:1] == "/", "sentence_start": bool(re.search(r"(?:^|[.\n])\s*$", left)) or not left,
-        "money": bool(_MONEY.search(left)), "label_decoy": bool(_DECOY.search(left)), "label_id": bool(_ID_LABEL.search(left)),
+        "dots": span.count("."), "dashes": span.count("-"), "spaces": span.count(" "), "lines": span.count("\n"),
     }
-    if kind == "email":
+    if kind in ("phone", "id_number"):
+        before, after = left[-2:].strip()[-1:], right[:2].strip()[:1]
+        f |= {
+            "plus": span[:1] == "+", "paren": span[:1] == "(", "zero": span[:1] in "0O", "next_digit": after.isdigit(), "prev_digit": before.isdigit(), "prev_slash": before == "/", "next_slash": after == "/",
+            "money": bool(_MONEY.search(left)), "label_decoy": bool(_DECOY.search(left)), "label_id": bool(_ID_LABEL.search(left)), "sentence_start": not left or left.rstrip(" ")[-1:] in ".\n",
+        }
+    else:
+        left_word = (m[1].lower() if (m := _LEFT_WORDS.search(left)) else "")
+        right_word = (m[1].lower() if (m := _RIGHT_WORD.search(right)) else "")
+        tokens = _TOKENS.findall(span)
+        bare = [t.strip(".,;:'’“”\"()").lower() for t in tokens]
+        f |= {"next_open": right[:3].lstrip()[:1] == "(", "next_comma": right[:1] == ",", "next_digit": right[:2].strip()[:1].isdigit(), "prev_digit": left[-2:].strip()[-1:].isdigit(), "prev_slash": left[-2:].strip()[-1:] == "/", "next_slash": right[:2].strip()[:1] == "/", "sentence_start": bool(re.search(r"(?:^|[.\n])\s*$", left)) or not left}
+    if kind == "id_number":
+        f |= {"bare": hint == 1, "id_word": bool(_ID_WORD.search(left)), "decoy_word": bool(_DECOY_WORD.search(left)), "date_like": bool(_DATE.match(span.strip())), "label_phone": 2 * bool(_PHONE_WORD.search(left))}
+    elif kind == "email":
         f |= {"at_sign": span.count("@"), "at_word": len(re.findall(r"[\(\[{]\s?at", span, re.I)), "tld": bool(re.search(r"(?:example|invalid|test|com|org|net|edu|gov|io|au|uk|pl|de|us)$", span, re.I))}
     elif kind == "phone":
         f |= {"label_phone": bool(_PHONE_LABEL.search(left)) + 2 * bool(_PHONE_WORD.search(left)), "date_like": bool(_DATE.match(span.strip())), "ocr_digits": sum(c in "OoIlSB" for c in span), "left_person": bool(re.search(r"[A-Za-z]\s?\(\(?$", left))}
     elif kind == "address":
-        f |= {"left_address": bool(_ADDRESS_LEFT.search(left)), "right_address": bool(_ADDRESS_RIGHT.search(right)), "unit": bool(re.match(rf"(?:{_UNITS})\b", span)), "box": hint == 1, "house_no": bool(re.match(r"\d", span)), "stops": sum(b in _STOP for b in bare)}
+        f |= {"foreign": hint == 3, "left_address": bool(_ADDRESS_LEFT.search(left)), "right_address": bool(_ADDRESS_RIGHT.search(right)), "unit": bool(re.match(rf"(?:{_UNITS})\b", span)), "box": hint == 1, "house_no": bool(re.match(r"\d", span)), "stops": sum(b in _STOP for b in bare)}
     elif kind == "person":
         f |= {
-            "left_person": left_word in PERSON_LEFT, "right_person": right_word in PERSON_RIGHT, "titled": hint, "given": sum(_near_given(b.split("-")[0]) or _near_given(b) for b in bare), "given_first": bool(bare) and _near_given(bare[0]),
+            "left_person": left_word in PERSON_LEFT, "right_person": right_word in PERSON_RIGHT, "titled": hint == 1, "single": hint == 2, "given": sum(_near_given(b.split("-")[0]) or _near_given(b) for b in bare), "given_first": bool(bare) and _near_given(bare[0]),
             "given_fuzzy": bool(bare) and _near_given(bare[-1]), "initials": sum(bool(re.fullmatch(r"(?:\w\.?){1,3}", b)) and len(b) <= 4 and "." in t for b, t in zip(bare, tokens)), "stops": sum(b in _STOP for b in bare),
             "streets": sum(b in _STREET_SET for b in bare), "comma": "," in span, "caps": span.isupper(), "particles": sum(t in ("von", "van", "de", "der", "da", "di") for t in tokens), "hyphen": "-" in span, "quote": bool(re.search("[“”\"]", span)),
             "street_after": right_word in _STREET_SET, "line_alone": (not left or left[-1] == "\n") and (not right or right[0] == "\n"), "left_address": left_word in ("the", "for", "prepared", "a", "this"), "right_address": right_word in _STOP, "unit": bool(_AFTER_STREET.search(left)), "box": len(tokens) == 2 and tokens[1].isupper() and len(tokens[1]) <= 3,
@@ -232,14 +278,15 @@ _STREET_NAMES = "Bell Tannery Mill Ferry Old Dairy|Lark|Orchard|Harbour|Station|
 _DOMAINS = "mail.test harbour.example cold-hub.example staff.ice.example post.example north.invalid firm.com depot.org".split()
 _FIRMS = "Foods|Seafoods Brothers|Cold Logistics|Packaging Group|Meats Manufacturing|Fresh Produce|Poultry|Bakery Products International|Beverages Distribution|Ice Cream".split("|")
 _ROLES = "Service Provider|Account Holder|Facility Manager|Warehouse Keeper|Supplier|Depositor|Guarantor|Carrier|Operator|Customer".split("|")
-TEMPLATES = """According to {P}, the pallets had been signed for by {P} before the gate log was issued.|Bank guarantee arranged by {P}, {A}, {F}, {I}.|Dear {P}, the storage rate must be reported. Yours faithfully, {P}|Deliver samples to {A} marked for {P}.|{P} no longer works in claims; use {E}.|For after-hours access call {F} or write to {E} under the transition plan.
-Licence check: {P} expired, {P} expired.|Licence check: {P} ok, {P} pending.|{P} of {A} gives the guarantee in Schedule 5 ({I}).|Keys: {P} / {P} / {F}|Name: {P} Tel: {F} Email: {E}|{I} was noted on the packing list together with {D} as date of birth.|Notices to the {R} must be sent to {A}, attention {P}, with a copy to {E}.|On {D} {P} will segregate mixed pallets owing to a late arrival.
-Please forward the rate card to {E} and not to the site office.|Ring {F} before unloading; fax {F}; quote {X}.|Signed by {P} for the {R} on {D}.|The {R} must inspect frozen goods, as {P} confirmed by telephone from {F}.|The driver, {P}, showed {i} at the gate and left {F} as a contact.|The release form names {P} ({F}) and {P} ({E}) as key holders.
-The site lives at {A} - see {P} on arrival.|Visitor log: {P}, {i}, arrived {n}:15, bay {n}.|We spoke with {P} about data exchange; the callback number is {F}.|Witness: {P} Occupation: clerk Address: {A}|The matter was raised by {P} with the shift lead.|cc {E}; {E}; {E}|Goods refused at {A} were taken back to {A}.|Neither {P} nor the {R} signed the form.|{E}|{P}|Contact {P} on {F}.
-The reference on the service report ({X}) prevails over the {r} stated in Schedule {n}.|A claim under {X} must be lodged within {n} days together with the packing list.|Charges for pest control are invoiced at EUR {m} per pallet under {X} and the {r} increases by {n}.5 per cent.|In any calendar month the {r} may not exceed ${m}, save to the extent required by law.|On {D} the parties agreed that the reserve pallets would be held at minus {n} degrees.
-The {R} must promptly return hired racking and the {R} agrees to check it.|{C} / NOTICES / draft {n}{n}|Prepared by the {C} commercial desk, revision {n}{n}|Retrieved from the {C} contract portal on {D}|Compiled for {C} by the records room; last checked {D}|{n}.{n} Handling and Picking and the Storage Rate|Page {n} of {n}|This document is issued by {C} and may not be reproduced without consent.
-(b) a copy of the inspection sheet marked {X};|| handling charge | EUR {m} | -21 C | {D} | pest control ||The {C} depot at {L} opens at {n}:00.|Unless the Parties agree otherwise, Weekend Cover at {L} lapses on {D}.|Temperature Logging For Bulk Ingredients {n}|The meter reads {n}{n}{n} {n}{n} and the lot has {n}{n} cartons at Gate {n}.|{L} and {L} are served by the {R}.|The Annual Tender and the Joint Inspection take place in {L} on {D}.
-All rights in this form are reserved. Form {n}|Subject to the general conditions of {C}, which are available on request|Confidential for the use of {C} and its advisers only|Printed copy no. {n} uncontrolled when printed|Open this page in the viewer to leave a comment (ticket {n})|Share this clause: link, mail, print|Goods held at Chamber {n} Cross Dock Way are counted.|Was this page useful? Tell the {C} records team.|Schedule {n} Part {n} of the Master Agreement between {C} and {C}.|Court Order {n} and Drive Unit {n} were filed.|Company number {n}{n}7 {n}{n}1 {n}{n}4 of {C}.|HYGIENE AND PEST CONTROL page {n}|The Larkfield Terminal and the Old Harbour Yard close early."""
+TEMPLATES = """{P} asked for an offer on {D}.|As {P} wrote, the load was short.|The van was driven by {P} of {C}.|Please speak to {P} or {P}.|{P}, {P} and {P} were on duty.|On duty: {P} ok, {P} absent|Approved by {P} on {D}|Dear {P},|Dear {P}, we thank you.|Kind regards, {P}|Yours truly, {P}|Signed: {P}|Attn {P}|attention: {P}, {C}|My name is {G} and I run the depot.|Hi {G}|Regards, {G}
+Ask for {P} at the desk.|Mail {P} at {E}.|{P} ({E})|{P} <{E}>|{P}, {F}|{P} on {F}|{P} ({F}) has the keys.|Key holder {P}, second key holder {P}, tel {F}|Badge: {P} / {P}|Driver {P} showed {i} at the gate.|{P} showed {I} and signed.|{P} gave {i} as proof.|Holder {P}, {I}|{I} belongs to {P}.|The guest {P} of {A} left at noon.|{P} lives at {A} and can be reached on {F}.|Guarantee by {P}, {A}, {F}, {I}
+Occupation: clerk Witness: {P}|Name {P} Phone {F} Mail {E}|name: {P}|According to the log {P} closed the door.|Neither {P} nor {P} saw it.|It was decided by {P} with the {R}.|We met {P} about the roof.|Copy to {P}, {E}|cc: {E}, {E}|{P} was promoted.|{P} has left the firm; write to {E} instead.|From: {P} To: {P}|{P} confirmed by phone from {F}|For the {R}: {P}|signed by {P} for {C}|Mr and Mrs are polite forms.
+Write to {E}.|Questions go to {E}, please.|{E}|Send the file to {E}; not to the desk.|E-mail: {E}|Mail {E} or call {F}.|Our fax is {F}.|Fax {F}|Tel. {F}|tel: {F} / fax: {F}|Telephone {F}|Call {F} after six.|Dial {F} and wait.|Please ring {F} first.|Mobile {F}|Hotline ({F})|{F}|{F} (office) {F} (home)|Reach the guard on {F} at night.|The number is {F}.|Call us: {F}. Quote {X}.
+The depot is at {A}.|{A}|Visit us at {A}.|Deliver to {A}.|bring two boxes to {A}, gate {n}|Goods from {A} were sent to {A}.|Address: {A}|Post to {A} and mail {E}.|The seat of the {R} is {A}; fax {F}.|Notices go to {A}, attention {P}.|He moved from {A} to {A}.|The lease of {A} ends on {D}.|Return to {A}, marked for {P}|our site, {A}, is closed|Bring it back to {A} before {D}.
+{I}|her {i}|{I} was copied.|{I} and {I}|We hold {I} with {D} as day of birth.|Proof of identity: {i}|The card shows {I}.|{P}: {I}|ID checked ({I})|Visitor {P}, {i}, came at {n}:15, dock {n}
+The {R} shall pay within {n} days.|The {R} and the {R} agree on Schedule {n}.|See Clause {n}.{n} of the Storage Agreement.|{X} was paid late.|The invoice under {X} is open.|Quote {X} in all letters.|{X}, {X} and {X} were moved.|The order ({X}) is open.|as the note ({X}) says|a loss under {X} is reported|Lot {n} with {X} stands at Gate {n}.|On {D} the {R} may end this Agreement.|Pallets cost EUR {m} a week.|We paid ${m} for {X}.|GBP {m} and USD {m} are due on {D}|The tank holds {n}{n}{n} {n}{n} litres.|{n} {n}{n} {n}{n} cartons|Meter {n}{n}{n} {n}{n} {n}{n}
+Cold Chain Services and Quality Assurance are listed.|The Annual Tender is open.|Fire Safety Plan {n}|PEST CONTROL AND HYGIENE {n}|Master Supply Agreement between {C} and {C}|{C} ({L}) Limited|The {C} team|Published by {C} on {D}|All rights reserved, {C}|Page {n} of {n}|Section {n} Part {n}|Schedule {n} - Rates and Charges|{L} and {L} have one gate.|The {L} Terminal and the East Yard are closed.|In {L} the {R} runs two halls.|Bay {n} Cross Dock Way is wet.|Court Order {n} was served.|Forklift Training, Level {n}, is due in March {n}.
+Frozen Goods, Dairy Goods and Dry Goods|Chamber {n} is at minus {n} degrees.|Company number {n}{n}7 {n}{n}1 {n}{n}4 of {C}|Bank Holiday Monday|New Zealand Lamb and Irish Butter|Packing List {n}|Revision {n}{n} of {D}|Ticket {n}{n}{n} is closed.|Handling Charges, Peak Season|{R} and {R}|the {R}, the {R} or the {C} desk|Form {n}-{n} Rev {n}|Stock Take on {D}|Insurance of Goods at {L}|Customs Entry {X}|Quarter Two Review|Energy Surcharge Index|Data Exchange via Portal|Hygiene Officer on call|seen on {D}{N}{n}.{n}.{n} Scope of Works|kept until {D}{N}{n}.{n} Rates and Fees|checked {D}{N}{n}.{n}.{n} Term|counted on {D}{N}{n} pallets"""
 
 
 def _digits(rng: np.random.Generator, pattern: str) -> str:
@@ -255,6 +302,8 @@ def _compose(rng: np.random.Generator, template: str) -> tuple[str, list[tuple[s
         given, last = pick(GIVEN), surname()
         if rng.random() < 0.08:
             given = surname()  # a name that no list has
+        elif rng.random() < 0.05:
+            given = f"{given}-{pick(GIVEN)}"
         last = f"O'{last}" if rng.random() < 0.05 else f"{last}-{surname()}" if rng.random() < 0.06 else f"von {last}" if rng.random() < 0.04 else last
         way = rng.random()
         name = f"{given} {last}" if way < 0.45 else f"{given[0]}. {last}" if way < 0.55 else f"{given[0]}.{pick('ABCDEFGJKLM')}. {last}" if way < 0.6 else f"{given} {pick('ABCDEFGJKLM')}. {last}" if way < 0.7 else f"{given} {pick(GIVEN)} {last}" if way < 0.8 else f"{last}, {given}" if way < 0.9 else f"{given} “{pick(GIVEN)[:3]}” {last}" if way < 0.93 else last.upper() + ", " + given if way < 0.96 else f"{given} {last}".upper()
@@ -268,13 +317,17 @@ def _compose(rng: np.random.Generator, template: str) -> tuple[str, list[tuple[s
         whole = local + at + (domain.replace(".", " (dot) ") if "(at)" in at else domain.replace(".", " .", 1) if rng.random() < 0.03 else domain)
         return whole.upper() if rng.random() < 0.1 else whole
 
-    phone = lambda: _digits(rng, pick(["(0%) #### ####", "+1 ### 555 ####", "+1 (###) 555-####", "0044 7700 900 ###", "020 7946 0###", "+614########", "1.###.555.####", "04##-###-###", "04## ### ###", "07700 900###", "(###) 555 ####", "###-555-####", "+44 20 7946 0###", "+44 (0)20 7946 0###", "O% #### ####", "(0%) 7O## ####", "+48 ## ### ## ##", "+49 30 #######"]))
-    label, form = [("Passport: ", "&%######"), ("ID card ", "&&& ######"), ("driver's licence ", "&### ### ###"), ("licence number ", "####-####-&"), ("NI number ", "QQ ## ## ## &"), ("PESEL ", "###########"), ("tax file number ", "#########"), ("TFN ", "### ### ###"), ("SSN ", "9##-##-####"), ("National Insurance ", "QQ######&"), ("social security number ", "000 ## ####"), ("passport no. ", "&&#######"), ("Medicare ", "#### ##### #")][rng.integers(0, 13)]
+    phone = lambda: _digits(rng, pick(["(0%) #### ####", "+1 ### 555 ####", "+1 (###) 555-####", "0044 7700 900 ###", "020 7946 0###", "+614########", "1.###.555.####", "04##-###-###", "04## ### ###", "07700 900###", "(###) 555 ####", "###-555-####", "+44 20 7946 0###", "+44 (0)20 7946 0###", "O% #### ####", "(0%) 7O## ####", "+48 ## ### ## ##", "+49 30 #######", "139########", "0# ## ## ## ##", "06-########"]))
+    label, form = [("Passport: ", "&%######"), ("ID card ", "&&& ######"), ("driver's licence ", "&### ### ###"), ("licence number ", "####-####-&"), ("NI number ", "QQ ## ## ## &"), ("PESEL ", "###########"), ("tax file number ", "#########"), ("TFN ", "### ### ###"), ("SSN ", "9##-##-####"), ("National Insurance ", "QQ######&"), ("social security number ", "000 ## ####"), ("passport no. ", "&&#######"), ("Medicare ", "#### ##### #"), ("DNI ", "########&"), ("Steuer-ID ", "## ### ### ###"), ("her ID is ", "#### #### ####"), ("BSN ", "#########"), ("CPF ", "### ### ### ##")][rng.integers(0, 18)]
 
     def address() -> str:
         street = f"{pick(_STREET_NAMES)} {pick(STREET_TYPES.split()[:22])}"
         number = _digits(rng, pick(["%", "%#", "%##", "%#/%##", "%##-%##", "%#A", "%/%#"]))
         way = rng.random()
+        if rng.random() < 0.12:
+            last, no = surname(), _digits(rng, pick(["%", "%#", "%##"]))
+            foreign = [f"{last}straße {no}", f"{last}weg {no}", f"{last}straat {no}", f"{no} rue {pick(['de ', 'du ', ''])}{last}", f"Rua {pick(['das ', 'da ', ''])}{last} {no}", f"via {last} {no}", f"Calle {last} {no}", f"ul. {last} {no}", f"{last} Straße {no}"]
+            return pick(foreign) + pick([", ", ", 10115 ", ""]) + pick(_PLACES)
         head = f"PO Box {_digits(rng, '%###')}" if way < 0.2 else f"Lot {_digits(rng, '%##')} {street}" if way < 0.28 else f"{pick(['Unit', 'Level', 'Suite', 'Shop'])} {_digits(rng, '%#')}, {number} {street}" if way < 0.5 else f"{number} {street}"
         state = pick(["", "", " NSW", " VIC", " TX", ", OH", ", QLD", ", NSW", " WA", "; ID"])
         tail = pick([", ", ", ", "; "]) + pick(_PLACES) + state + (_digits(rng, " ####") if rng.random() < 0.5 else "") if rng.random() < 0.8 else ""
@@ -284,7 +337,10 @@ def _compose(rng: np.random.Generator, template: str) -> tuple[str, list[tuple[s
     date = lambda: pick([_digits(rng, "202#-0%-1#"), _digits(rng, "1#/0%/202#"), _digits(rng, "% March 202#"), _digits(rng, "2% October 202#")])
     text, found = "", []
     for piece in re.split(r"(\{\w\})", template):
-        if piece == "{P}":
+        if piece == "{G}":
+            found.append(("person", len(text)))
+            text += pick([g for g in GIVEN if g.isalpha()] + [surname() for _ in range(60)])
+        elif piece == "{P}":
             title, name = person()
             text += title
             found.append(("person", len(text)))
@@ -297,19 +353,22 @@ def _compose(rng: np.random.Generator, template: str) -> tuple[str, list[tuple[s
             found.append(("id_number", len(text)))
             text += _digits(rng, form)
         else:
-            text += {"{X}": decoy, "{D}": date, "{R}": lambda: pick(_ROLES), "{r}": lambda: pick(["storage rate", "liability cap", "overtime rate"]), "{n}": lambda: str(rng.integers(1, 60)), "{m}": lambda: _digits(rng, "%##,###.50"), "{C}": lambda: f"{surname()}{pick(['ax', 'il', 'or'])} {pick(_FIRMS)}", "{L}": lambda: pick(_PLACES)}.get(piece, lambda: piece)()
+            text += {"{X}": decoy, "{D}": date, "{R}": lambda: pick(_ROLES), "{r}": lambda: pick(["storage rate", "liability cap", "overtime rate"]), "{N}": lambda: "\n", "{n}": lambda: str(rng.integers(1, 60)), "{m}": lambda: _digits(rng, "%##,###.50"), "{C}": lambda: f"{surname()}{pick(['ax', 'il', 'or'])} {pick(_FIRMS)}", "{L}": lambda: pick(_PLACES)}.get(piece, lambda: piece)()
     return text, found
 
 
-def labelled(n: int = TRAIN_TEXTS, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and kinds of the spans proposed in n composed texts of a few sentences each, some with wrapped lines."""
+def labelled(n: int = TRAIN_TEXTS, seed: int = 3, templates: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and kinds of the spans proposed in n composed texts of a few sentences each, some with wrapped lines,
+    and whether a text is of the templates that are held out for the thresholds (every fifth)."""
     rng = np.random.default_rng(seed)
-    templates = [t for line in TEMPLATES.split("\n") for t in line.split("|") if t]
-    x, y, kinds = [], [], []
-    for _ in range(n):
+    templates = templates or [t for line in TEMPLATES.split("\n") for t in line.split("|") if t]
+    parts = [[t for i, t in enumerate(templates) if i % 5 != 2], [t for i, t in enumerate(templates) if i % 5 == 2]]
+    x, y, kinds, held = [], [], [], []
+    for k in range(n):
         text, true = "", set()
+        hold = k % 4 == 3
         for _ in range(int(rng.integers(1, 4))):
-            template = str(templates[rng.integers(0, len(templates))])
+            template = str(parts[hold][rng.integers(0, len(parts[hold]))])
             part, found = _compose(rng, template)
             if not found and rng.random() < 0.2:
                 part = part.upper()
@@ -326,19 +385,21 @@ def labelled(n: int = TRAIN_TEXTS, seed: int = 3) -> tuple[np.ndarray, np.ndarra
             x.append(features(text, kind, s, e, hint))
             y.append((kind, s) in true)
             kinds.append(KINDS.index(kind))
-    return np.array(x), np.array(y, dtype=float), np.array(kinds)
+            held.append(hold)
+    return np.array(x), np.array(y, dtype=float), np.array(kinds), np.array(held)
 
 
 def fitted() -> tuple[boosting.Boosted, list[float]]:
-    """The trees and, by kind, the probability from which a span is taken: the best F1 on the labelled sample."""
+    """The trees and, by kind, the probability from which a span is taken: the best F1 on texts of the held-out templates,
+    on which the probabilities are calibrated too."""
 
     def build():
-        x, y, kinds = labelled()
-        model = boosting.train(x, y, trees=80, depth=5)
+        x, y, kinds, held = labelled()
+        model = boosting.train(x, y, trees=80, depth=5, hold=held)
         p = model.probability(x)
         cuts = []
         for k in range(len(KINDS)):
-            pk, yk = p[kinds == k], y[kinds == k]
+            pk, yk = p[held & (kinds == k)], y[held & (kinds == k)]
             f1 = lambda t: 2 * (yk * (pk >= t)).sum() / max(1, yk.sum() + (pk >= t).sum())
             tried = np.linspace(0.3, 0.7, 9)
             best = [t for t in tried if f1(t) >= max(map(f1, tried)) - 1e-3] if len(pk) else [0.5]

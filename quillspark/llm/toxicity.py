@@ -27,7 +27,7 @@ FAR = 30  # words: no closeness beyond
 
 # The lexicon by families, in English, German, Dutch, French, Polish, Spanish and Italian, without accents.
 FAMILIES = {
-    "insult": """idiot moron imbecile retard retarded cretin bastard bitch dickhead dipshit dumbass arsehole asshole scumbag wanker tosser twat prick cunt slut whore bellend halfwit scum jerk loser
+    "insult": """idiot moron imbecile retard retarded cretin subhuman subhumans untermensch untermenschen bastard bitch dickhead dipshit dumbass arsehole asshole scumbag wanker tosser twat prick cunt slut whore bellend halfwit scum jerk loser
         numbskull nitwit dunce git weasel pig swine rat toad cow slob creep pervert coward liar trash garbage filth
         vollidiot depp trottel arschloch wichser hurensohn schlampe missgeburt dummkopf spinner klootzak eikel hoer mongool sukkel mietje connard connasse salope encule abruti cretine debile ordure
         idioto kretyn kretynie kretynem debil debilu kurwo dupku palancie frajerze suko pendejo cabron gilipollas puta imbecil zorra stronzo coglione troia cretino deficiente""",

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from quillspark.llm import boosting
@@ -20,13 +22,73 @@ def test_kinds():
     assert not any(x[1] in ("4546 ", "933 9", "2024-", "Servi") for x in got)
 
 
-def test_held_out_accuracy():
+# written apart from the templates of the module; {kind:item} marks what is to be found
+UNSEEN = """Yesterday {person:Tamsin Redfern} slipped on the ramp and phoned {phone:0113 496 0999} for help.
+Should the alarm ring, wake {person:Oskar Lindqvist} ({phone:+46 70 174 06 12}).
+Forward every complaint to {email:quality.team@northshed.example}, thanks.
+The parcel for {person:Ms} waits.|The parcel for Ms {person:Harriet Quill} waits at {address:17 Chandler Street}, Osgate.
+We could not find SKU 88213-04 or order 4500 771 230 in the cage.
+Her new home is {address:Flat 9, 22 Linden Grove}, Marlow 3055.
+Post office mail arrives at {address:PO Box 771}, Brackley.
+The tenant produced passport {id_number:K8812345} and a gas bill.
+Tax file number {id_number:482 115 903} was blacked out.
+His DNI is {id_number:48211590K}, issued in Madrid.
+Her ID is {id_number:4432 9981 7712}.
+The Steuer-ID {id_number:12 345 678 901} is on the pay slip.
+Find us in the {address:Gartenstraße 41}, 50667 Köln.
+The bakery at {address:8 rue du Moulin}, Lille, opens at six.
+Our agent keeps a desk at {address:Rua do Carmo 31}, Porto.
+Text me on {phone:13912345678} when the ship docks.
+My name is {person:Siobhan} and I clean the silo.
+{person:Helen Page} and {person:Jan Kowalski} share an office.
+Chamber 14 holds 2,300 crates; invoice INV-2023-88121 covers EUR 14,200.00.
+On 12 March 2024 the Parties signed Schedule 3 of the Lease Agreement.
+Reply to {email:j.o'brien (at) pier (dot) example} or {email:ANNA.WEI@COLD.EXAMPLE}.
+Night desk: {phone:(020) 7946 0333}, day desk: {phone:020-7946-0334}.
+Insurance no. {id_number:AB 12 34 56 C} belongs to {person:Piotr von Asch}.
+Container MSKU 481920 3 was weighed at 24,100 kg.
+The General Manager and the Finance Director met in East Harbour.
+{person:DUNMORE, Patricia} refused; {person:P. Dunmore} had agreed before.
+The shop moved to {address:Suite 12, 140 Victoria Parade}, Kelston NSW 2100.
+Please thank {person:Anneke de Groot} for the tour.
+Licence {id_number:DUNMO 712034} expired." he said.
+The inspection by {person:Dr Yusuf} took place.|Doctor {person:Yusuf Aydin} came."""
+
+
+def marked(line):
+    text, found = "", []
+    for piece in re.split(r"(\{\w+:[^}]*\})", line):
+        m = re.fullmatch(r"\{(\w+):([^}]*)\}", piece)
+        if m:
+            found.append((m[1], len(text)))
+        text += m[2] if m else piece
+    return text, found
+
+
+def test_unseen_contexts():
+    texts, wanted = zip(*[marked(line.split("|")[-1]) for line in UNSEEN.split("\n")])
+    assert not any(t in P.TEMPLATES for t in texts)
+    true = {(i, k, s) for i, w in enumerate(wanted) for k, s in w}
+    got = {(i, k, s) for i, f in enumerate(P.find(list(texts), *P.fitted())) for k, s, _ in f}
+    print("missed", [(texts[i][s : s + 20], k) for i, k, s in sorted(true - got)], "wrong", [(texts[i][s : s + 20], k) for i, k, s in sorted(got - true)])
+    assert len(true & got) >= 0.9 * len(true) and len(true & got) >= 0.9 * len(got)
+
+
+def test_held_out_templates():
     model, cuts = P.fitted()
-    x, y, kinds = P.labelled(1500, seed=77)
+    x, y, kinds, held = P.labelled(3000, seed=77)
+    assert 0.15 < held.mean() < 0.35
+    x, y, kinds = x[held], y[held], kinds[held]
     taken = model.probability(x) >= np.array(cuts)[kinds]
     for k in range(len(P.KINDS)):
         true, found = y[kinds == k] > 0, taken[kinds == k]
-        assert (true & found).sum() / max(1, found.sum()) > 0.95 and (true & found).sum() / max(1, true.sum()) > 0.95
+        assert (true & found).sum() / max(1, found.sum()) > 0.93 and (true & found).sum() / max(1, true.sum()) > 0.93
+
+
+def test_an_address_may_have_a_local_part_of_any_length():
+    local = "a" * 300 + ".b"
+    assert P.find([f"write to {local}@mail.example now"], *P.fitted())[0] == [("email", 9, 9 + len(local) + 13)]
+    assert P.candidates("@mail.example") == [] and P.candidates("x " * 5 + "\n\n@mail.example") == []
 
 
 def test_found_and_redact(spark):
