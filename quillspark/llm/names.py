@@ -5,8 +5,9 @@ of firm; for a person surname, given name and initials. Profiles merge when a co
 other with one slip of the pen, and line and country, or given name, agree. A merged profile has all spellings and
 initials of its parts and goes back into blocking; rounds follow each other until nothing merges any more.
 
-No round emits pairs within a block: each block (a spelling with one letter left out, and the context) points all its
-members to its smallest profile, which is exact because two strings that share such a block are one slip apart.
+Which spellings are one slip apart is found once, among the distinct spellings, and each such pair is verified. Rounds
+then work on (context, spelling), of which each has one smallest profile to point to: records of one spelling never meet
+each other in pairs, however many they are.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.plans.lineage import materialize
@@ -63,7 +64,7 @@ GLUED = sorted((w for w in (*LINE_OF, *KIND_OF, *COMPOUNDS, "products") if len(w
 
 
 def slips(word: str) -> set[str]:
-    """The word with at most one letter left out: two words that share one are at most one slip apart."""
+    """The word with at most one letter left out: two words that are one slip apart share one."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
@@ -73,11 +74,22 @@ for _w in LONG_WORDS:
         _SLIP_INDEX.setdefault(_s, set()).add(_w)
 
 
+def _one_slip(a: str, b: str) -> bool:
+    """Python twin of one_slip()."""
+    if len(a) == len(b):
+        at = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(at) <= 1 or len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
+    short, long = sorted((a, b), key=len)
+    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
 def known(token: str) -> str:
     """The vocabulary word that the token is, or is with one slip; else the token."""
     if token in LONG_WORDS or len(token) < 5:
         return token
-    near = {w for s in slips(token) for w in _SLIP_INDEX.get(s, ()) if abs(len(w) - len(token)) <= 1}
+    if len(token) > 20:  # no word of the vocabulary is near
+        return token
+    near = {w for s in slips(token) for w in _SLIP_INDEX.get(s, ()) if abs(len(w) - len(token)) <= 1 and _one_slip(w, token)}
     return min(near) if near else token
 
 
@@ -172,64 +184,119 @@ def profiles(df: DataFrame, key: str, name: str) -> DataFrame:
     return out.where("core <> ''")
 
 
-def _slip_keys(core):
-    """SQL twin of slips()."""
+LEAST_CORE = 5  # letters: shorter spellings link only if they are equal
+LONG_CORE = 41  # letters: longer spellings are blocked by their ends instead of by left-out letters
+
+
+def _slip_keys(core: Column) -> Column:
+    """Blocks of which two spellings that are one slip apart share at least one: the spelling with at most one letter left
+    out; for long ones their first and last 20 letters, of which one slip leaves one part as it is."""
     n = F.length(core)
-    return F.array_distinct(F.concat(F.array(core), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, n)))))
+    short = F.concat(F.array(core), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, n))))
+    ends = F.array(F.concat(F.lit("<"), F.left(core, F.lit(20))), F.concat(F.lit(">"), F.right(core, F.lit(20))))
+    return F.array_distinct(F.when(n < LONG_CORE, short).when(n <= LONG_CORE + 2, F.concat(short, ends)).otherwise(ends))
+
+
+def one_slip(a: Column, b: Column) -> Column:
+    """Whether one letter more, less or other, or two neighbours swapped, make b of a; also if they are equal.
+
+    By levenshtein; for long spellings, on which that takes too long, by their common beginning, found by bisection.
+    """
+    letter = lambda word, k: F.substring(word, k, F.lit(1))
+    rest = lambda word, k: F.substring(word, k, F.length(word))
+    d = F.levenshtein(a, b, 2)
+    at = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: letter(a, i) != letter(b, i))
+    i, j = F.get(at, F.lit(0)), F.get(at, F.lit(1))
+    swapped = (F.size(at) == 2) & (j == i + 1) & (letter(a, i) == letter(b, j)) & (letter(a, j) == letter(b, i))
+    short = F.when(d.isin(0, 1), True).when((d == 2) & (F.length(a) == F.length(b)), F.coalesce(swapped, F.lit(False))).otherwise(False)
+    grow = lambda k, step: F.when((k + step <= F.least(F.length(a), F.length(b))) & (F.left(a, k + step) == F.left(b, k + step)), k + step).otherwise(k)
+    steps = F.array(*[F.lit(1 << p) for p in range(30, -1, -1)])
+    common = F.aggregate(steps, F.lit(0), grow)
+
+    def beyond(k: Column) -> Column:
+        same = (rest(a, k + 2) == rest(b, k + 2)) | ((letter(a, k + 1) == letter(b, k + 2)) & (letter(a, k + 2) == letter(b, k + 1)) & (rest(a, k + 3) == rest(b, k + 3)))
+        more = F.length(a) - F.length(b)
+        return F.when(more == 0, same).when(more == 1, rest(a, k + 2) == rest(b, k + 1)).when(more == -1, rest(a, k + 1) == rest(b, k + 2)).otherwise(False)
+
+    long = F.get(F.transform(F.array(common), beyond), F.lit(0))  # the transform binds the common beginning
+    return F.when(F.greatest(F.length(a), F.length(b)) < LONG_CORE, short).otherwise(long)
+
+
+def near_cores(base: DataFrame) -> DataFrame:
+    """(kind, core, other): every distinct spelling with itself and, from LEAST_CORE letters, with those one slip away.
+
+    Distinct spellings that share a left-out-letter block differ in one letter at most there, so a block has no more of them
+    than its length times the alphabet, whatever the number of records.
+    """
+    cores = base.select("kind", "core").distinct()
+    blocks = cores.where(F.length("core") >= LEAST_CORE).select("kind", "core", F.explode(_slip_keys(F.col("core"))).alias("block"))
+    pairs = blocks.join(blocks.withColumnRenamed("core", "other"), ["kind", "block"]).where("core <> other").select("kind", "core", "other").distinct()
+    return pairs.where(one_slip(F.col("core"), F.col("other"))).unionByName(cores.withColumn("other", F.col("core")))
 
 
-def _context():
-    """What two complete profiles must share to be the same: line and country, or given name; null for an incomplete one."""
+def _context() -> Column:
+    """What two complete profiles must share to be the same: line and country, or given name and middle initials; null for an incomplete one."""
     org = F.concat(F.lit("o|"), F.col("line"), F.lit("|"), F.coalesce("country", F.lit("")))
-    return F.when(F.col("kind") == "person", F.concat(F.lit("p|"), F.col("given"))).otherwise(org)
+    person = F.concat(F.lit("p|"), F.col("given"), F.lit("|"), F.array_join("middles", ""))
+    return F.when(F.col("kind") == "person", person).otherwise(org)
 
 
 def _clusters(base: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each label its merged profile, and its distinct core spellings with their number of records."""
+    """Of each label its merged profile, with all initials, middle initials and kinds of firm of its parts, and its distinct
+    spellings with their number of records."""
     joined = base.join(labels, "id")
-    merged = joined.groupBy("label").agg(*[F.max(c).alias(c) for c in ("kind", "line", "country", "form", "given", "initial", "middle")])
-    return merged, joined.groupBy("label", "core").agg(F.count("*").alias("records"))
+    single = [F.max(c).alias(c) for c in ("kind", "line", "country", "given")]  # parts that differ in these never merge
+    several = [F.array_sort(F.collect_set(c)).alias(c + "s") for c in ("form", "initial", "middle")]
+    return joined.groupBy("label").agg(*single, *several), joined.groupBy("label", "core").agg(F.count("*").alias("records"))
 
 
-def _slip_merges(merged: DataFrame, cores: DataFrame) -> DataFrame:
-    """(label, target): complete profiles of one context that share a block go to the block's smallest label."""
-    blocks = merged.select("label", _context().alias("context")).where(F.col("context").isNotNull()).join(cores, "label").select("label", "context", F.explode(_slip_keys(F.col("core"))).alias("block")).distinct()
-    smallest = blocks.groupBy("context", "block").agg(F.min("label").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return blocks.join(smallest, ["context", "block"]).groupBy("label").agg(F.min("target").alias("target")).where("target < label")
+def _slip_merges(merged: DataFrame, cores: DataFrame, near: DataFrame) -> DataFrame:
+    """(label, target): complete profiles go to the smallest label of their context that has a spelling one slip from theirs."""
+    spelled = merged.select("label", "kind", _context().alias("context")).where(F.col("context").isNotNull()).join(cores.select("label", "core"), "label")
+    smallest = spelled.groupBy("kind", "context", F.col("core").alias("other")).agg(F.min("label").alias("target"))
+    reach = spelled.select("kind", "context", "core").distinct().join(near, ["kind", "core"]).join(smallest, ["kind", "context", "other"]).groupBy("kind", "context", "core").agg(F.min("target").alias("target"))
+    return spelled.join(reach, ["kind", "context", "core"]).groupBy("label").agg(F.min("target").alias("target")).where("target < label")
 
 
-def _far_merges(merged: DataFrame, cores: DataFrame) -> DataFrame:
-    """(label, target): clusters of one context whose most frequent spellings are two edits apart (one spelling a cluster)."""
-    main = cores.groupBy("label").agg(F.max_by("core", F.struct("records", "core")).alias("core"))
-    spelled = merged.select("label", _context().alias("context")).where(F.col("context").isNotNull()).join(main, "label").where(F.length("core") >= 8)
+def _far_merges(merged: DataFrame, cores: DataFrame, near: DataFrame) -> DataFrame:
+    """(label, target): clusters of one context whose most frequent spellings, of 8 to LONG_CORE letters, are two edits apart
+    and begin or end alike (one spelling a cluster, the smallest cluster of each spelling)."""
+    main = cores.groupBy("label").agg(F.max_by("core", F.struct("records", "core")).alias("core")).where(F.length("core").between(8, LONG_CORE))
+    spelled = merged.select("label", _context().alias("context")).where(F.col("context").isNotNull()).join(main, "label").groupBy("context", "core").agg(F.min("label").alias("label"))
     twice = F.array_distinct(F.flatten(F.transform(_slip_keys(F.col("core")), _slip_keys)))
     blocks = spelled.select("label", "context", "core", F.explode(twice).alias("block"))
     other = blocks.select(F.col("label").alias("target"), "context", F.col("core").alias("near"), "block")
-    pairs = blocks.join(other, ["context", "block"]).where("target < label").where(F.levenshtein("core", "near") <= 2)
+    end = (F.left("core", F.lit(2)) == F.left("near", F.lit(2))) | (F.right("core", F.lit(2)) == F.right("near", F.lit(2)))
+    pairs = blocks.join(other, ["context", "block"]).where("target < label").where(end & (F.levenshtein("core", "near", 2) >= 0))
     return pairs.groupBy("label").agg(F.min("target").alias("target"))
 
 
-def _open_merges(merged: DataFrame, cores: DataFrame) -> DataFrame:
-    """(label, target): a profile that lacks line, country or given name goes to the one complete profile it can mean.
+def _open_merges(merged: DataFrame, cores: DataFrame, near: DataFrame) -> DataFrame:
+    """(label, target): a profile that lacks line, country, given name or middle initial goes to the one fuller profile it can mean.
 
     Exact spellings before slips, the same kind of firm or middle initial before none; where several are equally good, it
-    stays alone.
+    stays alone. Profiles with a middle initial that the other lacks agree, with another one they don't. Fuller profiles
+    meet as (spelling, attributes) with their smallest and largest label, not one by one.
     """
+    known = lambda c: F.size(c) > 0
     full = F.col("line").isNotNull() | F.col("given").isNotNull()
-    lacks = (~full) | ((F.col("kind") == "org") & F.col("country").isNull())
-    blocks = merged.join(cores, "label").select(*merged.columns, "core", F.explode(_slip_keys(F.col("core"))).alias("block"))
-    a = blocks.where(lacks).select("block", "kind", *[F.col(c).alias(f"a_{c}") for c in ("label", "core", "line", "country", "form", "given", "initial", "middle")])
-    b = blocks.where(full).select("block", "kind", *[F.col(c).alias(f"b_{c}") for c in ("label", "core", "line", "country", "form", "given", "initial", "middle")])
+    lacks = (~full) | ((F.col("kind") == "org") & F.col("country").isNull()) | ((F.col("kind") == "person") & ~known("middles"))
+    traits = ("line", "country", "forms", "given", "initials", "middles")
+    spelled = merged.join(cores.select("label", "core"), "label")
+    first = F.when(F.col("kind") == "person", F.get("initials", F.lit(0)))
+    a = spelled.where(lacks).join(near, ["kind", "core"]).select("kind", F.col("label").alias("a_label"), "core", "other", *[F.col(c).alias(f"a_{c}") for c in traits], first.alias("a_first"))
+    b = spelled.where(full).withColumn("b_first", first).groupBy("kind", F.col("core").alias("other"), "b_first", *[F.col(c).alias(f"b_{c}") for c in traits]).agg(F.min("label").alias("low"), F.max("label").alias("high"))
     agree = lambda c: F.col(f"a_{c}").isNull() | (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    loose = lambda c: agree(c) | F.col(f"b_{c}").isNull()
-    fits = (F.col("a_label") != F.col("b_label")) & agree("line") & agree("given") & loose("initial") & loose("middle")
-    fits = fits & agree("country") & (F.col("a_line").isNull() | F.col("b_country").isNotNull())
-    pairs = a.join(b, ["block", "kind"]).where(fits)
-    score = F.when(F.col("a_core") == F.col("b_core"), 4).otherwise(0) + F.when(F.col("a_form") == F.col("b_form"), 2).otherwise(0) + F.when(F.col("a_middle") == F.col("b_middle"), 1).otherwise(0)
-    best = pairs.groupBy("a_label", "b_label").agg(F.max(score).alias("score"))
-    ranked = best.groupBy("a_label", "score").agg(F.min("b_label").alias("low"), F.max("b_label").alias("high"))
+    loose = lambda c: ~known(f"a_{c}") | ~known(f"b_{c}") | F.arrays_overlap(f"a_{c}", f"b_{c}")
+    fits = agree("line") & agree("given") & agree("country") & loose("initials") & loose("middles")
+    fits = fits & (F.col("a_line").isNull() | F.col("b_country").isNotNull()) & (F.col("a_given").isNull() | known("b_middles")) & ((F.col("low") != F.col("a_label")) | (F.col("high") != F.col("a_label")))
+    by_first = a.where("a_first IS NOT NULL").join(b.where("b_first IS NOT NULL").withColumn("a_first", F.col("b_first")), ["kind", "other", "a_first"])  # a person with a first letter
+    rest = a.where("a_first IS NULL").join(b, ["kind", "other"])
+    pairs = by_first.unionByName(rest.select(*by_first.columns)).where(fits)
+    score = F.when(F.col("core") == F.col("other"), 4).otherwise(0) + F.when(F.arrays_overlap("a_forms", "b_forms"), 2).otherwise(0) + F.when(F.arrays_overlap("a_middles", "b_middles"), 1).otherwise(0)
+    ranked = pairs.groupBy("a_label", score.alias("score")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     top = ranked.groupBy("a_label").agg(F.max_by(F.struct("low", "high"), "score").alias("t")).where("t.low = t.high")
-    return top.select(F.col("a_label").alias("label"), F.col("t.low").alias("target"))
+    return top.select(F.col("a_label").alias("label"), F.col("t.low").alias("target")).where("label <> target")
 
 
 def _relabel(labels: DataFrame, moves: DataFrame) -> DataFrame:
@@ -248,12 +315,13 @@ def resolve(df: DataFrame, key: str = "entity_id", name: str = "name") -> DataFr
     same = ["kind", "core", "line", "country", "given", "initial", "middle", "form"]
     first = base.groupBy(*same).agg(F.min("id").alias("label"))
     labels = materialize(base.join(first, [base[c].eqNullSafe(first[c]) for c in same]).select("id", "label"))
+    near = materialize(near_cores(base))
     for steps in ((_slip_merges,), (_slip_merges, _far_merges, _open_merges)):
         changed = True
         while changed:
             changed = False
             for step in steps:
-                moves = materialize(step(*_clusters(base, labels)))
+                moves = materialize(step(*_clusters(base, labels), near))
                 if not moves.isEmpty():
                     labels = materialize(_relabel(labels, moves))
                     changed = True

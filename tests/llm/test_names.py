@@ -46,3 +46,51 @@ def test_chains_merge_over_rounds(spark):
     names = ["Bortelan Foods", "Bortelam Foods", "Bortolam Foods", "Bartolam Foods", "Bartolem Foods"]
     df = spark.createDataFrame(list(enumerate(names)), "entity_id bigint, name string")
     assert {r.cluster for r in N.resolve(df).collect()} == {0}
+
+
+def clusters(spark, names):
+    df = spark.createDataFrame(list(enumerate(names)), "entity_id bigint, name string")
+    got = {r.entity_id: r.cluster for r in N.resolve(df).collect()}
+    return [got[i] for i in range(len(names))]
+
+
+def test_what_only_looks_alike_stays_apart(spark):
+    names = ["Anna Abcdefg", "Anna Bcdefga", "Abcdefgh Foods", "Bcdefgha Foods", "John Li", "John Lo", "Mary Wood", "Mary Wold", "John A. Smith", "John B. Smith"]
+    assert clusters(spark, names) == list(range(10))
+
+
+def test_initials_unite_and_carry_on(spark):
+    # the middle initial comes with one spelling and decides for another; a name without it joins the only one it can mean
+    assert clusters(spark, ["Charles James Stimofokol", "Charles Stimofokal", "C. J. Stimofokol", "Chuck J. Stimofokol"]) == [0, 0, 0, 0]
+    assert clusters(spark, ["John A. Smithson", "John B. Smithson", "John Smithson"]) == [0, 1, 2]
+
+
+def test_one_slip(spark):
+    from pyspark.sql import functions as F
+
+    cases = [("abcde", "abcde", True), ("abcde", "abde", True), ("abcde", "abxde", True), ("abcde", "abdce", True), ("abcde", "bcdea", False), ("abcde", "badce", False), ("abcde", "abc", False), ("aabb", "abab", True), ("x" * 60, "x" * 61, True)]
+    got = spark.createDataFrame(cases, "a string, b string, want boolean").select("a", "b", "want", N.one_slip(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.got == r.want == N._one_slip(r.a, r.b) for r in got), got
+
+
+def test_near_spellings_are_all_found(spark):
+    import random
+
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abc") for _ in range(rng.choice((3, 4, 5, 6, 7, 40, 41, 42, 43, 44)))) for _ in range(150)}
+    words |= {w[:i] + "z" + w[i + 1 :] for w in list(words)[:60] for i in (0, len(w) // 2)} | {w[1] + w[0] + w[2:] for w in list(words)[:40]} | {w[:20] + w[21] + w[20] + w[22:] for w in words if len(w) > 40}
+    base = spark.createDataFrame([("org", w) for w in sorted(words)], "kind string, core string")
+    got = {(r.core, r.other) for r in N.near_cores(base).collect()}
+    want = {(a, b) for a in words for b in words if a == b or min(len(a), len(b)) >= N.LEAST_CORE and N._one_slip(a, b)}
+    assert got == want
+
+
+def test_one_frequent_surname_makes_no_pairs(spark):
+    """20,000 records of one surname: what is joined grows with the spellings, not with the records."""
+    rows = [(i, f"{g} {'ABCDEFGH'[i % 8]}. Smithson") for i, g in ((i, ["John", "Mary", "Anna", "Peter"][i // 8 % 4]) for i in range(20_000))] + [(30_000, "J. Smithson"), (30_001, "John Smithsen")]
+    got = {r.entity_id: r.cluster for r in N.resolve(spark.createDataFrame(rows, "entity_id bigint, name string")).collect()}
+    assert len({got[i] for i in range(20_000)}) == 32 and got[30_000] == 30_000 and got[30_001] == 30_001
+
+
+def test_a_name_of_any_length(spark):
+    assert clusters(spark, ["q" * 100_000 + " Foods", "q" * 99_999 + " Foods", "b " * 50_000]) == [0, 0, 2]
