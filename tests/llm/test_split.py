@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import split as S
 
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-WORD = re.compile(f"[^{WHITE}]+[{WHITE}]*")
+WORD = re.compile(f"[^{WHITE}]{{1,200}}[{WHITE}]*")  # a longer run counts as several
+PLAIN = re.compile(f"[^{WHITE}]+")
 SCHEMA = "chunk_id bigint, content string"
 
 
@@ -43,7 +44,15 @@ def test_pieces_are_a_cover(spark):
         assert whole == text
         for p in pieces:
             assert n_words(p.piece) <= 400 and p.n_words == n_words(p.piece)
-    assert {r.chunk_id for r in S.oversized(df, "chunk_id").collect()} == {k for k, t in enumerate(all_texts) if n_words(t) > 400}
+    assert {r.chunk_id for r in S.oversized(df, "chunk_id").collect()} == {k for k, t in enumerate(all_texts) if len(PLAIN.findall(t)) > 400}
+
+
+def test_a_run_without_blanks_is_cut_by_characters(spark):
+    text = "head of the text " * 30 + "字" * 150_000 + " tail"
+    pieces = S.split_pieces(spark.createDataFrame([(1, text)], SCHEMA)).orderBy("piece_no").collect()
+    assert len(pieces) > 2 and max(len(p.piece) for p in pieces) <= 400 * 201
+    whole = pieces[0].piece + "".join("".join(WORD.findall(p.piece)[p.overlap_words :]) for p in pieces[1:])
+    assert whole == text and S.oversized(spark.createDataFrame([(1, text)], SCHEMA), "chunk_id").count() == 0
 
 
 def test_cuts_at_boundaries(spark):
