@@ -2,8 +2,8 @@
 
 A document of a source is expected rate times, the same rate all over the source. Its place in the prefix sum of the
 expected copies, plus one random offset per source, tells how many integer boundaries it crosses, and so its copies.
-Documents are summed in order of length, so that every stretch of lengths is drawn alike and the tokens drawn stay close
-to the tokens expected; of OFFSETS evenly spaced offsets from a random start, the one nearest to the target is used.
+Documents are summed in order of their length by steps of a quarter of a doubling, so that short and long ones are drawn
+alike and the tokens drawn stay close to the tokens expected.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from quillspark.llm.ranking import fixed_uniform, with_rank
 from quillspark.llm.tokens import VOCABULARY, n_tokens
 from quillspark.plans.lineage import materialize
 
-OFFSETS = 32
-
 
 def plan_rates(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> dict[str, float]:
     """Expected copies of a document, by source.
@@ -56,14 +54,11 @@ def _mix(sized: DataFrame, targets: DataFrame, key: str, seed: int, total: int |
     available = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # as many rows as targets
     rates = plan_rates(wanted, available, total)
     rated = sized.sparkSession.createDataFrame([*rates.items()], "source string, rate double")
-    ranked = materialize(with_rank(sized.where("n_tokens > 0"), ["source"], key, ["n_tokens"]))
-    offset = lambda k: fixed_uniform(F.col("source"), seed=seed) + k / OFFSETS
-    copies = lambda u: (F.floor(F.col("_rank") * F.col("rate") + u + F.col("rate")) - F.floor(F.col("_rank") * F.col("rate") + u)).cast("int")
-    drawn = ranked.join(F.broadcast(rated), "source")
-    tried = drawn.groupBy("source").agg(*[F.sum(F.col("n_tokens") * copies(offset(k))).alias(f"t{k}") for k in range(OFFSETS)]).collect()  # as many rows as targets
-    best = [(r["source"], rates[r["source"]], min(range(OFFSETS), key=lambda k: abs(r[f"t{k}"] - rates[r["source"]] * available[r["source"]]))) for r in tried]
-    plan = sized.sparkSession.createDataFrame(best, "source string, rate double, k int")
-    return ranked.join(F.broadcast(plan), "source").select(key, "source", "n_tokens", "rate", copies(offset(F.col("k"))).alias("copies"))
+    steps = F.floor(F.log2("n_tokens") * 4)  # as many as a length has doublings, times four
+    ranked = with_rank(sized.where("n_tokens > 0"), ["source"], key, steps)
+    at = F.col("_rank") * F.col("rate") + fixed_uniform(F.col("source"), seed=seed)
+    copies = (F.floor(at + F.col("rate")) - F.floor(at)).cast("int")
+    return ranked.join(F.broadcast(rated), "source").select(key, "source", "n_tokens", "rate", copies.alias("copies"))  # as many rows as targets
 
 
 def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, total: int | None = None, path: str = VOCABULARY) -> DataFrame:

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 SALTS = 64  # parts of a group at least; as many more as the session has shuffle partitions, four for each
 
 
-def with_rank(df: DataFrame, group: list[str], key: str, order: list[str] | None = None, salts: int | None = None) -> DataFrame:
-    """df with _rank, from 0 within `group`, by `order` first and else in a fixed but arbitrary order of the key.
+def with_rank(df: DataFrame, group: list[str], key: str, bucket: Column | None = None, salts: int | None = None) -> DataFrame:
+    """df with _rank, from 0 within `group`, by bucket first and else in a fixed but arbitrary order of the key.
 
-    No task ever holds a whole group: rows are numbered within (group, order, salt), where the salt is a hash of the key,
-    and the offsets of these parts come from their counts, of which a group has at most salts times the distinct values
-    of `order`. Ties on everything are numbered anyhow.
+    Prefix sums on three levels, none of which holds a group: rows are numbered within (group, bucket, salt), where the salt
+    is a hash of the key; the parts' counts are summed over the salts of a bucket, and the buckets' over the buckets of a
+    group, of which there must be few. Ties on everything are numbered anyhow.
     """
     salts = salts or max(SALTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = [*group, *(order or []), "_salt"]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    inner = [*group, "_bucket"]
+    part = [*inner, "_salt"]
+    salted = df.withColumn("_bucket", F.lit(0) if bucket is None else bucket).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    before = lambda groups, order: F.coalesce(F.sum("_c").over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = salted.groupBy(*part).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*group).orderBy(*(order or []), "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    within = counts.select(*part, before(inner, "_salt").alias("_within"))
+    totals = counts.groupBy(*inner).agg(F.sum("_c").alias("_c")).select(*inner, before(group, "_bucket").alias("_before"))
+    offsets = within.join(totals, inner).select(*part, (F.col("_within") + F.col("_before")).alias("_offset"))
     numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy(*part).orderBy(key)))
-    return numbered.join(offsets, part).withColumn("_rank", F.col("_offset") + F.col("_row") - 1).drop("_salt", "_row", "_offset")
+    return numbered.join(offsets, part).withColumn("_rank", F.col("_offset") + F.col("_row") - 1).drop("_salt", "_row", "_offset", "_bucket")
 
 
 def fixed_uniform(*keys: Column, seed: int) -> Column:

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import mixing as M
 from quillspark.llm import packing as P
 from quillspark.llm import ranking as R
@@ -57,7 +59,7 @@ def test_pack(spark):
 
 def test_rank_is_a_rank(spark):
     df = spark.createDataFrame([(i, i % 3, i % 5) for i in range(400)] + [(1, 1, 1)] * 5, "k bigint, g int, o int")
-    got = R.with_rank(df, ["g"], "k", ["o"], salts=7).collect()
+    got = R.with_rank(df, ["g"], "k", F.col("o"), salts=7).collect()
     by = {}
     for r in got:
         by.setdefault(r.g, []).append((r._rank, r.o))
@@ -66,6 +68,27 @@ def test_rank_is_a_rank(spark):
         assert [x for x, _ in rows] == list(range(len(rows))) and [o for _, o in rows] == sorted(o for _, o in rows)
 
 
+def test_no_window_holds_a_source(spark):
+    """30,000 documents of one source and one length: every window is over one salt, the salts of a bucket, or the buckets."""
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("big").alias("source"), F.lit(100).alias("n_tokens"))
+    ranked = R.with_rank(df, ["source"], "doc_id", F.floor(F.log2("n_tokens") * 4))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) == 3 and sum("windowspecdefinition(_salt#" in w for w in windows) == 1  # the other two are over counts
+    parts = df.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(R.SALTS))).count().agg(F.max("count")).first()[0]
+    assert parts < 3 * 30_000 / R.SALTS and ranked.agg(F.count_distinct("_rank"), F.max("_rank")).first() == (30_000, 29_999)
+
+
+def test_draw_is_systematic(spark):
+    """Copies of documents in order of rank differ by one at most, and their sums stay within one of what is expected."""
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.array_join(F.array_repeat(F.lit("goods"), (F.col("id") % 40 + 1).cast("int")), " ").alias("text"))
+    targets = spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int")
+    report = M.report(df, targets, total=50_000).first()
+    assert abs(report.copies - 2000 * 50_000 / report.tokens_available) <= 1 and report.most_repeats <= 2 and abs(report.tokens - 50_000) < 500
+    other = M.mix(df, targets, total=50_000, seed=8).count()
+    assert abs(other - report.copies) <= 1
+
+
 def test_rates():
     targets = [("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 4), ("none", 0.1, 3)]
     rates = M.plan_rates(targets, {"a": 100, "b": 1000, "c": 100, "other": 5})
