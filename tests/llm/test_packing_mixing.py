@@ -74,7 +74,7 @@ def test_no_window_holds_a_source(spark):
     ranked = R.with_rank(df, ["source"], "doc_id", F.floor(F.log2("n_tokens") * 4))
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line]
-    assert len(windows) == 3 and sum("windowspecdefinition(_salt#" in w for w in windows) == 1  # the other two are over counts
+    assert len(windows) == 3 and any("row_number() windowspecdefinition(_salt#" in w for w in windows)  # the other two are over counts
     parts = df.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(R.SALTS))).count().agg(F.max("count")).first()[0]
     assert parts < 3 * 30_000 / R.SALTS and ranked.agg(F.count_distinct("_rank"), F.max("_rank")).first() == (30_000, 29_999)
 
