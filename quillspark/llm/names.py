@@ -316,15 +316,18 @@ def resolve(df: DataFrame, key: str = "entity_id", name: str = "name") -> DataFr
     first = base.groupBy(*same).agg(F.min("id").alias("label"))
     labels = materialize(base.join(first, [base[c].eqNullSafe(first[c]) for c in same]).select("id", "label"))
     near = materialize(near_cores(base))
-    for steps in ((_slip_merges,), (_slip_merges, _far_merges, _open_merges)):
-        changed = True
-        while changed:
-            changed = False
-            for step in steps:
-                moves = materialize(step(*_clusters(base, labels), near))
-                if not moves.isEmpty():
-                    labels = materialize(_relabel(labels, moves))
-                    changed = True
+    steps = (_slip_merges, _far_merges, _open_merges)
+    idle = 0  # steps in a row that merged nothing; slips come first again after every other merge
+    at = 0
+    while idle < len(steps):
+        moves = materialize(steps[at](*_clusters(base, labels), near))
+        if moves.isEmpty():
+            idle += 1
+            at = (at + 1) % len(steps)
+        else:
+            labels = materialize(_relabel(labels, moves))
+            idle = 0
+            at = 0
     smallest = labels.groupBy("label").agg(F.min("id").alias("cluster"))
     found = labels.join(smallest, "label").select(F.col("id").alias("_id"), "cluster")
     rows = df.where(F.col(name).isNotNull()).select(F.col(key))
