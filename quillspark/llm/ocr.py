@@ -8,6 +8,7 @@ corpus' own clean pages, to which scanning noise is added.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -178,25 +179,27 @@ def edge_support(counted: DataFrame, cfg: OcrConfig) -> DataFrame:
 
 
 def _near(a: str, b: str, most: int = 3) -> int:
-    """Edit distance, or most + 1 where it is larger."""
+    """Edit distance, or most + 1 where it is larger; only the band of the table that can hold so few is filled."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
+    beyond = most + 1
+    row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+        last, row = row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                row[0] = i
+                continue
+            row[j] = min(last.get(j, beyond) + 1, row.get(j - 1, beyond) + 1, last.get(j - 1, beyond) + (x != b[j - 1]))
+        if min(row.values()) > most:
+            return beyond
+    return min(beyond, row[len(b)])
 
 
 def _same(a: str, b: str) -> bool:
     """Python twin of boilerplate.same_wording."""
     end = 4 if len(b) >= 12 else 2
     n = min(len(a), len(b))
-    if n > 400:  # no running header is as long: only the same wording is
-        return a == b
     return abs(len(a) - len(b)) <= 3 and (a[:end] == b[:end] or a[-end:] == b[-end:]) and _near(a, b) <= (3 if n >= 20 else 2 if n >= 10 else 1 if n >= 6 else 0)
 
 
@@ -248,7 +251,7 @@ class Perceptron:
         return {f: t / max(1, self._step) for f, t in self._total.items() if t}
 
 
-LONGEST_WORD = 48  # a longer run without a blank is no word, and has no repair
+LONGEST_WORD = 48  # longer runs without a blank are no words: they are only tagged character by character
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KEEP: list[str] = []
 
@@ -301,6 +304,62 @@ def _odd(word: str) -> int:
     return min(2, sum(not c.isalpha() and c not in "-'’" for c in word)) + 3 * bool(re.search(r"[a-z][A-Z]", word))
 
 
+# ---- the character tagger ----------------------------------------------------------------------------------------
+_READINGS: dict[str, list[str]] = {}  # a mark or digit -> the letters that scanners make it of
+for _good, _bad in CONFUSIONS:
+    if len(_bad) == 1 and not _bad.isalpha() and _good.isalpha():
+        _READINGS.setdefault(_bad, []).append(_good)
+_READINGS["|"] = ["l", "i"]
+
+
+def trigrams(known: dict[str, int]) -> set[str]:
+    """Three letters in a row, with ^ and $ for the ends, of the words that training draws from."""
+    return {f"^{w}$"[i : i + 3] for w in known for i in range(len(w)) if w.isalpha()}
+
+
+def _kind(c: str) -> str:
+    return "^" if not c else "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "-" if c in "-'’" else "#"
+
+
+def operations(word: str, at: int, seen: set[str]) -> list[tuple[str | None, list[str]]]:
+    """What can be done with the mark or digit at a place of a word: (letters instead of it, features), None for keep.
+
+    The features know the kind of the neighbours and whether the letters read there make three letters in a row that words
+    have; no lexicon of whole words is asked.
+    """
+    c = word[at]
+    left, right = word[max(0, at - 2) : at], word[at + 1 : at + 3]
+    kinds = f"{_kind(left[-1:])}{_kind(right[:1])}"
+    wide = f"{_kind(left[:-1])}{kinds}{_kind(right[1:])}"
+    letters = min(4, sum(map(str.isalpha, word)))
+    others = min(3, sum(not x.isalpha() and x not in "-'’" for x in word))
+    sides = f"{min(4, len(re.search(r'[^\W\d_]*$', word[:at])[0]))}{min(4, len(re.match(r'[^\W\d_]*', word[at + 1 :])[0]))}"
+    shape = [f"sides{sides}", f"kinds{kinds}", f"wide{wide}", f"letters{letters}", f"others{others}", f"mark{'9' if c.isdigit() else c}"]
+    out: list[tuple[str | None, list[str]]] = [(None, [])]
+    for new in [*_READINGS.get(c, []), *([""] if c in STRAY else [])]:
+        low = (left[-1:] or "^").lower() + new + (right[:1] or "$").lower()
+        parts = [low[i : i + 3] for i in range(len(low) - 2)]
+        fit = sum(p in seen for p in parts) == len(parts) if parts else False
+        op = "delete" if not new else "replace"
+        out.append((new, [f"tag{op}", f"tag{op}:{c}>{new}", f"tag{op}|fit{fit}", *(f"tag{op}|{x}" for x in shape)]))
+    return out
+
+
+def tag(word: str, score, seen: set[str]) -> str | None:
+    """The word with every mark and digit inside it replaced or deleted, or None where one of them is kept: then it is a code."""
+    out = []
+    for at, c in enumerate(word):
+        if c.isalpha() or c in "-'’":
+            out.append(c)
+            continue
+        new, _ = max(operations(word, at, seen), key=lambda o: (score(o[1]), o[0] is None))
+        if new is None:
+            return None
+        upper = word[at - 1 : at].isupper() and (word[at + 1 : at + 2].isupper() or at + 1 == len(word)) or at == 0 and word[1:2].isupper()
+        out.append(new.upper() if upper else new)
+    return "".join(out)
+
+
 def line_join(first: str, mark: str, second: str, known: dict[str, int]) -> list[str]:
     """Features of joining a cut word; not joining is the choice without features."""
     joined, compound = (first + second).lower(), f"{first}-{second}".lower()
@@ -312,7 +371,7 @@ def furniture(rank_top: int, rank_foot: int, support: int, pages: int, letters:
     """Features of taking a line for a running header: its place on the page and how often its source repeats it."""
     share = support / max(1, pages)
     near = min(rank_top, rank_foot)
-    return ["head", f"near{min(near, 4)}", f"often{min(4, support // cfg.least_pages)}", f"share{min(5, int(share * 10))}", f"enough{support >= cfg.least_pages and share >= cfg.least_page_share}", f"letters{min(4, letters // 8)}", f"digits{digits > 0}", f"alone{support <= 1}"]
+    return ["head", f"near{min(near, 4)}", f"often{min(4, support // cfg.least_pages)}", f"share{min(8, int(share * 20))}", f"seen{min(4, support)}", f"seen{min(4, support)}|share{min(4, int(share * 20))}", f"letters{min(4, letters // 8)}", f"digits{digits > 0}", f"alone{support <= 1}"]
 
 
 def _noise(word: str, rng: np.random.Generator) -> str:
@@ -324,6 +383,13 @@ def _noise(word: str, rng: np.random.Generator) -> str:
     return word
 
 
+def _code(rng: np.random.Generator) -> str:
+    """A number of goods, a rate, a unit or the like: marks and digits that are meant."""
+    form = str(rng.choice("A9 9kg AB99 A-99 99A AB-9999 a9 9st 9th aa9 A9B 99x99 9.9a a@a a/a aa/aa a&a 99% A99-9 aa_aa a+a aaa9 9aa 9a9 aaa.aa AA/99 A9A aa(a 9m aaaa9 AAA9999 99aa 9-aa aaaa/aaaa aa:aa #9 aa#9 aaaa@aaaa aaaaa@aaaaaa aaa@aaaaa-aaa aaaa-aaaa@aaaa".split()))
+    letter = lambda: "abcdefghijklmnoprstuvw"[rng.integers(0, 22)]
+    return "".join(letter() if c == "a" else letter().upper() if c == "A" else str(rng.integers(0, 10)) if c == "9" else c for c in form)
+
+
 def train(known: dict[str, int], cfg: OcrConfig, seed: int = 11) -> dict[str, float]:
     """Weights from words of the corpus: noisy ones to be restored, clean unknown names to be kept, cut words to be joined."""
     rng = np.random.default_rng(seed)
@@ -335,6 +401,7 @@ def train(known: dict[str, int], cfg: OcrConfig, seed: int = 11) -> dict[str, fl
     chosen = rng.choice(len(words), size=cfg.train_words, p=p / p.sum())
     syllables = [c + v for c in "b br c d dr f g gr h k l m n p qu r s st t th tr v w z".split() for v in "a e i o u el or an in".split()]
     compounds = sorted(w for w in known if "-" in w)
+    seen = trigrams(known)
     for step, k in enumerate(chosen):
         word = words[k]
         shown = word.capitalize() if rng.random() < 0.2 else word
@@ -360,22 +427,45 @@ def train(known: dict[str, int], cfg: OcrConfig, seed: int = 11) -> dict[str, fl
             first, _, second = compounds[rng.integers(0, len(compounds))].partition("-")
             model.learn([line_join(first, "-", second, known), KEEP], 1)
             model.learn([line_join(name, "-", name.capitalize(), known), KEEP], 1)
-        # lines of pages: running headers stand near an edge on many pages of a source, text only by chance
-        pages = int(rng.integers(3, 40))
-        header = rng.random() < 0.5
-        often = max(cfg.least_pages, int(pages * (cfg.least_page_share + rng.random() * (1 - cfg.least_page_share)))) if header else int(rng.integers(1, 3)) if rng.random() < 0.8 else max(1, int(pages * 0.08))
-        near = int(rng.integers(0, cfg.edge_lines))
-        f = furniture(near, 20, min(often, pages), pages, int(rng.integers(4, 70)), int(rng.random() < 0.5), cfg)
-        right = header and often >= cfg.least_pages and min(often, pages) / pages >= cfg.least_page_share
-        model.learn([f, KEEP], 0 if right else 1)
+        # lines of pages: running headers stand near an edge on many pages of a source, with some of them misread beyond
+        # recognition; lines of text come back by chance
+        pages = int(rng.integers(2, 80)) if rng.random() < 0.7 else int(rng.integers(2, 6))
+        header = rng.random() < 0.5 and pages >= cfg.least_pages
+        share = cfg.least_page_share + rng.random() * (1 - cfg.least_page_share)
+        support = max(cfg.least_pages, int(rng.binomial(pages, share))) if header else 1 + int(rng.poisson(0.3 + 0.02 * pages * rng.random()))  # a page may be delivered twice
+        near = int(rng.integers(0, cfg.edge_lines + (not header)))
+        f = furniture(near, 20, min(support, pages), pages, int(rng.integers(4, 70)), int(rng.random() < 0.5), cfg)
+        model.learn([f, KEEP], 0 if header else 1)
+        # a mark or digit inside a word, known or made up, is a misread letter; in a code it is meant
+        shown = (word if rng.random() < 0.5 else name.lower()).lower()
+        shown = shown.upper() if rng.random() < 0.25 else shown.capitalize() if rng.random() < 0.5 else shown
+        places = [(i, bad) for i in range(len(shown)) for bad, goods in _READINGS.items() if shown[i].lower() in goods]
+        if places and len(shown) > 3:
+            i, bad = places[int(rng.integers(0, len(places)))]
+            noisy = shown[:i] + bad + shown[i + 1 :]
+            choices = operations(noisy, i, seen)
+            goal = next((k for k, (new, _) in enumerate(choices) if new == shown[i].lower()), None)
+            if goal is not None:
+                model.learn([f for _, f in choices], goal)
+        if len(shown) > 3 and rng.random() < 0.3:
+            i = int(rng.integers(1, len(shown)))
+            noisy = shown[:i] + str(rng.choice(list("~^·`*•°"))) + shown[i:]
+            choices = operations(noisy, i, seen)
+            model.learn([f for _, f in choices], len(choices) - 1)  # to be deleted
+        code = _code(rng)
+        for i, c in enumerate(code):
+            if not c.isalpha() and c not in "-'’":
+                choices = operations(code, i, seen)
+                model.learn([f for _, f in choices], 0)
     return model.average()
 
 
 # ---- the editor --------------------------------------------------------------------------------------------------
 class Editor:
-    def __init__(self, known: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int = 0) -> None:
+    def __init__(self, known: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int = 0, grams: set[str] = frozenset()) -> None:
         self.known, self.weights, self.cfg, self.least = known, weights, cfg, least
         self.seen: dict[str, str | None] = {}  # word -> its repair, None if it stays
+        self.trigrams = grams
 
     def score(self, features: list[str]) -> float:
         return sum(self.weights.get(f, 0.0) for f in features)
@@ -408,6 +498,8 @@ class Editor:
             parts = core.split("-")
             new = [p if not p or self._fine(p) else self._core(p) or p for p in parts]
             fixed = "-".join(new) if new != parts else None
+        if fixed is None:
+            fixed = self._tagged(core)
         if fixed is None:
             return None
         return token[:start] + fixed + token[end:]
@@ -438,6 +530,13 @@ class Editor:
             return None
         return best.upper() if core.isupper() and len(core) > 1 else best.capitalize() if core[0].isupper() else best
 
+    def _tagged(self, core: str) -> str | None:
+        """A word that no word of the lexicon is near, by its characters alone."""
+        if core.isalpha() or sum(map(str.isalpha, core)) < 3:
+            return None
+        new = tag(core, self.score, self.trigrams)
+        return new if new and new != core else None
+
     def page(self, text: str, page_number: int | None, pages: int = 0, nodes: list[tuple[str, int]] = []) -> tuple[list[tuple[int, str]], str]:
         """(line number, kind) of all that is wrong with a page, and the repaired page."""
         lines = text.split("\n")
@@ -476,7 +575,7 @@ class Editor:
                     joins[j] = i
                     whole = first.split("-")[-1] + m[1]
                     kinds.setdefault(j, set()).add("hyphen")
-                    fixed = None if self._fine(whole) else self._core(whole)
+                    fixed = None if self._fine(whole) else self._core(whole) or self._tagged(whole)
                     last, rest = words[j][-1], tokens[0]
                     head = last.rstrip(" -­¬‐")
                     if fixed is not None:
@@ -493,7 +592,7 @@ class Editor:
                     if fixed is not None:
                         words[j][-1] = fixed + last[len(stem) :]
                         glyphs.add(j)
-            cut = _CUT.search(line[-4 * LONGEST_WORD :]) if line.rstrip(" ")[-1:] in _MARKS else None
+            cut = _CUT.search(_last_words(line)) if line.rstrip(" ")[-1:] in _MARKS else None
             stop = len(tokens)
             if cut and at + 1 < len(body):
                 open_cut = (i, cut[1])
@@ -589,6 +688,13 @@ class Editor:
         return "\n\n".join(out)
 
 
+def _last_words(line: str) -> str:
+    """The last two words of a line with the blanks after them."""
+    end = len(line.rstrip(" "))
+    at = line.rfind(" ", 0, end)
+    return line[line.rfind(" ", 0, max(0, at)) + 1 :] if at >= 0 else line
+
+
 class _Asked:
     """Stands for the known words and notes what is asked for beyond them."""
 
@@ -615,9 +721,9 @@ class Asker:
     compound; these are asked for here in any case.
     """
 
-    def __init__(self, held: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int, bits: np.ndarray) -> None:
+    def __init__(self, held: dict[str, int], weights: dict[str, float], cfg: OcrConfig, least: int, bits: np.ndarray, grams: set[str] = frozenset()) -> None:
         self.asked = _Asked(held)
-        self.editor = Editor(self.asked, weights, cfg, least)
+        self.editor = Editor(self.asked, weights, cfg, least, grams)
         self.bits, self.most = bits, cfg.edge_lines + 1
         self.seen: dict[str, frozenset[str]] = {}
 
@@ -664,7 +770,7 @@ class Asker:
                 halves = self.editor._halves(a, b)
                 if halves is not None:
                     self.asked.keys.update(x.lower() for x in (halves[0] + halves[1], *halves))
-            cut = _CUT.search(line[-4 * LONGEST_WORD :]) if line.rstrip(" ")[-1:] in _MARKS else None
+            cut = _CUT.search(_last_words(line)) if line.rstrip(" ")[-1:] in _MARKS else None
             for j in filled[at + 1 :] if cut else ():  # past lines that may be furniture
                 m = _HEAD.match(lines[j])
                 if m:
@@ -678,17 +784,26 @@ class Asker:
         return {k for k in out if k not in self.asked.known}
 
 
+def _digest(held: dict[str, int], weights: dict[str, float], *settings: object) -> str:
+    """Tells editors of different lexicons, weights and settings apart."""
+    h = hashlib.md5(repr(settings).encode())
+    for table in (held, weights):
+        for key in sorted(table):
+            h.update(f"{key}={table[key]}\n".encode("utf-8", "surrogatepass"))
+    return h.hexdigest()
+
+
 # ---- the operator ------------------------------------------------------------------------------------------------
-def further_words(pages: DataFrame, text: str, words: DataFrame, count: int, held: dict[str, int], weights: dict[str, float], least: int, cfg: OcrConfig) -> DataFrame:
+def further_words(pages: DataFrame, text: str, words: DataFrame, count: int, held: dict[str, int], weights: dict[str, float], least: int, cfg: OcrConfig, grams: set[str] = frozenset()) -> DataFrame:
     """(_text, _more): per distinct text, by its hash, the known words beyond the held ones that the editor can ask for.
 
     An equality join on the word; a Bloom filter spares keys that no word has.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((held, weights, word_filter(words, count)))
-    token = f"{len(held)}-{sum(held.values())}-{count}-{least}-{cfg}"
+    shared = pages.sparkSession.sparkContext.broadcast((held, weights, word_filter(words, count), grams))
+    token = _digest(held, weights, count, least, cfg)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asker = cached(("ocr-ask", token), lambda: Asker(shared.value[0], shared.value[1], cfg, least, shared.value[2]))
+        asker = cached(("ocr-ask", token), lambda: Asker(shared.value[0], shared.value[1], cfg, least, shared.value[2], shared.value[3]))
         for batch in batches:
             rows = [(k, a) for k, t in zip(batch["_text"], batch["t"]) for a in asker.page(t)]
             yield pd.DataFrame(rows, columns=["_text", "a"])
@@ -711,7 +826,7 @@ def inspect(df: DataFrame, source: str = "source", text: str = "content", ocr: s
         scanned = statistics(df.withColumn(ocr, F.lit(False)), source, text, ocr, cfg)
         total = scanned.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
         held = examples = _collected(known_words(scanned, max(20, total * 2e-5)))
-    weights, least = train(examples, cfg), min(examples.values(), default=0)
+    weights, least, grams = train(examples, cfg), min(examples.values(), default=0), trigrams(examples)
     nodes = materialize(edge_support(counted, cfg))
     letters = nodes.agg(F.sum(F.length("_source") + F.aggregate("_nodes", F.lit(0), lambda a, x: a + F.length(x.key)))).first()[0] or 0
     if letters <= cfg.broadcast_letters:  # else a shuffle join by source, whose hot partitions adaptive execution splits
@@ -719,14 +834,14 @@ def inspect(df: DataFrame, source: str = "source", text: str = "content", ocr: s
     pages = df.where(F.col(ocr) & F.col(text).isNotNull())
     ready = pages.join(nodes, F.col(source) == F.col("_source"), "left").select(*[F.col(f"`{c}`") for c in columns], "_pages", "_nodes")
     if count > len(held):
-        ready = ready.withColumn("_text", F.sha2(F.col(text), 256)).join(further_words(pages, text, words, count, held, weights, least, cfg), "_text", "left").drop("_text")
+        ready = ready.withColumn("_text", F.sha2(F.col(text), 256)).join(further_words(pages, text, words, count, held, weights, least, cfg, grams), "_text", "left").drop("_text")
     else:
         ready = ready.withColumn("_more", F.lit(None).cast("array<struct<a: string, n: bigint>>"))
-    shared = df.sparkSession.sparkContext.broadcast((held, weights))
-    token = f"{len(held)}-{sum(held.values())}-{count}-{least}-{cfg}"
+    shared = df.sparkSession.sparkContext.broadcast((held, weights, grams))
+    token = _digest(held, weights, count, least, cfg)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor = cached(("ocr", token), lambda: Editor(dict(shared.value[0]), shared.value[1], cfg, least))
+        editor = cached(("ocr", token), lambda: Editor(dict(shared.value[0]), shared.value[1], cfg, least, shared.value[2]))
         kinds = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             found, repaired = [], []

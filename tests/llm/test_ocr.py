@@ -116,3 +116,49 @@ def test_page_numbers_with_misread_digits():
             assert [k for _, k in editor.page(page, number)[0]] == ["page_no"] and editor.page(page, number)[1] == "text", (line, number)
     for line, number in (("l4", 15), ("SO", 7), ("BIG", None), ("SO", None), ("l4 text", 14), ("l4", 140)):
         assert "page_no" not in {k for _, k in editor.page(f"text\n{line}", number)[0]}, (line, number)
+
+
+def test_names_that_no_lexicon_has():
+    """Marks and digits inside made-up names are read as letters by their neighbours alone; codes stay."""
+    import numpy as np
+
+    words = "storage rate goods frozen pallet temperature agreement supplier customer notice month invoice charge delivery schedule recorded inspection between liability insurance premises warehouse carrier depositor".split()
+    known = dict.fromkeys(words, 10)
+    editor = O.Editor(known, O.train(known, O.OcrConfig()), O.OcrConfig(), 10, O.trigrams(known))
+    rng = np.random.default_rng(3)
+    syllables = [a + b for a in "b d f g k l m n p r s t v z br tr".split() for b in "a e i o u al on ir".split()]
+    found = exact = tried = 0
+    for _ in range(500):
+        name = "".join(syllables[rng.integers(0, len(syllables))] for _ in range(4)).capitalize()
+        places = [(i, bad) for i in range(1, len(name)) for bad, goods in O._READINGS.items() if name[i] in goods]
+        if places:
+            i, bad = places[rng.integers(0, len(places))]
+            got = editor.word(name[:i] + bad + name[i + 1 :])
+            tried, found, exact = tried + 1, found + (got is not None), exact + (got == name)
+    print("found", found / tried, "restored", exact / tried)
+    assert found >= 0.85 * tried and exact >= 0.65 * tried  # 1 and | may be l as well as i
+    assert sum(editor.word(O._code(rng)) is None for _ in range(500)) >= 0.95 * 500
+    assert editor.word("x" * 60 + "|" + "y" * 60) is not None  # however long
+
+
+def test_banded_distance():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
+    for a, b in [(word(), word()) for _ in range(500)]:
+        assert O._near(a, b) == min(4, plain(a, b)), (a, b)
+    assert O._same("header" * 500 + "x", "header" * 500) and not O._same("header" * 500, "footer" * 500)
+
+
+def test_a_cut_word_is_found_whatever_the_line():
+    assert O._CUT.search(O._last_words("a " * 5000 + "under-"))[1] == "under" and O._last_words("one") == "one"
+    assert O._CUT.search(O._last_words("x" * 3000 + " -  "))[1] == "x" * 3000
