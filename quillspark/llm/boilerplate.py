@@ -58,7 +58,8 @@ def candidate_nodes(lines: DataFrame, sizes: DataFrame, cfg: BoilerplateConfig)
     least = F.greatest(F.lit(cfg.min_rows * cfg.seed_share), F.col("n") * cfg.min_share * cfg.seed_share)
     frequent = counts.where(F.col("c") >= cfg.min_rows * cfg.seed_share).join(sizes, "source").where(F.col("c") >= least)
     ranked = frequent.groupBy("source", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "key"))).getField("key").alias("all"))
-    first = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: same_wording(x, y)))
+    # a wording gives way only to one that itself stays
+    first = F.aggregate("all", F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda y: same_wording(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
     return ranked.select("source", "n", first.alias("nodes"))
 
 

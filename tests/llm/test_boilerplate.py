@@ -43,3 +43,11 @@ def test_removal_and_edges(spark):
     assert B.repeated_lines(df.limit(0)).count() == 0
     odd = df.withColumnRenamed("source", "n_removed").selectExpr("chunk_id", "n_removed", "content", "'a' AS source", "'z' AS node")
     assert B.remove_repeated(odd).count() == len(corpus())
+
+
+def test_a_chain_of_near_wordings_loses_none(spark):
+    """B is near A and C near B, but C not near A: B gives way to A, and C stays, as B does not."""
+    a, b, c = "the quick notice of the harbour", "the quick notize of the harbouz", "the quick notize of thz harbouzq"
+    rows = [(k, "s", a) for k in range(30)] + [(100 + k, "s", b) for k in range(20)] + [(200 + k, "s", c) for k in range(12)]
+    lines = B.repeated_lines(spark.createDataFrame(rows, SCHEMA), cfg=B.BoilerplateConfig(min_rows=8, min_share=0.1))
+    assert {r.chunk_id for r in lines.collect()} == {r[0] for r in rows}
