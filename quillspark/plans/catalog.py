@@ -102,7 +102,8 @@ def hierarchy_stack(spark, d):
 
 
 def hierarchical_chunks(spark, d):
-    return chunking.chunk_pages(_pages(spark, d).select("row_id", "source", "page_number", "content", "customer", "region"), CFG)
+    chunks = chunking.chunk_pages(_pages(spark, d).select("row_id", "source", "page_number", "content", "customer", "region"), CFG)
+    return chunks.withColumn("hierarchy", F.array_join("hierarchy", ">"))
 
 
 EXCLUDED = ("litribigox beverages group", "lestuvolas foods and sons ltd", "polar quay storage")  # lower-case names that are no customers here

@@ -148,7 +148,50 @@ _PARTY = rf"""SELECT source, CASE WHEN NOT regexp_matches(raw, '[A-Z]') OR clean
 _SOON = r"regexp_extract('The depot lies in Poland. ' || typed || ' has its seat in ' || place || '.', '(?i)\Q' || customer || '\E[^;\n]{0,200}?\b(New Zealand|United Kingdom|Australia|Ireland|Germany|Poland|Mexico|USA)\b', 1)"
 
 
+# ---- chunking: a page line by line, then the pages of a file one after the other -----------------------------------
+_STACK = "STRUCT(id VARCHAR, title VARCHAR, level BIGINT)[]"
+_TITLE = f"trim(array_to_string(list_concat([rest], bare[i + 1 : stop - 1]), ' '), ' ')"
+_LAST = f"lower(regexp_replace(({words('t0')})[-1], '[.,:;]+$', ''))"
+_PEEL = lambda t: rf"CASE WHEN length({t}) >= 2 AND (regexp_full_match({t}, '(?s)\*.*\*') OR regexp_full_match({t}, '(?s)_.*_')) THEN substr({t}, 2, length({t}) - 2) ELSE {t} END"
+_CHUNKS = rf"""WITH RECURSIVE gated AS MATERIALIZED (SELECT *, coalesce(len({words("content")}), 0) > 350 AS cut FROM page_in),
+  line AS (SELECT row_id, line, line_no, {_SPURIOUS} AS noise FROM ({_LINES}) WHERE row_id IN (SELECT row_id FROM gated WHERE cut)),
+  kept AS (SELECT row_id, line, {strip("line")} AS b, row_number() OVER w AS i, coalesce(lead(line_no) OVER w > line_no + 1, false) AS gap FROM line WHERE NOT noise WINDOW w AS (PARTITION BY row_id ORDER BY line_no)),
+  read AS (SELECT *, regexp_matches(b, '{HEADER}') AS head, regexp_extract(b, '{HEADER}', 1) AS id, regexp_extract(b, '{HEADER}', 2) AS rest, regexp_matches(b, '{LIST_ITEM}') AS item, len({words("line")}) AS w FROM kept),
+  page AS MATERIALIZED (SELECT row_id, count(*) AS n, list(line ORDER BY i) AS lines, list(b ORDER BY i) AS bare, list(gap ORDER BY i) AS gaps, list(item ORDER BY i) AS items, list(head AND len({words("rest")}) + 1 <= 8 ORDER BY i) AS small, list(total ORDER BY i) AS total FROM (SELECT *, sum(w) OVER (PARTITION BY row_id ORDER BY i) AS total FROM read) GROUP BY row_id),
+  ends AS (SELECT *, min(CASE WHEN breaks THEN i END) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM (SELECT *, head OR item OR coalesce(lag(gap) OVER (PARTITION BY row_id ORDER BY i), false) AS breaks FROM read)),
+  named AS (SELECT e.row_id, e.i, e.head, e.id, p.n, coalesce(e.next, p.n + 1) AS stop, e.rest, p.bare, p.gaps, p.items FROM ends AS e JOIN page AS p USING (row_id)),
+  first AS (SELECT *, {_TITLE} AS t0, CASE WHEN stop > n OR gaps[stop - 1] OR items[stop] THEN NULL ELSE bare[stop] END AS more FROM named),
+  second AS (SELECT *, rtrim(CASE WHEN more IS NOT NULL AND {_LAST} IN ({", ".join(f"'{w}'" for w in INCOMPLETE_ENDINGS)}) THEN t0 || ' ' || array_to_string(({words("more")})[1:10], ' ') ELSE t0 END, ' ,;:') AS t1 FROM first),
+  third AS (SELECT *, {strip(f"CASE WHEN len({words('t1')}) > 40 THEN array_to_string(({words('t1')})[1:40], ' ') || '...' ELSE t1 END")} AS t2 FROM second),
+  fourth AS (SELECT *, {_PEEL("t2")} AS t3 FROM third),
+  titled AS MATERIALIZED (SELECT row_id, i, head, stop, id, {strip(_PEEL("t3"))} AS title, {level("id")} AS level FROM fourth),
+  ruled AS MATERIALIZED (SELECT *, head AND title <> '' AND NOT (regexp_full_match(id, '[0-9]+') AND (starts_with(title, '(') OR (len({words("title")}) > 1 AND (regexp_matches(title, '^\p{{Ll}}') OR starts_with(lower(title), 'part '))))) AS valid FROM titled),
+  walk AS (
+    SELECT row_id, CAST(1 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS since, false AS split, CAST([] AS {_STACK}) AS stack, CAST(1000000 AS BIGINT) AS low, CAST([] AS STRUCT(a BIGINT, z BIGINT, stack {_STACK}, low BIGINT)[]) AS out FROM page
+    UNION ALL
+    SELECT row_id, e, CASE WHEN over THEN e - carried ELSE begun END, over AND carried > 0, stack2, low2, CASE WHEN over THEN list_append(out1, {{'a': begun, 'z': e - carried, 'stack': stack2, 'low': low2}}) ELSE out1 END FROM (
+      SELECT *, total[e - 1] - (CASE WHEN begun > 1 THEN total[begun - 1] ELSE 0 END) > 400 AS over, least(greatest(1, CAST(floor((e - begun) * 0.3::DOUBLE) AS BIGINT)), e - begun - 1) AS carried FROM (
+        SELECT row_id, total, CASE WHEN open_head THEN stop ELSE cur + 1 END AS e, CASE WHEN new THEN cur ELSE since END AS begun,
+          CASE WHEN new THEN list_append(list_filter(stack, lambda x: x.level < level), {{'id': id, 'title': title, 'level': level}}) ELSE stack END AS stack2, CASE WHEN new THEN least(low, level) ELSE low END AS low2,
+          CASE WHEN new AND since < cur THEN list_append(out, {{'a': since, 'z': cur, 'stack': stack, 'low': low}}) ELSE out END AS out1
+        FROM (SELECT s.*, r.stop, r.id, r.title, r.level, p.total, NOT s.split AND r.head AS open_head, NOT s.split AND r.valid AS new FROM walk AS s JOIN ruled AS r ON r.row_id = s.row_id AND r.i = s.cur JOIN page AS p ON p.row_id = s.row_id)))),
+  done AS MATERIALIZED (SELECT s.row_id, stack, low, CASE WHEN since <= p.n THEN list_append(out, {{'a': since, 'z': p.n + 1, 'stack': stack, 'low': low}}) ELSE out END AS out, p.lines, p.small FROM walk AS s JOIN page AS p USING (row_id) WHERE s.cur = p.n + 1),
+  pieces AS (SELECT row_id, lines, small, unnest(out) AS c, generate_subscripts(out, 1) AS k FROM done),
+  cut AS (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY k) AS chunk_seq, {strip("array_to_string(lines[c.a : c.z - 1], chr(10))")} AS content, c.stack AS stack, c.low AS low FROM pieces WHERE c.z > c.a AND NOT (c.z - c.a = 1 AND small[c.a])),
+  placed AS MATERIALIZED (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER BY page_number NULLS FIRST, row_id) AS r FROM page_in),
+  fold AS (
+    SELECT p.source, p.r, p.row_id, CAST([] AS {_STACK}) AS opening FROM placed AS p WHERE p.r = 1
+    UNION ALL
+    SELECT q.source, q.r, q.row_id, CASE WHEN d.row_id IS NULL THEN f.opening ELSE list_concat(list_filter(f.opening, lambda x: x.level < d.low), d.stack) END FROM fold AS f JOIN placed AS q ON q.source IS NOT DISTINCT FROM f.source AND q.r = f.r + 1 LEFT JOIN done AS d ON d.row_id = f.row_id),
+  every AS (
+    SELECT c.row_id, c.chunk_seq, c.content, list_concat(list_filter(f.opening, lambda x: x.level < c.low), c.stack) AS stack, false AS whole_page FROM cut AS c JOIN fold AS f USING (row_id)
+    UNION ALL SELECT g.row_id, 1, g.content, f.opening, true FROM gated AS g JOIN fold AS f USING (row_id) WHERE NOT cut AND {strip("g.content")} <> '')
+  SELECT row_id, source, page_number, CAST(chunk_seq AS INTEGER) AS chunk_seq, e.content, customer, region, CASE WHEN len(stack) > 0 THEN stack[-1].id WHEN whole_page THEN 'N/A' END AS clause, CASE WHEN NOT whole_page AND len(stack) > 0 THEN stack[-1].title END AS clause_title, array_to_string(list_transform(stack, lambda x: x.id), '>') AS hierarchy, whole_page
+  FROM every AS e JOIN page_in USING (row_id)"""
+
+
 ORACLE: dict[str, str] = {
+    "hierarchical_chunks": _CHUNKS,
     "scan_page_profile": f"SELECT source, count(*) AS pages, CAST(coalesce(sum(len({words('content')})), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS n_chars, count(*) FILTER (content IS NULL) AS n_null FROM page_in GROUP BY source",
     "document_plain_text": r"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ') AS plain FROM documents""",
     "ocr_fallback_choice": f"""SELECT row_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT row_id, CASE WHEN length({strip("a")}) < 50 AND length({strip("b")}) > length({strip("a")}) THEN b ELSE a END AS t FROM (

@@ -15,7 +15,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["scan_page_profile", "header_parse", "title_cleanup", "name_normalize", "sparse_topn", "rerank_blend", "reference_closure", "trace_tags", "smart_select"])
+@pytest.mark.parametrize("name", ["scan_page_profile", "hierarchical_chunks", "hybrid_ask_by_customer", "rrf_fusion", "header_parse", "title_cleanup", "name_normalize", "sparse_topn", "rerank_blend", "reference_closure", "trace_tags", "smart_select"])
 def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from quillspark.plans import catalog
