@@ -316,7 +316,7 @@ def resolve(df: DataFrame, key: str = "entity_id", name: str = "name") -> DataFr
     first = base.groupBy(*same).agg(F.min("id").alias("label"))
     labels = materialize(base.join(first, [base[c].eqNullSafe(first[c]) for c in same]).select("id", "label"))
     near = materialize(near_cores(base))
-    steps = (_slip_merges, _far_merges, _open_merges)
+    steps = (_slip_merges, _open_merges, _far_merges)  # the dearest last
     idle = 0  # steps in a row that merged nothing; slips come first again after every other merge
     at = 0
     while idle < len(steps):
