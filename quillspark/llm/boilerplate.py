@@ -31,7 +31,7 @@ def wordings(text: Column) -> Column:
     """The wording of every line: letters only, lower case, months removed. One pass over the whole text."""
     months = "|".join(sorted(MONTHS.split(), key=len, reverse=True))
     other = r"[^a-z\n\p{L}]"  # neither letter nor line end; the plain range stands first because it is decided by a bit test
-    return F.split(F.regexp_replace(F.lower(text), rf"(?m)(?:^|{other}++)(?:(?:{months})(?!\p{{L}}){other}*+)*+", ""), "\n")
+    return F.split(F.regexp_replace(F.lower(text), rf"(?m)(?:{other}++|^)(?:(?:{months})(?!\p{{L}}){other}*+)*+", ""), "\n")
 
 
 def tolerance(n: Column) -> Column:

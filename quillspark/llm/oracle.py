@@ -83,5 +83,11 @@ P4_CLEAN = P4 + r"""
 SELECT c.chunk_id, c.source, CASE WHEN d.lines IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(d.lines, i)), chr(10)) END AS content,
   CAST(coalesce(len(d.lines), 0) AS INTEGER) AS n_removed
 FROM chunk_out AS c LEFT JOIN (SELECT chunk_id, list(line_no) AS lines FROM gone GROUP BY chunk_id) AS d USING (chunk_id)"""
+# steps between kept wordings on consecutive lines, walked both ways; a block has the name of its first wording
+P4_BLOCKS = P4.replace("WITH lines", "WITH RECURSIVE lines", 1) + """,
+steps AS (SELECT a.source, a.node AS x, b.node AS y FROM hits AS a JOIN hits AS b ON b.chunk_id = a.chunk_id AND b.line_no = a.line_no + 1 GROUP BY a.source, a.n, a.node, b.node HAVING count(DISTINCT a.chunk_id) >= greatest(8, a.n * 0.1)),
+both_ways AS MATERIALIZED (SELECT s.* FROM (SELECT source, x, y FROM steps UNION SELECT source, y, x FROM steps) AS s JOIN kept AS k ON k.source = s.source AND k.node = s.x JOIN kept AS m ON m.source = s.source AND m.node = s.y),
+reach AS (SELECT source, node AS x, node AS y FROM kept UNION SELECT r.source, r.x, b.y FROM reach AS r JOIN both_ways AS b ON b.source = r.source AND b.x = r.y)
+SELECT source, k.node, support, block FROM kept AS k JOIN (SELECT source, x AS node, min(y) AS block FROM reach GROUP BY source, x) USING (source, node)"""
 
-ORACLE = {"p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p1_found": P1_FOUND, "p6_found": P6_FOUND, "p6_mapping": P6_MAPPING, "p6_unmatched": P6_UNMATCHED}
+ORACLE = {"p4_blocks": P4_BLOCKS, "p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p1_found": P1_FOUND, "p6_found": P6_FOUND, "p6_mapping": P6_MAPPING, "p6_unmatched": P6_UNMATCHED}

@@ -51,3 +51,11 @@ def test_a_chain_of_near_wordings_loses_none(spark):
     rows = [(k, "s", a) for k in range(30)] + [(100 + k, "s", b) for k in range(20)] + [(200 + k, "s", c) for k in range(12)]
     lines = B.repeated_lines(spark.createDataFrame(rows, SCHEMA), cfg=B.BoilerplateConfig(min_rows=8, min_share=0.1))
     assert {r.chunk_id for r in lines.collect()} == {r[0] for r in rows}
+
+
+def test_wording_has_letters_only(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"© Acme 2024": "acme", "1 Notice": "notice", "(a) May 3, June: Été\n\n7 x": "aété||x", "march": "", "marching": "marching", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", F.array_join(B.wordings(F.col("t")), "|").alias("w")).collect()
+    assert {r.t: r.w for r in got} == cases
