@@ -94,3 +94,16 @@ def test_one_frequent_surname_makes_no_pairs(spark):
 
 def test_a_name_of_any_length(spark):
     assert clusters(spark, ["q" * 100_000 + " Foods", "q" * 99_999 + " Foods", "b " * 50_000]) == [0, 0, 2]
+
+
+def test_rounds_take_few_jobs_of_the_driver(spark):
+    """Every exchange is a job with a thread of the driver: 143 of them for these names, and more for a table, filled its memory before."""
+    names = ["Bortelan Foods", "Bortelam Foods", "Bortolam Foods", "Bartolam Foods", "Bartolem Foods", "Bartolem", "Anna Smithson", "A. Smithson"]
+    df = spark.createDataFrame(list(enumerate(names)), "entity_id bigint, name string")
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        assert [r.cluster for r in N.resolve(df).orderBy("entity_id").collect()] == [0, 0, 0, 0, 0, 0, 6, 6]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert jobs < 110, jobs
