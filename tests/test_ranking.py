@@ -236,3 +236,20 @@ def test_similarities_that_round_to_the_same_are_ties(spark):
     q = spark.createDataFrame([(1, [0.0, 0.0])], "query_id bigint, embedding array<double>")
     want = sorted((-round(1 - round(x[0], 6) ** 2 / 2, 6), k) for k, x in rows)[:5]
     assert [(-r.similarity, r.chunk_id) for r in retrieval.dense_above(q, v, 0.7, 5).orderBy("rnk").collect()] == want
+
+
+def test_many_questions_meet_posting_lists(spark, monkeypatch):
+    """The same result in groups of chunks and blocks of questions as by the join, without a row for each product."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 12))) for i in range(400)] + [(900, None), (901, "w1 w1 w2"), (902, "w2 w1 w1")], "chunk_id bigint, content string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(40)] + [(50, "w1 w2"), (51, "w2 w1"), (52, "nowhere"), (53, None)], "query_id bigint, text string")
+    q, d = retrieval.postings(asked, "query_id", "text"), retrieval.postings(docs, "chunk_id", "content")
+    want = sorted(map(tuple, retrieval.sparse_top(q, d, 7).collect()))
+    for rows, chunks, block in ((0, 1 << 14, 1 << 20), (0, 20, 30)):
+        for name, value in (("JOINED_ROWS", rows), ("GROUP_CHUNKS", chunks), ("BLOCK_ROWS", block)):
+            monkeypatch.setattr(retrieval, name, value)
+        found = retrieval.sparse_top(q, d, 7)
+        assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want
+    assert len({r[0] for r in want}) == 42
