@@ -253,3 +253,16 @@ def test_many_questions_meet_posting_lists(spark, monkeypatch):
         assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, found.collect())) == want
     assert len({r[0] for r in want}) == 42
+
+
+def test_nearest_rows_by_a_first_look_in_single_precision():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    x[100:300] = x[:200] + 1e-6 * rng.normal(size=(200, 16))  # nearer than single precision tells apart
+    ids, norms = rng.permutation(3000), (x**2).sum(1)
+    for query in x[:40]:
+        squared = ((query**2).sum() + norms - 2 * x @ query).astype(np.float32)
+        chosen, distance = retrieval.nearest_rows(squared, x, query, ids, 20, norms=norms)
+        exact = np.sqrt(((x - query) ** 2).sum(1)).round(6)
+        assert chosen.tolist() == np.lexsort((ids, exact))[:20].tolist() and (distance == exact[chosen]).all()
