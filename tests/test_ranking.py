@@ -266,3 +266,28 @@ def test_nearest_rows_by_a_first_look_in_single_precision():
         chosen, distance = retrieval.nearest_rows(squared, x, query, ids, 20, norms=norms)
         exact = np.sqrt(((x - query) ** 2).sum(1)).round(6)
         assert chosen.tolist() == np.lexsort((ids, exact))[:20].tolist() and (distance == exact[chosen]).all()
+
+
+def test_an_index_sends_texts_and_not_tokens(spark, tmp_path):
+    """The texts' way to their bucket is the only exchange of either encoder's plan."""
+    chunks = spark.createDataFrame([(i, "s", 1, f"cold store w{i} w{i % 7}", None, None, ["1"]) for i in range(60)], "chunk_id bigint, source string, page_number int, content string, customer string, clause string, hierarchy array<string>")
+    plans = []
+
+    def seen(encoder):
+        def encode_(*args):
+            plans.append((out := encoder(*args))._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        return encode_
+
+    index.build_index(chunks, str(tmp_path / "i"), sparse=seen(encode.token_weights), dense=seen(encode.hashed_vectors), buckets=4, parts=2)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1], plans
+    got = index.open_index(spark, str(tmp_path / "i"))
+    assert got.postings.count() == 233 and got.vectors.count() == 60
+
+
+def test_numbered_hits_unite_what_keyed_hits_unite(spark):
+    chunks = spark.createDataFrame([(1, "s", 1, "a"), (2, "s", 1, "a"), (3, "s", 2, "a"), (4, None, None, None), (5, None, None, None)], "chunk_id bigint, source string, page_number int, content string")
+    hits = spark.createDataFrame([(1, i, "dense", i) for i in (1, 2, 3, 4, 5, 77)], "query_id bigint, chunk_id bigint, retriever string, rnk int")
+    got = {r.chunk_id: r.doc_key for r in ranking.numbered_hits(hits, chunks).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 77: 77}
