@@ -45,7 +45,7 @@ _W = r"[ \t  　]*\n?[ \t  　]*"  # within an item, one line end at most
 _WS = r"[\s ]{1,4}"
 _LINE_NUMBERS = re.compile(r"\d{1,4}\n\d{1,4}")
 _NATIONAL = re.compile(r"n.{1,2}tion.{1,2}l\s+$")
-_AT = re.compile(r"@|[\(\[{]\s?[aA][tT]\s?[\)\]}]")
+_AT = re.compile(r"[@(\[{](?:(?<=@)|(?<!@)\s?[aA][tT]\s?[\)\]}])")
 DOMAIN = re.compile(rf"{_W}[\w\-]+(?:[ \t]?\.[\w\-]+|{_W}[\(\[{{]\s?[dD][oO][tT]\s?[\)\]}}]{_W}[\w\-]+){{1,4}}")
 _GROUP = r"(?:[ .\-\u00a0\u2003\u3000\u2011]{1,2}|[ \-]?\n|(?<=\)))\(?[\dOoIlSB]{1,6}\)?"
 # the first character stands first, before what must not precede it, so that the search skips to it
@@ -53,6 +53,8 @@ PHONE = re.compile(rf"[+(\dOo](?<![\w@/.,$€£%\-].)(?:(?<=\+)[\s]?\d|(?<=\()\+
 ID = re.compile(rf"(?i:{ID_LABELS})[\s ]*[:#\-]?[\s ]*(?P<v>(?=[A-Z\d][A-Z\d \n\- ]*\d)[A-Z]{{0,4}}[ \-\n]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3,12}}(?:[ \-]?[A-Z](?![\w]))?)(?![a-z])")
 #: any number that could be of a document, without regard to what stands before it
 NUMBER = re.compile(r"(?<![\w@/.,$€£%#+\-])(?:[A-Z]{1,4}[\-]?|[A-Z]{2}[ ](?<!NI[ ])(?<!ID[ ])|)\d(?:[ \-]?\d){5,12}(?:[ \-]?[A-Z])?(?![\w/]|[.,]\d)")
+#: where a NUMBER can begin: from here it has six digits
+_NUMBER_START = re.compile(r"[A-Z\d](?<![\w@/.,$€£%#+\-].)(?=(?:(?<=\d)|[A-Z]{0,3}[\- ]?\d)(?:[ \-]?\d){5})", re.S)
 BOX = re.compile(rf"\b(?:G\.?{_W})?(?:P\.?\s?O\.?{_WS}Box|PO{_WS}BOX|P\.O\.{_WS}BOX|GPO{_WS}Box|Locked{_WS}Bag|Private{_WS}Bag|Post{_WS}Office{_WS}Box|Postfach|p\.?o\.?{_WS}box){_WS}[\dOIl]{{1,6}}\b")
 HOUSE = re.compile(rf"(?:(?<![\w])(?P<unit>(?:{_UNITS})\.?{_WS}[\dA-Z][\dA-Z]{{0,4}})(?:{_W},{_W}|{_WS}))?(?<![\w.,$/\-])(?P<no>(?:\d{{1,4}}[A-Za-z]?(?:{_W}[/\-–]{_W}\d{{1,5}}[A-Za-z]?)?{_WS}))?(?P<street>(?:[A-Z][\w'’]+{_WS}){{1,3}})(?P<type>{_STREETS})\b")
 _NUMBERED = re.compile(r"\d[A-Za-z]?[\s ]{1,4}[A-Z]")
@@ -76,6 +78,9 @@ _OPENING = r"(?!(?:Dear|According|Neither|Yours|Signed|Name|Keys|Witness|Attenti
 _NEXT = rf"(?:{_SEP}|(?<=\.){_GAP}){_OPENING}(?:{_PART}){{0,2}}(?:{_NICK}{_SEP})?{_T}"
 PERSON = re.compile(rf"(?<![\w@.’'\-°])(?:(?P<title>(?:{'|'.join(TITLES.split())})\.?{_SEP})(?P<t>(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{0,4}}))|(?P<n>{_OPENING}(?:{_PART}){{0,2}}{_T}(?:,{_SEP}{_T}(?:{_NEXT}){{0,2}}|(?:{_NEXT}){{1,4}})))(?!\w)")
 
+#: where a PERSON can begin: at a capital or a particle
+_PERSON_START = re.compile(r"[A-ZÀ-ÖØ-Þvdblat](?<![\w@.’'\-°].)(?:(?<=[A-ZÀ-ÖØ-Þ])|(?=(?<=v)[ao]n[ \n]|(?<=d)(?:e|er|en|a|os|i|el)[ \n]|(?<=l)[ae][ \n]|(?<=b)in[ \n]|(?<=a)l[ \n]|(?<=t)er[ \n]))", re.S)
+
 _STOP = {w.lower() for w in NOT_NAMES}
 _GIVEN = {w.lower() for w in GIVEN}
 _STREET_SET = {w.lower() for w in STREET_TYPES.split()}
@@ -100,9 +105,18 @@ def _is_name_may(text: str, start: int, end: int, run: list) -> bool:
     return bool(run) and text[:start].rstrip().endswith(",") or bool(re.match(r"\s+(?:[a-z]+\s|[“\"])?[A-Z]", text[end : end + 12]))
 
 
+def _matches(pattern: re.Pattern, start: re.Pattern, text: str) -> Iterator[re.Match]:
+    """pattern.finditer(text), tried only where start, which is one character, matches."""
+    done = 0
+    for at in start.finditer(text):
+        if at.start() >= done and (m := pattern.match(text, at.start())):
+            yield m
+            done = m.end()
+
+
 def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
     """(start, end, after a title): runs of capitalised words, without the words that aren't parts of names at their ends."""
-    for m in PERSON.finditer(text):
+    for m in _matches(PERSON, _PERSON_START, text):
         titled = m["title"] is not None
         start = m.start("t" if titled else "n")
         parts = [(start + t.start(), start + t.end(), t[0]) for t in _TOKENS.finditer(m["t"] if titled else m["n"])]
@@ -127,8 +141,8 @@ def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int,
         if run:
             runs.append((run, after))
         # a name may have a word of contracts in it (Helen Page, Jan Bell): the uncut run is proposed too
-        plain_words = [p[2].strip(".,;:'’“”\"()").lower() for p in parts]
-        if 2 <= len(parts) <= 3 and sum(w in _STOP for w in plain_words) == 1 and any(_near_given(w) for w in plain_words) and not any(w in _TITLE_SET for w in plain_words):
+        plain_words = [p[2].strip(".,;:'’“”\"()").lower() for p in parts] if 2 <= len(parts) <= 3 else []
+        if plain_words and sum(w in _STOP for w in plain_words) == 1 and any(_near_given(w) for w in plain_words) and not any(w in _TITLE_SET for w in plain_words):
             runs.append((parts, titled))
         for words, title in runs:
             plain = [w for w in words if len(w[2].strip(".,'’")) > 1 and not re.fullmatch(r"(?:[A-Z]\.)+", w[2])]
@@ -186,7 +200,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
     else:  # a letter whose lower case is longer moves the positions
         out += [("id_number", m.start("v"), m.end("v"), 0) for m in ID.finditer(text)]
     labelled_at = [(a, b) for k, a, b, _ in out if k == "id_number"]
-    out += [("id_number", m.start(), m.end(), 1) for m in NUMBER.finditer(text) if not any(a < m.end() and m.start() < b for a, b in labelled_at)]
+    out += [("id_number", m.start(), m.end(), 1) for m in _matches(NUMBER, _NUMBER_START, text) if not any(a < m.end() and m.start() < b for a, b in labelled_at)]
     if "box" in lower or "bag" in lower or "postfach" in lower:
         out += [("address", m.start(), m.end(), 1) for m in BOX.finditer(text)]
     done = 0
@@ -197,7 +211,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
                     out.append(("address", m.start("unit") if m["unit"] else m.start("no"), m.end(), 2))
                     done = m.end()
     words = set(lower.split())
-    if not words.isdisjoint(_FOREIGN_WORDS) or not {w[-4:] for w in words}.isdisjoint(_FOREIGN_ENDS) or any(w.endswith(("weg", "vej")) for w in words):
+    if not words.isdisjoint(_FOREIGN_WORDS) or not {w[-4:] for w in words}.isdisjoint(_FOREIGN_ENDS) or ("weg" in lower or "vej" in lower) and any(w.endswith(("weg", "vej")) for w in words):
         out += [("address", m.start(), m.end(), 3) for m in FOREIGN.finditer(text)]
     taken = [(s, e) for k, s, e, _ in out if k in ("address", "email")]
     for s, e, titled in _persons(text, taken):
@@ -216,7 +230,15 @@ _ID_LABEL = re.compile(rf"\b(?:{ID_LABELS})[\s:#]*$", re.I)
 _DECOY = re.compile(DECOYS, re.I)
 _ID_WORD = re.compile(rf"\b(?:{ID_WORDS})\b", re.I)
 _DECOY_WORD = re.compile(r"\b(?:po|sku|sscc|inv|invoice|container|meter|company|permit|lot|rate|order|vat|abn|acn|serial|batch|pallet|ticket|under|form|account|iban|total|cartons?|kg|eur|gbp|usd|aud|pln)\b", re.I)
-_MONEY = re.compile(r"(?:EUR|USD|GBP|PLN|AUD|\$|€|£)\s*$")
+_MONEY = ("EUR", "USD", "GBP", "PLN", "AUD", "$", "€", "£")
+# The words of these patterns as sets, for text of ASCII letters, where looking words up is cheaper than the patterns.
+_RUN = re.compile(r"\w+")
+_ID_WORDS = frozenset(ID_WORDS.replace("licen[cs]e", "licence|license").replace("[üu]", "u").split("|"))
+_DECOY_WORDS = frozenset(_DECOY_WORD.pattern[5:-3].replace("cartons?", "carton|cartons").split("|"))
+_PHONE_WORDS = frozenset(_PHONE_WORD.pattern[5:-3].split("|"))
+_ID_FIRST = frozenset("passport id identity licence license tfn tax ssn social insurance ni medicare pesel nhs".split())
+_DECOY_ENDS = tuple(DECOYS[3 : DECOYS.index(")")].replace("\\", "").split("|"))
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f#:"
 _ADDRESS_LEFT = re.compile(r"(?:\bat|\bto|\bof|\bfrom|lives at|sent to|samples to|back to|address:?|,|\bnear|\bin|\bis)\s*$", re.I)
 _ADDRESS_RIGHT = re.compile(r"^\s*,?\s*(?:[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)?,?\s)?(?:[A-Z]{2,3}\s)?\d{4,5}\b|^\s*,\s*[A-Z]|^\s*(?:were|gives|marked|-|for)\b")
 _AFTER_STREET = re.compile(rf"(?:\b(?:{_STREETS})\.?|\bBox\s\d+)\s?[,;]\s*$", re.I)
@@ -242,9 +264,12 @@ def features(text: str, kind: str, start: int, end: int, hint: int) -> list[floa
     }
     if kind in ("phone", "id_number"):
         before, after = left[-2:].strip()[-1:], right[:2].strip()[:1]
+        low = left.lower() if left.isascii() else None
+        words = _RUN.findall(low) if low is not None else []
+        has = lambda known, pattern: not known.isdisjoint(words) if low is not None else bool(pattern.search(left))
         f |= {
             "plus": span[:1] == "+", "paren": span[:1] == "(", "zero": span[:1] in "0O", "next_digit": after.isdigit(), "prev_digit": before.isdigit(), "prev_slash": before == "/", "next_slash": after == "/",
-            "money": bool(_MONEY.search(left)), "label_decoy": bool(_DECOY.search(left)), "label_id": bool(_ID_LABEL.search(left)), "sentence_start": not left or left.rstrip(" ")[-1:] in ".\n",
+            "money": left.rstrip().endswith(_MONEY), "label_decoy": low.rstrip(_BLANKS).endswith(_DECOY_ENDS) if low is not None else bool(_DECOY.search(left)), "label_id": (low is None or not _ID_FIRST.isdisjoint(words)) and bool(_ID_LABEL.search(left)), "sentence_start": not left or left.rstrip(" ")[-1:] in ".\n",
         }
     else:
         left_word = (m[1].lower() if (m := _LEFT_WORDS.search(left)) else "")
@@ -253,11 +278,11 @@ def features(text: str, kind: str, start: int, end: int, hint: int) -> list[floa
         bare = [t.strip(".,;:'’“”\"()").lower() for t in tokens]
         f |= {"next_open": right[:3].lstrip()[:1] == "(", "next_comma": right[:1] == ",", "next_digit": right[:2].strip()[:1].isdigit(), "prev_digit": left[-2:].strip()[-1:].isdigit(), "prev_slash": left[-2:].strip()[-1:] == "/", "next_slash": right[:2].strip()[:1] == "/", "sentence_start": bool(re.search(r"(?:^|[.\n])\s*$", left)) or not left}
     if kind == "id_number":
-        f |= {"bare": hint == 1, "id_word": bool(_ID_WORD.search(left)), "decoy_word": bool(_DECOY_WORD.search(left)), "date_like": bool(_DATE.match(span.strip())), "label_phone": 2 * bool(_PHONE_WORD.search(left))}
+        f |= {"bare": hint == 1, "id_word": has(_ID_WORDS, _ID_WORD), "decoy_word": has(_DECOY_WORDS, _DECOY_WORD), "date_like": bool(_DATE.match(span.strip())), "label_phone": 2 * has(_PHONE_WORDS, _PHONE_WORD)}
     elif kind == "email":
         f |= {"at_sign": span.count("@"), "at_word": len(re.findall(r"[\(\[{]\s?at", span, re.I)), "tld": bool(re.search(r"(?:example|invalid|test|com|org|net|edu|gov|io|au|uk|pl|de|us)$", span, re.I))}
     elif kind == "phone":
-        f |= {"label_phone": bool(_PHONE_LABEL.search(left)) + 2 * bool(_PHONE_WORD.search(left)), "date_like": bool(_DATE.match(span.strip())), "ocr_digits": sum(c in "OoIlSB" for c in span), "left_person": bool(re.search(r"[A-Za-z]\s?\(\(?$", left))}
+        f |= {"label_phone": bool(_PHONE_LABEL.search(left)) + 2 * has(_PHONE_WORDS, _PHONE_WORD), "date_like": bool(_DATE.match(span.strip())), "ocr_digits": sum(c in "OoIlSB" for c in span), "left_person": bool(re.search(r"[A-Za-z]\s?\(\(?$", left))}
     elif kind == "address":
         f |= {"foreign": hint == 3, "left_address": bool(_ADDRESS_LEFT.search(left)), "right_address": bool(_ADDRESS_RIGHT.search(right)), "unit": bool(re.match(rf"(?:{_UNITS})\b", span)), "box": hint == 1, "house_no": bool(re.match(r"\d", span)), "stops": sum(b in _STOP for b in bare)}
     elif kind == "person":
@@ -267,7 +292,7 @@ def features(text: str, kind: str, start: int, end: int, hint: int) -> list[floa
             "streets": sum(b in _STREET_SET for b in bare), "comma": "," in span, "caps": span.isupper(), "particles": sum(t in ("von", "van", "de", "der", "da", "di") for t in tokens), "hyphen": "-" in span, "quote": bool(re.search("[“”\"]", span)),
             "street_after": right_word in _STREET_SET, "line_alone": (not left or left[-1] == "\n") and (not right or right[0] == "\n"), "left_address": left_word in ("the", "for", "prepared", "a", "this"), "right_address": right_word in _STOP, "unit": bool(_AFTER_STREET.search(left)), "box": len(tokens) == 2 and tokens[1].isupper() and len(tokens[1]) <= 3,
         }
-    return [float(f[name]) for name in FEATURES]
+    return [*map(float, f.values())]
 
 
 # ---- the labelled sample ---------------------------------------------------------------------------------------------
