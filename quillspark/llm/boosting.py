@@ -20,15 +20,18 @@ class Boosted:
     steps_x: np.ndarray = field(default_factory=lambda: np.array([0.0]))  # isotonic map: margin -> probability
     steps_y: np.ndarray = field(default_factory=lambda: np.array([0.5]))
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray, step: int = 4096) -> np.ndarray:
         out = np.full(len(x), self.base)
         depth = int(np.log2(self.leaf.shape[1]))
-        rows = np.arange(len(x))
-        for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
-            out += leaf[node - (len(leaf) - 1)]
+        for first in range(0, len(x), step):  # a part of the rows stays in the cache for all trees
+            part = np.ascontiguousarray(x[first : first + step])
+            begin = np.arange(len(part)) * part.shape[1]
+            flat, margin = part.ravel(), out[first : first + step]
+            for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
+                node = np.zeros(len(part), dtype=np.int64)
+                for _ in range(depth):
+                    node = 2 * node + 1 + (flat.take(begin + feature.take(node)) > threshold.take(node))
+                margin += leaf.take(node - (len(leaf) - 1))
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:

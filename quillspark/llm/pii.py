@@ -8,10 +8,13 @@ trees are fitted on composed sentences in which the personal information is know
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ _STREETS = "|".join(sorted({v for w in STREET_TYPES.split() for v in (w, w.upper
 _UNITS = "|".join(v for w in UNIT_WORDS.split() for v in (w, w.upper(), w.lower()))
 _W = r"[ \t  　]*\n?[ \t  　]*"  # within an item, one line end at most
 _WS = r"[\s ]{1,4}"
+_DIGIT_LIKE = re.compile(r"[0-9OoIlSB]")
 _LINE_NUMBERS = re.compile(r"\d{1,4}\n\d{1,4}")
 _NATIONAL = re.compile(r"n.{1,2}tion.{1,2}l\s+$")
 _AT = re.compile(r"[@(\[{](?:(?<=@)|(?<!@)\s?[aA][tT]\s?[\)\]}])")
@@ -64,10 +68,6 @@ _TYPE_FIRST = r"rue|allée|chemin|quai|impasse|via|viale|piazza|corso|calle|aven
 _TYPE_LAST = r"stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|ufer|damm|straat|laan|plein|gracht|kade|singel|gatan|vägen|gade|vej"
 _NAME = r"(?:(?:de|du|des|la|le|les|del|della|dei|das|dos|da|do|von|den|der|van|św\.)[ ]){0,3}[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][\w'’.\-]+(?:[ ][A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][\w'’\-]+)?"
 FOREIGN = re.compile(rf"(?:(?<![\w/.,\-])\d{{1,4}}(?:[ ]?(?:bis|ter|[a-zA-Z]))?,?[ ])(?i:{_TYPE_FIRST})[ ]{_NAME}|\b(?i:{_TYPE_FIRST})[ ]{_NAME},?[ ]\d{{1,4}}[a-zA-Z]?\b|\b[A-ZÄÖÜ][\wäöüß\-]*(?i:{_TYPE_LAST})[ ]\d{{1,4}}[ ]?[a-zA-Z]?\b|\b[A-ZÄÖÜ][\wäöüß\-]+[ ](?i:{_TYPE_LAST})[ ]\d{{1,4}}[a-zA-Z]?\b")
-#: words, and ends of words, that a text has in lower case where FOREIGN or CUE can match: looking for these is cheaper than the patterns
-_FOREIGN_WORDS = frozenset(_TYPE_FIRST.replace("\\", "").split("|"))
-_FOREIGN_ENDS = frozenset(w[-4:] for w in ("straße", "strasse", *_TYPE_LAST.replace("\\", "").split("|")[1:]))
-_CUE_WORDS = frozenset("name am i'm this hi hello regards regards, thanks thanks, cheers cheers,".split())
 CUE = re.compile(r"\b(?:[Mm]y name is|I am|I'm|[Tt]his is|[Hh]i|[Hh]ello|[Rr]egards,?|[Tt]hanks,?|[Cc]heers,?)[ \n]([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’\-]+)(?![\w'’\-]|[ ][A-Z])")
 _T = r"(?:[A-ZÀ-ÖØ-Þ]\.(?:\s?[A-ZÀ-ÖØ-Þ]\.){0,2}(?![\w])|[A-ZÀ-ÖØ-Þ][\w'’]*(?:[\-‐][A-ZÀ-ÖØ-Þ]?[\w'’]+)*)"
 _PART = r"(?:(?:VON|VAN|DE|DER|von|van|de|der|den|da|dos|di|del|la|le|bin|al|ter)[ \n])"
@@ -81,6 +81,38 @@ PERSON = re.compile(rf"(?<![\w@.’'\-°])(?:(?P<title>(?:{'|'.join(TITLES.split
 #: where a PERSON can begin: at a capital or a particle
 _PERSON_START = re.compile(r"[A-ZÀ-ÖØ-Þvdblat](?<![\w@.’'\-°].)(?:(?<=[A-ZÀ-ÖØ-Þ])|(?=(?<=v)[ao]n[ \n]|(?<=d)(?:e|er|en|a|os|i|el)[ \n]|(?<=l)[ae][ \n]|(?<=b)in[ \n]|(?<=a)l[ \n]|(?<=t)er[ \n]))", re.S)
 
+# Patterns of another engine (RE2) that a text has wherever the rarer patterns match; they look at all texts of a batch at once.
+_ANY_BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WIDE_DIGITS = "".join(rf"\x{{{c:x}}}" for c in range(256, 1 << 17) if chr(c).isdecimal())
+_ANY_DIGIT = rf"[0-9{_WIDE_DIGITS}]"
+_HAS_WIDE_DIGIT = rf"[{_WIDE_DIGITS}]"
+_HAS_ID = rf"(?i:{ID_LABELS})[\s]*[:#\-]?[\s]*[A-Z]{{0,4}}[ \-\n]?[\dOIlSB](?:[ \-\n ]?[\dOIlSB]){{3}}".replace(r"\b", "").replace(r"[\s]", r"\s").replace(r"\s", _ANY_BLANK).replace(r"\d", _ANY_DIGIT[1:-1]) + "|[İı]"
+_HAS_BOX = rf"(?:[Bb]ox|BOX|Bag|Postfach){_ANY_BLANK}{{1,4}}[0-9OIl{_WIDE_DIGITS}]"
+_HAS_FOREIGN = rf"(?:^|[^A-Za-z0-9_])(?i:{_TYPE_FIRST})[ ](?:(?:de|du|des|la|le|les|del|della|dei|das|dos|da|do|von|den|der|van|św\.)[ ]|[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ])|(?i:{_TYPE_LAST})[ ]{_ANY_DIGIT}|[İı]"
+_HAS_CUE = r"(?:[Mm]y name is|I am|I'm|[Tt]his is|[Hh]i|[Hh]ello|[Rr]egards,?|[Tt]hanks,?|[Cc]heers,?)[ \n][A-ZÀ-ÖØ-Þ]"
+
+# Kinds of characters, of which one has several: by them the places where the more frequent patterns can begin are looked up
+# in arrays. A character beyond Latin-1 is looked up as a question mark, which is of every kind that lets a pattern go on.
+_DIGIT, _UPPER, _CAPITAL, _PHONE_FIRST, _PHONE_CHAR, _BLANK, _NO_PHONE, _NO_NUMBER, _NO_PERSON, _WORD, _LETTER, _BRACKET, _SMALL = (1 << i for i in range(13))
+
+
+def _kinds_of_characters() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint16)
+    for bit, members in (
+        (_DIGIT, r"[0-9]"), (_UPPER, r"[A-Z]"), (_CAPITAL, r"[A-ZÀ-ÖØ-Þ]"), (_PHONE_FIRST, r"[+(0-9Oo]"), (_PHONE_CHAR, r"[0-9OoIlSB()+.\-\s?]"), (_BLANK, r"[\s?]"),
+        (_NO_PHONE, r"[\w@/.,$£%\-]"), (_NO_NUMBER, r"[\w@/.,$£%#+\-]"), (_NO_PERSON, r"[\w@.'\-°]"), (_WORD, r"[\w'\-]"), (_LETTER, r"[A-Za-z]"), (_BRACKET, r"[@(\[{]"), (_SMALL, r"[vdblat]"),
+    ):
+        for c in range(256):
+            kinds[c] |= bit * bool(re.match(members, chr(c)))
+    return kinds
+
+
+_KINDS = _kinds_of_characters()
+_PARTICLE_PAIR = np.zeros(1 << 16, dtype=bool)
+_PARTICLE_PAIR[[ord(a) << 8 | ord(b) for a, b in "va vo de da do di la le bi al te".split()]] = True
+_TITLE_FIRST = np.isin(np.arange(256), [ord(w[0]) for w in TITLES.split()])
+_GROUP_CHARS = 1 << 20  # texts are looked at in groups of at most so many characters; a longer text is searched without arrays
+
 _STOP = {w.lower() for w in NOT_NAMES}
 _GIVEN = {w.lower() for w in GIVEN}
 _STREET_SET = {w.lower() for w in STREET_TYPES.split()}
@@ -90,8 +122,11 @@ _LEFT_WORDS = re.compile(r"([\w'’]+)\W*$")
 _RIGHT_WORD = re.compile(r"^\W*?([A-Za-z]+)")
 
 
+_OCR = str.maketrans("015|!@", "olslia")
+
+
 def _ocr(word: str) -> str:
-    return word.translate(str.maketrans("015|!@", "olslia"))
+    return word.translate(_OCR)
 
 
 def _stop(token: str) -> bool:
@@ -105,61 +140,86 @@ def _is_name_may(text: str, start: int, end: int, run: list) -> bool:
     return bool(run) and text[:start].rstrip().endswith(",") or bool(re.match(r"\s+(?:[a-z]+\s|[“\"])?[A-Z]", text[end : end + 12]))
 
 
-def _matches(pattern: re.Pattern, start: re.Pattern, text: str) -> Iterator[re.Match]:
-    """pattern.finditer(text), tried only where start, which is one character, matches."""
+def _matches(pattern: re.Pattern, start: re.Pattern | list[int] | None, text: str) -> Iterator[re.Match]:
+    """pattern.finditer(text), tried only at the starts, which ascend, or where start, which is one character, matches."""
+    if start is None:
+        return pattern.finditer(text)
+    return _matches_at(pattern, start if isinstance(start, list) else (at.start() for at in start.finditer(text)), text)
+
+
+def _matches_at(pattern: re.Pattern, starts: Iterable[int], text: str) -> Iterator[re.Match]:
     done = 0
-    for at in start.finditer(text):
-        if at.start() >= done and (m := pattern.match(text, at.start())):
+    for at in starts:
+        if at >= done and (m := pattern.match(text, at)):
             yield m
             done = m.end()
 
 
-def _persons(text: str, skip: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+def _persons(text: str, matches: Iterator[re.Match], skip: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
     """(start, end, after a title): runs of capitalised words, without the words that aren't parts of names at their ends."""
-    for m in _matches(PERSON, _PERSON_START, text):
+    for m in matches:
         titled = m["title"] is not None
-        start = m.start("t" if titled else "n")
-        parts = [(start + t.start(), start + t.end(), t[0]) for t in _TOKENS.finditer(m["t"] if titled else m["n"])]
-        # a run is cut at titles and at words of contracts
-        run: list[tuple[int, int, str]] = []
-        runs: list[tuple[list[tuple[int, int, str]], bool]] = []
-        after = titled
-        for p in parts:
-            word = p[2].strip(".,;:'’“”\"()")
-            if word.lower() in _TITLE_SET and len(word) > 1:
-                if run:
-                    runs.append((run, after))
-                run, after = [], True
-            elif word.lower() in _STOP and not (word in ("May", "MAY") and _is_name_may(text, p[0], p[1], run)):
-                if run:
-                    runs.append((run, after))
-                run, after = [], False
-            elif len(word) == 1 and not run and re.search(r"[\d°]\s?$", text[max(0, p[0] - 2) : p[0]]):
-                pass  # degrees
-            else:
-                run.append(p)
-        if run:
-            runs.append((run, after))
-        # a name may have a word of contracts in it (Helen Page, Jan Bell): the uncut run is proposed too
-        plain_words = [p[2].strip(".,;:'’“”\"()").lower() for p in parts] if 2 <= len(parts) <= 3 else []
-        if plain_words and sum(w in _STOP for w in plain_words) == 1 and any(_near_given(w) for w in plain_words) and not any(w in _TITLE_SET for w in plain_words):
-            runs.append((parts, titled))
-        for words, title in runs:
-            plain = [w for w in words if len(w[2].strip(".,'’")) > 1 and not re.fullmatch(r"(?:[A-Z]\.)+", w[2])]
-            if not plain:
-                continue
-            if len(words) == 1 and not title:
-                continue
-            s, e = words[0][0], words[-1][1]
-            while e > s and text[e - 1] in ",;:.'’ \n":
-                e -= 1
+        start, words = (m.start("t"), m["t"]) if titled else (m.start("n"), m["n"])
+        names = _names(words, titled)
+        for s, e, title, later in _names_at(words, titled, text, start) if names is None else names:
+            s, e = s + start, e + start
             if any(a < e and s < b for a, b in skip):
                 continue
             yield s, e, title
-            # an unknown word before a given name may be the end of the sentence before, misread
-            later = next((w for w in words[1:-1] if _near_given(w[2].lower())), None)
-            if later and not _near_given(words[0][2].strip(",.").lower().split("-")[0]) and "," not in text[s:e]:
-                yield later[0], e, title
+            if later is not None:
+                yield later + start, e, title
+
+
+@lru_cache(maxsize=1 << 14)
+def _names(words: str, titled: bool) -> tuple[tuple[int, int, bool, int | None], ...] | None:
+    """_names_at, if it is the same wherever the words stand, else None."""
+    plain = [t.strip(".,;:'’“”\"()") for t in _TOKENS.findall(words)]
+    if any(len(w) == 1 or w in ("May", "MAY") for w in plain):
+        return None
+    return tuple(_names_at(words, titled, words, 0))
+
+
+def _names_at(words: str, titled: bool, text: str, start: int) -> Iterator[tuple[int, int, bool, int | None]]:
+    """(start, end, after a title, where a second one begins) of the names in words, which stand in text from start."""
+    parts = [(t.start(), t.end(), t[0]) for t in _TOKENS.finditer(words)]
+    # a run is cut at titles and at words of contracts
+    run: list[tuple[int, int, str]] = []
+    runs: list[tuple[list[tuple[int, int, str]], bool]] = []
+    after = titled
+    for p in parts:
+        word = p[2].strip(".,;:'’“”\"()")
+        if word.lower() in _TITLE_SET and len(word) > 1:
+            if run:
+                runs.append((run, after))
+            run, after = [], True
+        elif word.lower() in _STOP and not (word in ("May", "MAY") and _is_name_may(text, start + p[0], start + p[1], run)):
+            if run:
+                runs.append((run, after))
+            run, after = [], False
+        elif len(word) == 1 and not run and re.search(r"[\d°]\s?$", text[max(0, start + p[0] - 2) : start + p[0]]):
+            pass  # degrees
+        else:
+            run.append(p)
+    if run:
+        runs.append((run, after))
+    # a name may have a word of contracts in it (Helen Page, Jan Bell): the uncut run is proposed too
+    plain_words = [p[2].strip(".,;:'’“”\"()").lower() for p in parts] if 2 <= len(parts) <= 3 else []
+    if plain_words and sum(w in _STOP for w in plain_words) == 1 and any(_near_given(w) for w in plain_words) and not any(w in _TITLE_SET for w in plain_words):
+        runs.append((parts, titled))
+    for run, title in runs:
+        plain = [w for w in run if len(w[2].strip(".,'’")) > 1 and not re.fullmatch(r"(?:[A-Z]\.)+", w[2])]
+        if not plain:
+            continue
+        if len(run) == 1 and not title:
+            continue
+        s, e = run[0][0], run[-1][1]
+        while e > s and words[e - 1] in ",;:.'’ \n":
+            e -= 1
+        # an unknown word before a given name may be the end of the sentence before, misread
+        later = next((w for w in run[1:-1] if _near_given(w[2].lower())), None)
+        if later and (_near_given(run[0][2].strip(",.").lower().split("-")[0]) or "," in words[s:e]):
+            later = None
+        yield s, e, title, later[0] if later else None
 
 
 def _local_start(text: str, at: int) -> int | None:
@@ -176,47 +236,134 @@ def _local_start(text: str, at: int) -> int | None:
     return begin if begin < end else None
 
 
+def _starts(texts: list[str]) -> list[tuple[list[int], ...]]:
+    """By text, where _AT, PHONE, NUMBER, _NUMBERED and PERSON can begin, ascending; there may be more places than matches.
+    Digits are those of Latin-1."""
+    parts = [t.encode("latin-1", "replace") for t in texts]
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n" * 8, dtype=np.uint8)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    kinds = _KINDS.take(data)
+    n = len(data) - 7
+    # a start is a position in data from 1, so that what stands before it and after it is there
+    brackets = np.flatnonzero(kinds[:n] & _BRACKET > 0)
+    one, two, three = (data[brackets + i] | 32 for i in (1, 2, 3))
+    ats = brackets[(data[brackets] == ord("@")) | (one == ord("a")) & (two == ord("t")) | (kinds[brackets + 1] & _BLANK > 0) & (two == ord("a")) & (three == ord("t"))]
+
+    phones = np.flatnonzero((kinds[1:n] & _PHONE_FIRST > 0) & (kinds[: n - 1] & _NO_PHONE == 0) & (kinds[2 : n + 1] & kinds[3 : n + 2] & _PHONE_CHAR > 0)) + 1
+    phones = phones[(data[phones] != ord("(")) | (kinds[phones + 1] & _PHONE_FIRST > 0) & (data[phones + 1] != ord("("))]
+
+    # six digits with one blank or dash at most between two of them, and the letters before
+    digits = np.flatnonzero(kinds[:n] & _DIGIT > 0)
+    between = data[digits + 1]
+    linked = np.append(np.diff(digits), 9)
+    linked = (linked == 1) | (linked == 2) & ((between == ord(" ")) | (between == ord("-")))
+    six = linked.copy()
+    for i in range(1, 5):
+        six[:-i] &= linked[i:]
+        six[-i:] = False
+    first = digits[six]
+    before = data[first - 1]
+    mark = (before == ord(" ")) | (before == ord("-"))
+    free = kinds[first - 1] & _NO_NUMBER == 0
+    prefixed = (kinds[first - 1] & _UPPER > 0) | mark & (kinds[first - 2] & _UPPER > 0)
+    numbers = first[free].tolist()
+    for at in first[prefixed].tolist():
+        at -= 1 + (data[at - 1] in b" -")
+        least = at - 4
+        while at > least and kinds[at] & _UPPER:
+            at -= 1
+        numbers.append(at + 1)
+    numbers = np.array(sorted(set(numbers)), dtype=np.int64)
+
+    # a number, and a capital after one to four blanks
+    at = digits + 1 + (kinds[digits + 1] & _LETTER > 0)
+    blank, upper = kinds & _BLANK > 0, kinds & _UPPER > 0
+    numbered = digits[blank[at] & (upper[at + 1] | blank[at + 1] & (upper[at + 2] | blank[at + 2] & (upper[at + 3] | blank[at + 3] & upper[at + 4])))]
+
+    def particle(at: np.ndarray) -> np.ndarray:
+        at = np.minimum(at, len(data) - 4)
+        return _PARTICLE_PAIR[data[at].astype(np.uint16) << 8 | data[at + 1]] & (blank[at + 2] | blank[at + 3])
+
+    small = np.flatnonzero((kinds[1:n] & _SMALL > 0) & (kinds[: n - 1] & _NO_PERSON == 0)) + 1
+    small = small[particle(small)]
+    capitals = np.flatnonzero((kinds[1:n] & _CAPITAL > 0) & (kinds[: n - 1] & _NO_PERSON == 0)) + 1
+    # what follows the first word: its full stop, or the word in which a name goes on
+    outside = np.flatnonzero(kinds & _WORD == 0)
+    end = outside[np.searchsorted(outside, capitals + 1)]
+    mark = data[end]
+    following = np.minimum(end + (mark == ord(",")), len(data) - 2)
+    apart = blank[following]
+    for _ in range(4):
+        following = np.minimum(following + (blank[following] & (data[following] != ord("?"))), len(data) - 2)
+    char = data[following]
+    bracket = (char == ord("(")) & ((kinds[following + 1] & _CAPITAL > 0) | (data[following + 1] == ord("?")))
+    goes_on = (kinds[following] & _CAPITAL > 0) | (char == ord("?")) | (char == ord('"')) | (char == ord("'")) | bracket | particle(following)
+    stopped = (mark == ord(".")) & ((end == capitals + 1) | _TITLE_FIRST[data[capitals]])
+    persons = np.sort(np.concatenate([small, capitals[(mark == ord("?")) | stopped | apart & goes_on]]))
+
+    begins = np.append(1, 1 + ends[:-1])
+    cut = [(x, np.searchsorted(x, begins).tolist() + [len(x)]) for x in (ats, phones, numbers, numbered, persons)]
+    return [tuple((x[c[k] : c[k + 1]] - begin).tolist() for x, c in cut) for k, begin in enumerate(begins.tolist())]
+
+
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, hint) of every proposed span; spans of different kinds may overlap."""
+    return proposals([text])[0]
+
+
+def proposals(texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
+    """The candidates of every text."""
+    has = pa.array(texts, pa.string())
+    has = [pc.match_substring_regex(has, pattern).to_pylist() for pattern in (_HAS_WIDE_DIGIT, _HAS_ID, _HAS_BOX, _HAS_FOREIGN, _HAS_CUE)]
+    plain = [wide or len(text) > _GROUP_CHARS for wide, text in zip(has[0], texts)]
+    starts = _starts(["" if p else text for p, text in zip(plain, texts)])
+    return [*map(_proposed, texts, [(None,) * 5 if p else s for p, s in zip(plain, starts)], *has[1:])]
+
+
+def _proposed(text: str, starts: tuple[list[int] | None, ...], has_id: bool, has_box: bool, has_foreign: bool, has_cue: bool) -> list[tuple[str, int, int, int]]:
+    """The candidates of a text, whose patterns are tried at the starts, or everywhere for None."""
+    ats, phones, numbers, numbered, persons = starts
     out: list[tuple[str, int, int, int]] = []
-    for at in _AT.finditer(text):
+    for at in _matches(_AT, ats, text):
         after = DOMAIN.match(text, at.end())
         begin = _local_start(text, at.start()) if after else None
         if begin is not None:
             out.append(("email", begin, after.end(), 0))
-    for m in PHONE.finditer(text):
-        if 7 <= sum(c in "0123456789OoIlSB" for c in m[0]) <= 15 and m[0].count("\n") < 2 and not _LINE_NUMBERS.fullmatch(m[0]):
-            around = m[0][0] == "(" and m[0].find(")") in (-1, len(m[0]) - 1)  # a bracket around the whole number isn't part of it
-            out.append(("phone", m.start() + around, m.end() - (around and m[0][-1] == ")"), 0))
-    lower = text.lower()
-    if len(lower) == len(text):
-        for word in ID_KEYWORDS:
-            at = lower.find(word)
-            while at >= 0:
-                m = ID.match(text, at) if at == 0 or not lower[at - 1].isalnum() else None
-                if m and m["v"].count("\n") < 2 and (word != "insurance" or _NATIONAL.search(lower, max(0, at - 12), at)):
-                    out.append(("id_number", m.start("v"), m.end("v"), 0))
-                at = lower.find(word, at + len(word))
-    else:  # a letter whose lower case is longer moves the positions
-        out += [("id_number", m.start("v"), m.end("v"), 0) for m in ID.finditer(text)]
+    for m in _matches(PHONE, phones, text):
+        phone = m[0]
+        if len(phone) >= 7 and 7 <= len(_DIGIT_LIKE.findall(phone)) <= 15 and phone.count("\n") < 2 and not _LINE_NUMBERS.fullmatch(phone):
+            around = phone[0] == "(" and phone.find(")") in (-1, len(phone) - 1)  # a bracket around the whole number isn't part of it
+            out.append(("phone", m.start() + around, m.end() - (around and phone[-1] == ")"), 0))
+    if has_id:
+        lower = text.lower()
+        if len(lower) == len(text):
+            for word in ID_KEYWORDS:
+                at = lower.find(word)
+                while at >= 0:
+                    m = ID.match(text, at) if at == 0 or not lower[at - 1].isalnum() else None
+                    if m and m["v"].count("\n") < 2 and (word != "insurance" or _NATIONAL.search(lower, max(0, at - 12), at)):
+                        out.append(("id_number", m.start("v"), m.end("v"), 0))
+                    at = lower.find(word, at + len(word))
+        else:  # a letter whose lower case is longer moves the positions
+            out += [("id_number", m.start("v"), m.end("v"), 0) for m in ID.finditer(text)]
     labelled_at = [(a, b) for k, a, b, _ in out if k == "id_number"]
-    out += [("id_number", m.start(), m.end(), 1) for m in _matches(NUMBER, _NUMBER_START, text) if not any(a < m.end() and m.start() < b for a, b in labelled_at)]
-    if "box" in lower or "bag" in lower or "postfach" in lower:
+    out += [("id_number", m.start(), m.end(), 1) for m in _matches(NUMBER, _NUMBER_START if numbers is None else numbers, text) if not any(a < m.end() and m.start() < b for a, b in labelled_at)]
+    if has_box:
         out += [("address", m.start(), m.end(), 1) for m in BOX.finditer(text)]
     done = 0
-    for number in _NUMBERED.finditer(text):
+    for number in _matches(_NUMBERED, numbered, text):
         if number.start() >= done and (street := _STREET_AFTER.match(text, number.end() - 1)):
             for m in HOUSE.finditer(text, max(done, number.start() - 45), street.end()):  # a unit and its number are at most so long
                 if (m["no"] or m["unit"]) and m.start() <= street.start():
                     out.append(("address", m.start("unit") if m["unit"] else m.start("no"), m.end(), 2))
                     done = m.end()
-    words = set(lower.split())
-    if not words.isdisjoint(_FOREIGN_WORDS) or not {w[-4:] for w in words}.isdisjoint(_FOREIGN_ENDS) or ("weg" in lower or "vej" in lower) and any(w.endswith(("weg", "vej")) for w in words):
+    if has_foreign:
         out += [("address", m.start(), m.end(), 3) for m in FOREIGN.finditer(text)]
     taken = [(s, e) for k, s, e, _ in out if k in ("address", "email")]
-    for s, e, titled in _persons(text, taken):
+    for s, e, titled in _persons(text, _matches(PERSON, _PERSON_START if persons is None else persons, text), taken):
         out.append(("person", s, e, int(titled)))
-    out += [("person", m.start(1), m.end(1), 2) for m in (() if words.isdisjoint(_CUE_WORDS) else CUE.finditer(text)) if not _stop(m[1])]
+    if has_cue:
+        out += [("person", m.start(1), m.end(1), 2) for m in CUE.finditer(text) if not _stop(m[1])]
     return out
 
 
@@ -224,6 +371,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int]]:
 FEATURES = """email phone id address person length tokens digits letters upper groups group_first group_last group_most plus paren zero dots dashes spaces lines at_sign at_word tld
 label_phone label_id label_decoy money date_like left_person left_address right_person right_address titled given given_first given_fuzzy initials stops streets comma caps particles hyphen quote
 sentence_start next_open next_comma next_digit prev_digit prev_slash next_slash street_after line_alone unit box house_no ocr_digits foreign id_word decoy_word bare single""".split()
+_COLUMN = {name: i for i, name in enumerate(FEATURES)}
 _PHONE_LABEL = re.compile(r"(?:tel|phone|call|ring|fax|mobile|mob|cell|number is|telephone from|contact|on|dial|sms|left|at|hours access call|\(|/|email|and|:|,)[\s:.]*$", re.I)
 _PHONE_WORD = re.compile(r"\b(?:tel|phone|call|ring|fax|mobile|mob|telephone|callback|dial|keys|contact|ext)\b", re.I)
 _ID_LABEL = re.compile(rf"\b(?:{ID_LABELS})[\s:#]*$", re.I)
@@ -239,60 +387,106 @@ _PHONE_WORDS = frozenset(_PHONE_WORD.pattern[5:-3].split("|"))
 _ID_FIRST = frozenset("passport id identity licence license tfn tax ssn social insurance ni medicare pesel nhs".split())
 _DECOY_ENDS = tuple(DECOYS[3 : DECOYS.index(")")].replace("\\", "").split("|"))
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f#:"
+_PHONE_ENDS = tuple(_PHONE_LABEL.pattern[3 : _PHONE_LABEL.pattern.index(")")].replace("\\", "").split("|"))
+_PHONE_BLANKS = _BLANKS.replace("#", "") + "."
+_DIGITS = re.compile(r"\d+")
+_INITIALS = re.compile(r"(?:\w\.?){1,3}")
+_OPEN_AFTER = re.compile(r"[A-Za-z]\s?\(\(?$")
+_PERSON_LEFT, _PERSON_RIGHT = frozenset(PERSON_LEFT), frozenset(PERSON_RIGHT)
 _ADDRESS_LEFT = re.compile(r"(?:\bat|\bto|\bof|\bfrom|lives at|sent to|samples to|back to|address:?|,|\bnear|\bin|\bis)\s*$", re.I)
 _ADDRESS_RIGHT = re.compile(r"^\s*,?\s*(?:[A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+)?,?\s)?(?:[A-Z]{2,3}\s)?\d{4,5}\b|^\s*,\s*[A-Z]|^\s*(?:were|gives|marked|-|for)\b")
 _AFTER_STREET = re.compile(rf"(?:\b(?:{_STREETS})\.?|\bBox\s\d+)\s?[,;]\s*$", re.I)
 _DATE = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})$")
 
 
+@lru_cache(maxsize=1 << 14)
 def _near_given(word: str) -> bool:
     w = _ocr(word.lower())
     return w in _GIVEN
 
 
 def features(text: str, kind: str, start: int, end: int, hint: int) -> list[float]:
-    span = text[start:end]
-    left, right = text[max(0, start - 40) : start], text[end : end + 40]
-    groups = re.findall(r"\d+", span)
-    letters = sum(map(str.isalpha, span))
-    f = dict.fromkeys(FEATURES, 0.0)
-    f[{"id_number": "id"}.get(kind, kind)] = 1
-    f |= {
-        "length": len(span), "tokens": len(span.split()), "digits": sum(map(len, groups)), "letters": letters, "upper": sum(map(str.isupper, span)) / max(1, letters),
-        "groups": len(groups), "group_first": len(groups[0]) if groups else 0, "group_last": len(groups[-1]) if groups else 0, "group_most": max(map(len, groups), default=0),
-        "dots": span.count("."), "dashes": span.count("-"), "spaces": span.count(" "), "lines": span.count("\n"),
+    return features_of([(text, kind, start, end, hint)])[0].tolist()
+
+
+def features_of(rows: list[tuple[str, str, int, int, int]]) -> np.ndarray:
+    """The features of spans, a row each: (text, kind, start, end, hint). Computed by kind, a column at a time."""
+    out = np.zeros((len(rows), len(FEATURES)))
+    by_kind: dict[str, list[int]] = {}
+    for i, row in enumerate(rows):
+        by_kind.setdefault(row[1], []).append(i)
+    for kind, at in by_kind.items():
+        block = np.zeros((len(at), len(FEATURES)))
+        for name, values in _columns(kind, [rows[i] for i in at]).items():
+            block[:, _COLUMN[name]] = values
+        out[at] = block
+    return out
+
+
+def _columns(kind: str, rows: list[tuple[str, str, int, int, int]]) -> dict[str, list | int]:
+    spans = [text[s:e] for text, _, s, e, _ in rows]
+    lefts = [text[max(0, s - 40) : s] for text, _, s, _, _ in rows]
+    rights = [text[e : e + 40] for text, _, _, e, _ in rows]
+    hints = [row[4] for row in rows]
+    groups = [[*map(len, _DIGITS.findall(x))] for x in spans]
+    letters = [sum(map(str.isalpha, x)) for x in spans]
+    befores = [x[-2:].strip()[-1:] for x in lefts]
+    afters = [x[:2].strip()[:1] for x in rights]
+    f = {
+        {"id_number": "id"}.get(kind, kind): 1,
+        "length": [*map(len, spans)], "tokens": [len(x.split()) for x in spans], "digits": [*map(sum, groups)], "letters": letters, "upper": [sum(map(str.isupper, x)) / max(1, n) for x, n in zip(spans, letters)],
+        "groups": [*map(len, groups)], "group_first": [g[0] if g else 0 for g in groups], "group_last": [g[-1] if g else 0 for g in groups], "group_most": [max(g, default=0) for g in groups],
+        "dots": [x.count(".") for x in spans], "dashes": [x.count("-") for x in spans], "spaces": [x.count(" ") for x in spans], "lines": [x.count("\n") for x in spans],
+        "next_digit": [x.isdigit() for x in afters], "prev_digit": [x.isdigit() for x in befores], "prev_slash": [x == "/" for x in befores], "next_slash": [x == "/" for x in afters],
     }
     if kind in ("phone", "id_number"):
-        before, after = left[-2:].strip()[-1:], right[:2].strip()[:1]
-        low = left.lower() if left.isascii() else None
-        words = _RUN.findall(low) if low is not None else []
-        has = lambda known, pattern: not known.isdisjoint(words) if low is not None else bool(pattern.search(left))
+        lows = [x.lower() if x.isascii() else None for x in lefts]
+        words = [_RUN.findall(x) if x is not None else () for x in lows]
+        has = lambda known, pattern: [not known.isdisjoint(w) if low is not None else bool(pattern.search(x)) for x, low, w in zip(lefts, lows, words)]
         f |= {
-            "plus": span[:1] == "+", "paren": span[:1] == "(", "zero": span[:1] in "0O", "next_digit": after.isdigit(), "prev_digit": before.isdigit(), "prev_slash": before == "/", "next_slash": after == "/",
-            "money": left.rstrip().endswith(_MONEY), "label_decoy": low.rstrip(_BLANKS).endswith(_DECOY_ENDS) if low is not None else bool(_DECOY.search(left)), "label_id": (low is None or not _ID_FIRST.isdisjoint(words)) and bool(_ID_LABEL.search(left)), "sentence_start": not left or left.rstrip(" ")[-1:] in ".\n",
+            "plus": [x[:1] == "+" for x in spans], "paren": [x[:1] == "(" for x in spans], "zero": [x[:1] in "0O" for x in spans],
+            "money": [x.rstrip().endswith(_MONEY) for x in lefts], "label_decoy": [low.rstrip(_BLANKS).endswith(_DECOY_ENDS) if low is not None else bool(_DECOY.search(x)) for x, low in zip(lefts, lows)],
+            "label_id": [(low is None or not _ID_FIRST.isdisjoint(w)) and bool(_ID_LABEL.search(x)) for x, low, w in zip(lefts, lows, words)], "sentence_start": [not x or x.rstrip(" ")[-1:] in ".\n" for x in lefts],
+            "date_like": [bool(_DATE.match(x.strip())) for x in spans],
         }
+        phone_word = has(_PHONE_WORDS, _PHONE_WORD)
     else:
-        left_word = (m[1].lower() if (m := _LEFT_WORDS.search(left)) else "")
-        right_word = (m[1].lower() if (m := _RIGHT_WORD.search(right)) else "")
-        tokens = _TOKENS.findall(span)
-        bare = [t.strip(".,;:'’“”\"()").lower() for t in tokens]
-        f |= {"next_open": right[:3].lstrip()[:1] == "(", "next_comma": right[:1] == ",", "next_digit": right[:2].strip()[:1].isdigit(), "prev_digit": left[-2:].strip()[-1:].isdigit(), "prev_slash": left[-2:].strip()[-1:] == "/", "next_slash": right[:2].strip()[:1] == "/", "sentence_start": bool(re.search(r"(?:^|[.\n])\s*$", left)) or not left}
+        ends = [x.rstrip() for x in lefts]
+        tokens = [_TOKENS.findall(x) for x in spans]
+        bares = [[t.strip(".,;:'’“”\"()").lower() for t in ts] for ts in tokens]
+        f |= {"next_open": [x[:3].lstrip()[:1] == "(" for x in rights], "next_comma": [x[:1] == "," for x in rights], "sentence_start": [not end or end[-1] == "." or "\n" in x[len(end) :] for x, end in zip(lefts, ends)]}
     if kind == "id_number":
-        f |= {"bare": hint == 1, "id_word": has(_ID_WORDS, _ID_WORD), "decoy_word": has(_DECOY_WORDS, _DECOY_WORD), "date_like": bool(_DATE.match(span.strip())), "label_phone": 2 * has(_PHONE_WORDS, _PHONE_WORD)}
+        f |= {"bare": [h == 1 for h in hints], "id_word": has(_ID_WORDS, _ID_WORD), "decoy_word": has(_DECOY_WORDS, _DECOY_WORD), "label_phone": [2 * x for x in phone_word]}
     elif kind == "email":
-        f |= {"at_sign": span.count("@"), "at_word": len(re.findall(r"[\(\[{]\s?at", span, re.I)), "tld": bool(re.search(r"(?:example|invalid|test|com|org|net|edu|gov|io|au|uk|pl|de|us)$", span, re.I))}
+        f |= {"at_sign": [x.count("@") for x in spans], "at_word": [len(re.findall(r"[\(\[{]\s?at", x, re.I)) for x in spans], "tld": [bool(re.search(r"(?:example|invalid|test|com|org|net|edu|gov|io|au|uk|pl|de|us)$", x, re.I)) for x in spans]}
     elif kind == "phone":
-        f |= {"label_phone": bool(_PHONE_LABEL.search(left)) + 2 * has(_PHONE_WORDS, _PHONE_WORD), "date_like": bool(_DATE.match(span.strip())), "ocr_digits": sum(c in "OoIlSB" for c in span), "left_person": bool(re.search(r"[A-Za-z]\s?\(\(?$", left))}
+        f |= {"label_phone": [_phone_label(x, low) + 2 * w for x, low, w in zip(lefts, lows, phone_word)], "ocr_digits": [sum(map(x.count, "OoIlSB")) for x in spans], "left_person": ["(" in x[-2:] and bool(_OPEN_AFTER.search(x)) for x in lefts]}
     elif kind == "address":
-        f |= {"foreign": hint == 3, "left_address": bool(_ADDRESS_LEFT.search(left)), "right_address": bool(_ADDRESS_RIGHT.search(right)), "unit": bool(re.match(rf"(?:{_UNITS})\b", span)), "box": hint == 1, "house_no": bool(re.match(r"\d", span)), "stops": sum(b in _STOP for b in bare)}
+        f |= {
+            "foreign": [h == 3 for h in hints], "left_address": [bool(_ADDRESS_LEFT.search(x)) for x in lefts], "right_address": [bool(_ADDRESS_RIGHT.search(x)) for x in rights], "unit": [bool(re.match(rf"(?:{_UNITS})\b", x)) for x in spans],
+            "box": [h == 1 for h in hints], "house_no": [bool(re.match(r"\d", x)) for x in spans], "stops": [sum(b in _STOP for b in bare) for bare in bares],
+        }
     elif kind == "person":
+        left_words = [m[1].lower() if (m := _LEFT_WORDS.search(x)) else "" for x in lefts]
+        right_words = [m[1].lower() if (m := _RIGHT_WORD.search(x)) else "" for x in rights]
         f |= {
-            "left_person": left_word in PERSON_LEFT, "right_person": right_word in PERSON_RIGHT, "titled": hint == 1, "single": hint == 2, "given": sum(_near_given(b.split("-")[0]) or _near_given(b) for b in bare), "given_first": bool(bare) and _near_given(bare[0]),
-            "given_fuzzy": bool(bare) and _near_given(bare[-1]), "initials": sum(bool(re.fullmatch(r"(?:\w\.?){1,3}", b)) and len(b) <= 4 and "." in t for b, t in zip(bare, tokens)), "stops": sum(b in _STOP for b in bare),
-            "streets": sum(b in _STREET_SET for b in bare), "comma": "," in span, "caps": span.isupper(), "particles": sum(t in ("von", "van", "de", "der", "da", "di") for t in tokens), "hyphen": "-" in span, "quote": bool(re.search("[“”\"]", span)),
-            "street_after": right_word in _STREET_SET, "line_alone": (not left or left[-1] == "\n") and (not right or right[0] == "\n"), "left_address": left_word in ("the", "for", "prepared", "a", "this"), "right_address": right_word in _STOP, "unit": bool(_AFTER_STREET.search(left)), "box": len(tokens) == 2 and tokens[1].isupper() and len(tokens[1]) <= 3,
+            "left_person": [w in _PERSON_LEFT for w in left_words], "right_person": [w in _PERSON_RIGHT for w in right_words], "titled": [h == 1 for h in hints], "single": [h == 2 for h in hints],
+            "given": [sum(_near_given(b.split("-")[0]) or _near_given(b) for b in bare) for bare in bares], "given_first": [bool(bare) and _near_given(bare[0]) for bare in bares], "given_fuzzy": [bool(bare) and _near_given(bare[-1]) for bare in bares],
+            "initials": [sum("." in t and len(b) <= 4 and bool(_INITIALS.fullmatch(b)) for b, t in zip(bare, ts)) for bare, ts in zip(bares, tokens)], "stops": [sum(b in _STOP for b in bare) for bare in bares],
+            "streets": [sum(b in _STREET_SET for b in bare) for bare in bares], "comma": ["," in x for x in spans], "caps": [x.isupper() for x in spans], "particles": [sum(t in ("von", "van", "de", "der", "da", "di") for t in ts) for ts in tokens],
+            "hyphen": ["-" in x for x in spans], "quote": ["“" in x or "”" in x or '"' in x for x in spans], "street_after": [w in _STREET_SET for w in right_words],
+            "line_alone": [(not a or a[-1] == "\n") and (not b or b[0] == "\n") for a, b in zip(lefts, rights)], "left_address": [w in ("the", "for", "prepared", "a", "this") for w in left_words], "right_address": [w in _STOP for w in right_words],
+            "unit": [end[-1:] in (",", ";") and bool(_AFTER_STREET.search(x)) for x, end in zip(lefts, ends)], "box": [len(ts) == 2 and ts[1].isupper() and len(ts[1]) <= 3 for ts in tokens],
         }
-    return [*map(float, f.values())]
+    return f
+
+
+def _phone_label(left: str, low: str | None) -> bool:
+    """Whether _PHONE_LABEL is found in left, of which low is the lower case, if of ASCII letters."""
+    if low is None:
+        return bool(_PHONE_LABEL.search(left))
+    end = low.rstrip(_PHONE_BLANKS)
+    return ":" in low[len(end) :] or end.endswith(_PHONE_ENDS)
 
 
 # ---- the labelled sample ---------------------------------------------------------------------------------------------
@@ -388,7 +582,8 @@ def labelled(n: int = TRAIN_TEXTS, seed: int = 3, templates: list[str] | None =
     rng = np.random.default_rng(seed)
     templates = templates or [t for line in TEMPLATES.split("\n") for t in line.split("|") if t]
     parts = [[t for i, t in enumerate(templates) if i % 5 != 2], [t for i, t in enumerate(templates) if i % 5 == 2]]
-    x, y, kinds, held = [], [], [], []
+    composed, trues, holds = [], [], []
+    rows, y, kinds, held = [], [], [], []
     for k in range(n):
         text, true = "", set()
         hold = k % 4 == 3
@@ -406,12 +601,16 @@ def labelled(n: int = TRAIN_TEXTS, seed: int = 3, templates: list[str] | None =
                 if at > 0:
                     chars[at] = "\n"
             text = "".join(chars)
-        for kind, s, e, hint in candidates(text):
-            x.append(features(text, kind, s, e, hint))
+        composed.append(text)
+        trues.append(true)
+        holds.append(hold)
+    for text, true, hold, proposed in zip(composed, trues, holds, proposals(composed)):
+        for kind, s, e, hint in proposed:
+            rows.append((text, kind, s, e, hint))
             y.append((kind, s) in true)
             kinds.append(KINDS.index(kind))
             held.append(hold)
-    return np.array(x), np.array(y, dtype=float), np.array(kinds), np.array(held)
+    return features_of(rows), np.array(y, dtype=float), np.array(kinds), np.array(held)
 
 
 def fitted() -> tuple[boosting.Boosted, list[float]]:
@@ -436,20 +635,29 @@ def fitted() -> tuple[boosting.Boosted, list[float]]:
 
 def find(texts: list[str | None], model: boosting.Boosted, cuts: list[float]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end), from 0, of the personal information of each text, in order and without overlaps."""
-    rows, owner, spans = [], [], []
-    for k, text in enumerate(texts):
-        if text:
-            for kind, s, e, hint in candidates(text):
-                rows.append(features(text, kind, s, e, hint))
-                owner.append(k)
-                spans.append((kind, s, e))
+    out: list[list[tuple[str, int, int]]] = []
+    while len(out) < len(texts):
+        first = last = len(out)
+        size = 0
+        while last < len(texts) and (last == first or size + len(texts[last] or "") <= _GROUP_CHARS):
+            size += len(texts[last] or "")
+            last += 1
+        out += _find([text or "" for text in texts[first:last]], model, cuts)
+    return out
+
+
+def _find(texts: list[str], model: boosting.Boosted, cuts: list[float]) -> list[list[tuple[str, int, int]]]:
+    rows, owner = [], []
+    for k, (text, proposed) in enumerate(zip(texts, proposals(texts))):
+        rows += [(text, *span) for span in proposed]
+        owner += [k] * len(proposed)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not rows:
         return out
-    p = model.probability(np.array(rows))
+    p = model.probability(features_of(rows))
     order = np.argsort(-p, kind="stable")
     for i in order:
-        kind, s, e = spans[i]
+        _, kind, s, e, _ = rows[i]
         if p[i] >= cuts[KINDS.index(kind)] and not any(a < e and s < b for _, a, b in out[owner[i]]):
             out[owner[i]].append((kind, s, e))
     return [sorted(found, key=lambda x: x[1]) for found in out]
