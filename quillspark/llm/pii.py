@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -170,13 +169,17 @@ def _persons(text: str, matches: Iterator[re.Match], skip: list[tuple[int, int]]
                 yield later + start, e, title
 
 
-@lru_cache(maxsize=1 << 14)
+_SEEN: dict[tuple[str, bool], tuple[tuple[int, int, bool, int | None], ...] | None] = {}  # a dict travels with the job, a decorated function doesn't
+
+
 def _names(words: str, titled: bool) -> tuple[tuple[int, int, bool, int | None], ...] | None:
     """_names_at, if it is the same wherever the words stand, else None."""
-    plain = [t.strip(".,;:'’“”\"()") for t in _TOKENS.findall(words)]
-    if any(len(w) == 1 or w in ("May", "MAY") for w in plain):
-        return None
-    return tuple(_names_at(words, titled, words, 0))
+    if (words, titled) not in _SEEN:
+        if len(_SEEN) >= 1 << 14:
+            _SEEN.clear()
+        plain = [t.strip(".,;:'’“”\"()") for t in _TOKENS.findall(words)]
+        _SEEN[words, titled] = None if any(len(w) == 1 or w in ("May", "MAY") for w in plain) else tuple(_names_at(words, titled, words, 0))
+    return _SEEN[words, titled]
 
 
 def _names_at(words: str, titled: bool, text: str, start: int) -> Iterator[tuple[int, int, bool, int | None]]:
@@ -399,7 +402,6 @@ _AFTER_STREET = re.compile(rf"(?:\b(?:{_STREETS})\.?|\bBox\s\d+)\s?[,;]\s*$", re
 _DATE = re.compile(r"^(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})$")
 
 
-@lru_cache(maxsize=1 << 14)
 def _near_given(word: str) -> bool:
     w = _ocr(word.lower())
     return w in _GIVEN
@@ -666,6 +668,7 @@ def _find(texts: list[str], model: boosting.Boosted, cuts: list[float]) -> list[
 def spans(text: Column) -> Column:
     """array<struct<kind, start_pos, end_pos>>: positions in characters from 1, the end included; null for a null text."""
     model, cuts = fitted()
+    _SEEN.clear()
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:

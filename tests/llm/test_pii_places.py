@@ -1,9 +1,12 @@
 """Looking up where the patterns of personal information can begin, for a batch of texts, finds what searching every text finds."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from quillspark.llm import boosting
 from quillspark.llm import pii
@@ -72,3 +75,8 @@ def test_margins_do_not_depend_on_the_parts():
     x = rng.normal(size=(900, 6))
     model = boosting.train(x, (x[:, 0] > 0.2).astype(float), trees=12, depth=3)
     assert np.array_equal(model.margin(x), model.margin(x, 7)) and np.array_equal(model.margin(x[:, ::-1][:, ::-1]), model.margin(x)) and len(model.margin(x[:0])) == 0
+
+
+def test_the_search_travels_with_the_job(tmp_path):
+    (tmp_path / "find").write_bytes(cloudpickle.dumps(pii.find))
+    subprocess.run([sys.executable, "-c", "import pickle; pickle.load(open('find', 'rb'))"], cwd=tmp_path, env={}, check=True)
