@@ -86,3 +86,36 @@ def test_dense_only(spark, tmp_path):
     questions = spark.createDataFrame([(1, "which fees")], "query_id bigint, text string")
     assert ask.sparse_hits(questions, idx, idx.cfg).count() == 0
     assert [r.chunk_id for r in ask.ask(questions, idx, RetrievalConfig(rerank=False), filter_entities=False).orderBy("pos").collect()] == [1, 2]
+
+
+def test_a_failure_is_no_result(spark, tmp_path, monkeypatch):
+    """Only a given model that raises leaves the fused order, and the rows say so; other failures of the pool were taken for that before."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.errors import PySparkException
+
+    from quillspark.operators import ranking
+
+    idx = opened(spark, tmp_path)
+    questions = spark.createDataFrame([(1, "which fees")], "query_id bigint, text string")
+
+    def fail(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        raise ValueError("no model")
+        yield
+
+    broken = F.pandas_udf(fail, "double")
+    assert {r.reranked for r in ask.ask(questions, idx, filter_entities=False).collect()} == {True}
+    with pytest.warns(UserWarning, match="fused order"):
+        assert {r.reranked for r in ask.ask(questions, idx, scorer=lambda q, c: broken(c), filter_entities=False).collect()} == {False}
+    with pytest.warns(UserWarning, match="fused order"):
+        assert [r.reranked for r in ask.ask_and_answer(questions, idx, scorer=lambda q, c: broken(c)).collect()] == [False]
+    for scorer in (ranking.overlap_score, lambda q, c: F.length(c) / 100.0):
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "rerank", lambda pool, *_: pool.withColumn("rerank", F.raise_error(F.lit("no space left")).cast("double")))
+            with pytest.raises(PySparkException, match="no space left"):
+                ask.ask(questions, idx, scorer=scorer, filter_entities=False)
+    with monkeypatch.context() as m:
+        m.setattr(ranking, "rerank", lambda pool, *_: pool.withColumn("rerank", broken(F.col("doc_key").cast("string"))))
+        with pytest.raises(PySparkException, match="no model"):
+            ask.ask(questions, idx, filter_entities=False)
