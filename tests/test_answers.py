@@ -119,3 +119,17 @@ def test_a_failure_is_no_result(spark, tmp_path, monkeypatch):
         m.setattr(ranking, "rerank", lambda pool, *_: pool.withColumn("rerank", broken(F.col("doc_key").cast("string"))))
         with pytest.raises(PySparkException, match="no model"):
             ask.ask(questions, idx, filter_entities=False)
+
+
+def test_a_failing_pool_is_an_error_by_customer(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    from quillspark.operators import ranking
+
+    idx = opened(spark, tmp_path)
+    questions = spark.createDataFrame([(1, "which fees of c"), (2, "doors")], "query_id bigint, text string")
+    monkeypatch.setattr(ranking, "rerank", lambda pool, *_: pool.withColumn("rerank", F.raise_error(F.lit("no space left")).cast("double")))
+    with pytest.raises(PySparkException, match="no space left"):
+        ask.ask(questions, idx)
+    with pytest.raises(PySparkException, match="no space left"):
+        ask.ask_and_answer(questions, idx)
